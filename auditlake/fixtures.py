@@ -1,16 +1,44 @@
 """Engine inputs derived from the star-schema test tables.
 
-Every table here is a row-local projection of one test table, so it grows with
-that table and costs no shuffle.  FIXTURES.md describes the mapping.
+Every input is a row-local projection of one test table, so it grows with that
+table.  It is written once per session to the shared folder and read from
+there, the way an inventory or a landing table is read in production.
+FIXTURES.md describes the mapping.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from auditlake.catalog import POLICY_FILES
 from auditlake.functions.literals import text
 from auditlake.functions.signature import hmac_sha256_hex
+from auditlake.session import shared_folder
+
+Input = Callable[[SparkSession, str], DataFrame]
+_LANDED: dict[tuple[str, str, str], str] = {}
+
+
+def landed_folder(spark: SparkSession, sf_dir: str, build: Input) -> str:
+    """Folder of an input; written when a session asks for it first."""
+    key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
+    if key not in _LANDED:
+        folder = shared_folder(spark)
+        build(spark, sf_dir).write.parquet(folder)
+        _LANDED[key] = folder
+    return _LANDED[key]
+
+
+def _landed(build: Input) -> Input:
+    @wraps(build)
+    def read(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.read.parquet(landed_folder(spark, sf_dir, build))
+
+    read.build = build
+    return read
 
 SECRET = "fleet-secret"
 
@@ -103,6 +131,7 @@ def repository_name(key: str) -> str:
     return f"concat('org/repo', ({key}) DIV 10)"
 
 
+@_landed
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One commit per order; the parent is the order before in the repository."""
     parent = "named_struct('sha', CAST(o_orderkey - 1 AS STRING))"
@@ -140,6 +169,7 @@ def _readme_text() -> str:
     )
 
 
+@_landed
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File inventory of all commits; only root READMEs carry text."""
     is_readme = "btrim(lower(path), ' /') IN ('readme.md', 'readme.rst')"
@@ -161,6 +191,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_landed
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tree snapshots: one per order line, with folders and submodules mixed in.
 
@@ -193,6 +224,7 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOB_PATHS = ("README.md", "/readme.rst", "docs/CodeBook.md")
 
 
+@_landed
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base64 contents of the README rows, one per (repository, sha, path).
 
@@ -215,6 +247,7 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_landed
 def raw_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy document of each repository, one per customer."""
     return table(spark, sf_dir, "customer").selectExpr(
@@ -223,6 +256,7 @@ def raw_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_landed
 def policy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File rows of policy documents: per order up to two candidates and one
     other file, in an order and a spelling that depend on the key."""
@@ -268,8 +302,9 @@ def _signed(rows: DataFrame) -> DataFrame:
 ACTIONS = ("opened", "reopened", "synchronize", "ready_for_review", "closed", None)
 
 
-def event_payloads(events: DataFrame) -> DataFrame:
-    """Deliveries derived from an events frame, batch or streaming."""
+@_landed
+def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Signed push, pull-request and other deliveries, one per event."""
     header = (
         "CASE WHEN event_id % 7 IN (0, 5) THEN 'push'"
         " WHEN event_id % 7 IN (1, 6) THEN 'pull_request'"
@@ -294,16 +329,15 @@ def event_payloads(events: DataFrame) -> DataFrame:
         f"CASE event_header WHEN 'push' THEN {push} WHEN 'pull_request' THEN {pull}"
         """ ELSE concat('{"zen":', event_id, '}') END"""
     )
-    rows = events.selectExpr("event_id", "user_id", "ts", f"{header} AS event_header")
+    rows = table(spark, sf_dir, "events").selectExpr(
+        "event_id", "user_id", "ts", f"{header} AS event_header"
+    )
     return _signed(
         rows.selectExpr("*", f"concat({payload}, IF(event_id % 31 = 0, '}}', '')) AS payload")
     )
 
 
-def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return event_payloads(table(spark, sf_dir, "events"))
-
-
+@_landed
 def marketplace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = (
         "CASE event_id % 5 WHEN 0 THEN 'ping' WHEN 1 THEN 'push'"
@@ -325,6 +359,7 @@ def marketplace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_landed
 def installations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One installation per customer row with two repositories: the customer's
     own, and one that two neighbouring customers share."""
@@ -343,6 +378,7 @@ def installations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_landed
 def branch_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last order of each repository is the head of its main branch."""
     return (
@@ -354,6 +390,7 @@ def branch_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_landed
 def audit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manual audit requests, one per event; some blank, some for unknown names."""
     name = (
@@ -369,6 +406,7 @@ def audit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 LONG_TEXT_TERMS = ("license", "privacy", "copyright", "email", "the")
 
 
+@_landed
 def long_readmes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as README files, one commit per document."""
     return table(spark, sf_dir, "documents").selectExpr(
@@ -380,6 +418,7 @@ def long_readmes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_landed
 def long_text_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A policy with its own privacy terms for every document source."""
     terms = ",".join(f'"{term}"' for term in LONG_TEXT_TERMS)
@@ -392,6 +431,7 @@ def long_text_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_landed
 def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of web pages: the URL without scheme, host, query and fragment."""
     tail = "regexp_replace(url, '^[a-z]+://[^/]*', '')"
@@ -403,6 +443,7 @@ def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_landed
 def url_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One policy, for the repository of the web pages."""
     return (

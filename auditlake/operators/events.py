@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from auditlake import catalog
+from auditlake.functions.documents import with_document
 from auditlake.functions.literals import one_of
 from auditlake.functions.signature import signature_valid
 
@@ -61,8 +62,8 @@ def with_signature(events: DataFrame, secret: str, dialect: str = "py") -> DataF
 
 def _with_payload(events: DataFrame, wanted: str) -> DataFrame:
     """Adds ``_payload`` for the deliveries whose body is wanted."""
-    parsed = "try_parse_json(make_valid_utf8(CAST(body AS STRING)))"
-    return events.selectExpr("*", f"IF({wanted}, {parsed}, NULL) AS _payload")
+    text = f"IF({wanted}, make_valid_utf8(CAST(body AS STRING)), NULL)"
+    return with_document(events, text, "_payload")
 
 
 def route_event(events: DataFrame, dialect: str = "py") -> DataFrame:

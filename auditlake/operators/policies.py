@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake import catalog
+from auditlake.functions.documents import with_document
 from auditlake.functions.literals import one_of, text, texts
 from auditlake.functions.paths import normalize_path
 from auditlake.functions.strings import strip
@@ -76,8 +77,7 @@ def _with_document(raw: DataFrame) -> DataFrame:
         f" WHEN startswith(schema_of_variant(_doc), 'OBJECT') THEN '{OBJECT}'"
         f" ELSE '{NOT_OBJECT}' END"
     )
-    parsed = raw.selectExpr("*", "try_parse_json(policy_text) AS _doc")
-    return parsed.selectExpr("*", f"{kind} AS document_kind")
+    return with_document(raw, "policy_text", "_doc").selectExpr("*", f"{kind} AS document_kind")
 
 
 def _document_warnings(dialect: str) -> str:

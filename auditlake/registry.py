@@ -170,12 +170,16 @@ def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return publishing.report_json(documents)
 
 
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    landing = fx.landed_folder(spark, sf_dir, fx.raw_events.build)
+    return raw_event_stream(spark, landing)
+
+
 @_register("raw_event_source")
 def raw_event_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lands deliveries as files, then drains them as a stream into a table."""
-    landing, out, state = (shared_folder(spark) for _ in range(3))
-    fx.raw_events(spark, sf_dir).write.parquet(landing)
-    stream = raw_event_stream(spark, landing).selectExpr(
+    """Drains the landed deliveries as a stream into a table."""
+    out, state = shared_folder(spark), shared_folder(spark)
+    stream = _event_stream(spark, sf_dir).selectExpr(
         "delivery_id", "event_header", "signature", "CAST(body AS STRING) AS body"
     )
     writer = stream.writeStream.format("parquet").option("checkpointLocation", state)
@@ -537,15 +541,9 @@ def route_marketplace(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("stream_audit")
 def stream_audit_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams all deliveries through the audit and reads the check runs back."""
-    events = fx.table(spark, sf_dir, "events")
-    stream = (
-        spark.readStream.schema(events.schema)
-        .option("pathGlobFilter", "events.parquet")
-        .parquet(sf_dir)
-    )
     folder, state = shared_folder(spark), shared_folder(spark)
     stream_audit(
-        fx.event_payloads(stream),
+        _event_stream(spark, sf_dir),
         fx.files(spark, sf_dir),
         folder,
         state,
