@@ -1,0 +1,56 @@
+"""Small in-memory model of the audit rules, for brute-force comparison.
+
+It follows the rules as the README states them, one repository at a time, and
+exists only for tests.
+"""
+
+from __future__ import annotations
+
+from auditlake import catalog
+
+
+def norm(path: str, dialect: str) -> str:
+    if dialect == "js":
+        path = path.strip(catalog.WHITESPACE["js"])
+    return path.strip("/").lower()
+
+
+def readme_text(files: dict[str, str | None], dialect: str) -> str:
+    names = [path for path in files if path in (catalog.README_MD, catalog.README_RST)]
+    if dialect == "py":
+        return ((files[names[0]] or "") if names else "").lower()
+    for name in (catalog.README_MD, catalog.README_RST):
+        if files.get(name) is not None:
+            return files[name].lower()
+    return ""
+
+
+def evidence(files, dialect="py", ignore=(), terms=catalog.DEFAULT_PRIVACY_TERMS):
+    kept: dict[str, str | None] = {}
+    for path, content in files:
+        kept[norm(path, dialect)] = content
+    for path in list(kept):
+        if any(path == prefix or path.startswith(prefix + "/") for prefix in ignore):
+            del kept[path]
+    text = readme_text(kept, dialect)
+
+    def named(names):
+        return sorted(path for path in kept if path.split("/")[-1] in names)
+
+    found = {
+        "readme": ["README"] if text else [],
+        "license": named(catalog.LICENSE_NAMES),
+        "citation": named(catalog.CITATION_NAMES),
+        "dependencies": named(catalog.DEPENDENCY_NAMES),
+        "reproduction": named(catalog.REPRODUCTION_NAMES),
+        "tests": sorted(p for p in kept if p.startswith(catalog.TEST_PREFIXES))[:5],
+        "data_dictionary": named(catalog.DICTIONARY_NAMES),
+        "provenance": [term for term in catalog.PROVENANCE_TERMS if term in text],
+        "privacy": [term for term in terms if term in text],
+        "ethics": [term for term in catalog.ETHICS_TERMS if term in text],
+    }
+    passed = {key: bool(items) for key, items in found.items()}
+    passed["readme"] = bool(text.strip(catalog.WHITESPACE[dialect]))
+    passed["reproduction"] |= any(p in text for p in catalog.REPRODUCTION_PHRASES)
+    passed["data_dictionary"] |= any(p in text for p in catalog.DICTIONARY_PHRASES)
+    return found, passed, set(kept)
