@@ -27,12 +27,14 @@ def landed_folder(spark: SparkSession, sf_dir: str, build: Input) -> str:
     key = (spark.sparkContext.applicationId, sf_dir, build.__name__)
     if key not in _LANDED:
         folder = shared_folder(spark)
-        build(spark, sf_dir).write.parquet(folder)
+        spread(build(spark, sf_dir)).write.parquet(folder)
         _LANDED[key] = folder
     return _LANDED[key]
 
 
-def _landed(build: Input) -> Input:
+def landed(build: Input) -> Input:
+    """Makes an input a table that is written once and then read."""
+
     @wraps(build)
     def read(spark: SparkSession, sf_dir: str) -> DataFrame:
         return spark.read.parquet(landed_folder(spark, sf_dir, build))
@@ -131,7 +133,7 @@ def repository_name(key: str) -> str:
     return f"concat('org/repo', ({key}) DIV 10)"
 
 
-@_landed
+@landed
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One commit per order; the parent is the order before in the repository."""
     parent = "named_struct('sha', CAST(o_orderkey - 1 AS STRING))"
@@ -169,7 +171,7 @@ def _readme_text() -> str:
     )
 
 
-@_landed
+@landed
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File inventory of all commits; only root READMEs carry text."""
     is_readme = "btrim(lower(path), ' /') IN ('readme.md', 'readme.rst')"
@@ -191,7 +193,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_landed
+@landed
 def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tree snapshots: one per order line, with folders and submodules mixed in.
 
@@ -224,7 +226,7 @@ def trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 BLOB_PATHS = ("README.md", "/readme.rst", "docs/CodeBook.md")
 
 
-@_landed
+@landed
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base64 contents of the README rows, one per (repository, sha, path).
 
@@ -247,7 +249,7 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_landed
+@landed
 def raw_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Policy document of each repository, one per customer."""
     return table(spark, sf_dir, "customer").selectExpr(
@@ -256,7 +258,7 @@ def raw_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_landed
+@landed
 def policy_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """File rows of policy documents: per order up to two candidates and one
     other file, in an order and a spelling that depend on the key."""
@@ -302,7 +304,7 @@ def _signed(rows: DataFrame) -> DataFrame:
 ACTIONS = ("opened", "reopened", "synchronize", "ready_for_review", "closed", None)
 
 
-@_landed
+@landed
 def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signed push, pull-request and other deliveries, one per event."""
     header = (
@@ -337,7 +339,7 @@ def raw_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_landed
+@landed
 def marketplace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = (
         "CASE event_id % 5 WHEN 0 THEN 'ping' WHEN 1 THEN 'push'"
@@ -359,7 +361,7 @@ def marketplace_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_landed
+@landed
 def installations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One installation per customer row with two repositories: the customer's
     own, and one that two neighbouring customers share."""
@@ -378,7 +380,7 @@ def installations(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_landed
+@landed
 def branch_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last order of each repository is the head of its main branch."""
     return (
@@ -390,7 +392,7 @@ def branch_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_landed
+@landed
 def audit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manual audit requests, one per event; some blank, some for unknown names."""
     name = (
@@ -406,7 +408,7 @@ def audit_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
 LONG_TEXT_TERMS = ("license", "privacy", "copyright", "email", "the")
 
 
-@_landed
+@landed
 def long_readmes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as README files, one commit per document."""
     return table(spark, sf_dir, "documents").selectExpr(
@@ -418,7 +420,7 @@ def long_readmes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_landed
+@landed
 def long_text_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A policy with its own privacy terms for every document source."""
     terms = ",".join(f'"{term}"' for term in LONG_TEXT_TERMS)
@@ -431,7 +433,7 @@ def long_text_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_landed
+@landed
 def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paths of web pages: the URL without scheme, host, query and fragment."""
     tail = "regexp_replace(url, '^[a-z]+://[^/]*', '')"
@@ -443,7 +445,7 @@ def url_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_landed
+@landed
 def url_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One policy, for the repository of the web pages."""
     return (

@@ -31,7 +31,9 @@ def is_root_readme(path: str) -> str:
 def is_ignored(path: str, ignore_paths: str) -> str:
     """Whether a normalised path is an ignored path or lies below one."""
     below = f"startswith({path}, concat(prefix, '/'))"
-    return f"coalesce(exists({ignore_paths}, prefix -> {path} = prefix OR {below}), false)"
+    hit = f"exists({ignore_paths}, prefix -> {path} = prefix OR {below})"
+    # Most lists are empty: the size is checked before the list is walked.
+    return f"coalesce(size({ignore_paths}) > 0 AND {hit}, false)"
 
 
 def needs_content(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake import catalog
@@ -101,27 +101,29 @@ def named_files(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
     )
 
 
-def readme_aggregates(value: str, path: str = "path_norm", prefix: str = "") -> list:
+def readme_aggregates(*values: str, path: str = "path_norm") -> list[Column]:
     """Aggregates that keep, for both root README names, the first position and
-    the last value.  With a fixed-width value they run as hash aggregation."""
+    the last of each value (``md_seq``, ``md_<value>``, ``rst_seq``, ...).
+
+    With fixed-width values they run as hash aggregation.
+    """
     columns = []
     for short, name in (("md", catalog.README_MD), ("rst", catalog.README_RST)):
         seq = f"IF({path} = {text(name)}, seq, NULL)"
-        columns.append(F.expr(f"max_by({value}, {seq}) AS {prefix}{short}_value"))
-        columns.append(F.expr(f"min({seq}) AS {prefix}{short}_seq"))
+        columns.append(F.expr(f"min({seq}) AS {short}_seq"))
+        columns += [F.expr(f"max_by({value}, {seq}) AS {short}_{value}") for value in values]
     return columns
 
 
-def pick_readme(dialect: str = "py", prefix: str = "") -> str:
-    """Chooses between the two README values of ``readme_aggregates``.
+def pick_readme(value: str, dialect: str = "py") -> str:
+    """Chooses between the two values of ``readme_aggregates``.
 
     py takes the README that comes first, js prefers Markdown and falls back
     only when that is missing or NULL.  NULL means there is no README text.
     """
-    md, rst = f"{prefix}md_value", f"{prefix}rst_value"
     if catalog.require_dialect(dialect) == "js":
-        return f"coalesce({md}, {rst})"
-    return f"IF({prefix}rst_seq IS NULL OR {prefix}md_seq < {prefix}rst_seq, {md}, {rst})"
+        return f"coalesce(md_{value}, rst_{value})"
+    return f"IF(rst_seq IS NULL OR md_seq < rst_seq, md_{value}, rst_{value})"
 
 
 def select_readme(files: DataFrame, dialect: str = "py") -> DataFrame:
@@ -135,7 +137,7 @@ def select_readme(files: DataFrame, dialect: str = "py") -> DataFrame:
         .filter(paths.is_root_readme("path_norm"))
         .groupBy(*COMMIT)
         .agg(*readme_aggregates("content"))
-        .selectExpr(*COMMIT, f"lower(coalesce({pick_readme(dialect)}, '')) AS readme")
+        .selectExpr(*COMMIT, f"lower(coalesce({pick_readme('content', dialect)}, '')) AS readme")
     )
 
 

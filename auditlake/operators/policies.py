@@ -4,8 +4,7 @@ A policy document is parsed once into a VARIANT; every rule is an expression on
 that value, so validation is a chain of projections without any shuffle.
 """
 
-from __future__ import annotations
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,10 +66,61 @@ def pick_policy(
     )
 
 
+def policies_from_yaml(raw: DataFrame) -> DataFrame:
+    """Turns YAML documents in ``policy_text`` into JSON.
+
+    Adds ``policy_error`` with the parser's message for unreadable documents.
+    Reading YAML takes Python, in Arrow batches and once per policy; it needs
+    PyYAML on the executors.  Values JSON does not know (dates, sets, NaN)
+    become empty objects, which no field accepts.
+    """
+
+    @F.pandas_udf("json string, error string")
+    def convert(texts: pd.Series) -> pd.DataFrame:
+        import json
+
+        import yaml
+
+        def plain(value):
+            if isinstance(value, dict):
+                return {str(key): plain(item) for key, item in value.items()}
+            if isinstance(value, list):
+                return [plain(item) for item in value]
+            if isinstance(value, float) and value not in (float("inf"), float("-inf")):
+                return value if value == value else {}
+            return value if value is None or isinstance(value, (str, int, bool)) else {}
+
+        def read(text):
+            try:
+                return json.dumps(plain(yaml.safe_load(text))), None
+            except (yaml.YAMLError, ValueError) as error:
+                return None, str(error)
+
+        return pd.DataFrame(
+            [(None, None) if text is None else read(text) for text in texts],
+            columns=["json", "error"],
+        )
+
+    others = [name for name in raw.columns if name != "policy_text"]
+    return (
+        raw.withColumn("_converted", convert("policy_text"))
+        .selectExpr(
+            *others, "_converted.json AS policy_text", "_converted.error AS policy_error"
+        )
+    )
+
+
+def _policy_columns(raw: DataFrame) -> list[str]:
+    return [name for name in raw.columns if name not in ("policy_text", "policy_error")]
+
+
 def _with_document(raw: DataFrame) -> DataFrame:
     """Adds ``_doc`` (parsed document) and ``document_kind``."""
+    if "policy_error" not in raw.columns:
+        raw = raw.selectExpr("*", "CAST(NULL AS STRING) AS policy_error")
     kind = (
-        f"CASE WHEN policy_text IS NULL THEN '{ABSENT}'"
+        f"CASE WHEN policy_error IS NOT NULL THEN '{UNPARSABLE}'"
+        f" WHEN policy_text IS NULL THEN '{ABSENT}'"
         f" WHEN {strip('policy_text', 'js')} = '' THEN '{EMPTY}'"
         f" WHEN _doc IS NULL THEN '{UNPARSABLE}'"
         f" WHEN is_variant_null(_doc) THEN '{EMPTY}'"
@@ -82,8 +132,12 @@ def _with_document(raw: DataFrame) -> DataFrame:
 
 def _document_warnings(dialect: str) -> str:
     bad_kinds = [NOT_OBJECT] if catalog.require_dialect(dialect) == "py" else [NOT_OBJECT, EMPTY]
+    unparsable = (
+        f"array(coalesce(concat({text(catalog.WARN_UNPARSABLE_YAML)}, policy_error),"
+        f" {text(catalog.WARN_UNPARSABLE)}))"
+    )
     return (
-        f"CASE WHEN document_kind = '{UNPARSABLE}' THEN {texts([catalog.WARN_UNPARSABLE])}"
+        f"CASE WHEN document_kind = '{UNPARSABLE}' THEN {unparsable}"
         f" WHEN {one_of('document_kind', bad_kinds)} THEN {texts([catalog.WARN_NOT_OBJECT])}"
         f" ELSE {NO_TEXTS} END"
     )
@@ -94,7 +148,7 @@ def policy_document_status(raw: DataFrame, dialect: str = "py") -> DataFrame:
     return (
         _with_document(raw)
         .selectExpr("*", f"{_document_warnings(dialect)} AS document_warnings")
-        .drop("_doc")
+        .drop("_doc", "policy_error")
     )
 
 
@@ -187,7 +241,7 @@ def parse_policies(raw: DataFrame, dialect: str = "py") -> DataFrame:
     """Raw fields of each policy document: minimum score, the items of every
     list field, and their warnings."""
     documents = _with_document(raw).selectExpr(
-        *[name for name in raw.columns if name != "policy_text"],
+        *_policy_columns(raw),
         f"{_document_warnings(dialect)} AS document_warnings",
         f"IF(document_kind = '{OBJECT}', _doc, NULL) AS _doc",
     )
@@ -195,7 +249,8 @@ def parse_policies(raw: DataFrame, dialect: str = "py") -> DataFrame:
 
 
 def validate_policies(raw: DataFrame, dialect: str = "py") -> DataFrame:
-    """Typed policies from ``policy_text`` (JSON), one row per input row.
+    """Typed policies from ``policy_text`` (JSON; see ``policies_from_yaml``),
+    one row per input row.
 
     Invalid values fall back to the defaults and leave a warning, in the order
     minimum score, disabled checks, required files, ignored paths, privacy
@@ -211,7 +266,7 @@ def validate_policies(raw: DataFrame, dialect: str = "py") -> DataFrame:
         ]
     )
     return parse_policies(raw, dialect).selectExpr(
-        *[name for name in raw.columns if name != "policy_text"],
+        *_policy_columns(raw),
         "minimum_score",
         f"{known_checks('disabled_checks_items')} AS disabled_checks",
         f"{clean_paths('required_files_items', dialect)} AS required_files",

@@ -9,6 +9,7 @@ from auditlake import catalog, schemas
 from auditlake.functions import paths
 from auditlake.functions.literals import text, texts
 from auditlake.operators.files import COMMIT
+from auditlake.operators.lookup import MAX_ITEMS, collect_in_parts
 from auditlake.operators.policies import NO_TEXTS
 
 # Wording of titles and of the score comparison.
@@ -77,26 +78,27 @@ def markdown_reports(
     return reports.selectExpr(*COMMIT, f"{report_markdown(dialect, title)} AS markdown")
 
 
-def report_documents(reports: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
+def report_documents(
+    reports: DataFrame, evidence: DataFrame | None = None, max_items: int = MAX_ITEMS
+) -> DataFrame:
     """Reports as nested documents, ready for ``to_json`` or a JSON/Parquet sink.
 
-    ``evidence`` is the bounded array form (``results_with_evidence``).  A check
-    whose evidence needs several parts continues in further documents of the
-    same commit (``part`` 1, 2, ...).
+    ``evidence`` are the distinct (commit, key, path) rows of the file rules.
+    A commit with more than ``max_items`` of them continues in further
+    documents (``part`` 1, 2, ...), each with its share of the evidence.
     """
     if evidence is None:
         found = reports.selectExpr("*", "0 AS part")
-        items = "check.term_evidence"
+        file_items = NO_TEXTS
     else:
-        # At most ten checks per commit and part: a bounded collection.
-        per_commit = evidence.groupBy(*COMMIT, "part").agg(
-            F.expr("map_from_entries(collect_list(struct(key, evidence))) AS items")
-        )
-        found = reports.join(per_commit, COMMIT, "left")
-        items = f"coalesce(items[check.key], {NO_TEXTS})"
+        items = evidence.selectExpr(*COMMIT, "struct(key, path) AS item")
+        arrays = collect_in_parts(items, COMMIT, "item", "items", max_items)
+        found = reports.join(arrays, COMMIT, "left")
+        own = "filter(items, item -> item.key = check.key)"
+        file_items = f"coalesce(transform({own}, item -> item.path), {NO_TEXTS})"
     kept = ("key", "title", "passed", "points", "recommendation")
     fields = ", ".join(f"'{name}', check.{name}" for name in kept)
-    document = f"named_struct({fields}, 'evidence', {items})"
+    document = f"named_struct({fields}, 'evidence', concat(check.term_evidence, {file_items}))"
     return found.selectExpr(
         *COMMIT,
         "coalesce(part, 0) AS part",

@@ -38,6 +38,9 @@ FILE_RULES = {
     "data_dictionary": catalog.DICTIONARY_NAMES,
 }
 FILE_FLAGS = (*FILE_RULES, "tests")
+# Bits of the ``hits`` mask: one per file rule, and one for listed commits.
+_HIT = {key: 1 << bit for bit, key in enumerate(FILE_FLAGS)}
+_LISTED = 1 << len(FILE_FLAGS)
 # Policy columns that matter for single files.
 FILE_POLICY = ("ignore_paths", "required_files", "privacy_terms")
 
@@ -60,6 +63,12 @@ def visible_files(files: DataFrame, policies: DataFrame | None, dialect: str = "
 
 
 def _file_signals(files: DataFrame, policies: DataFrame | None, dialect: str) -> DataFrame:
+    """Every file as fixed-width columns.
+
+    There is no filter on relevant files: Catalyst would push it below the
+    projections and evaluate every rule twice, which costs more than handing
+    rows without any bit to the partial aggregation.
+    """
     readme = paths.is_root_readme("path_norm")
     staged = visible_files(files, policies, dialect).selectExpr(
         *COMMIT,
@@ -70,21 +79,18 @@ def _file_signals(files: DataFrame, policies: DataFrame | None, dialect: str) ->
         f"lower(IF({readme}, content, NULL)) AS readme",
         "privacy_terms",
         "required_files",
-        "array_contains(required_files, path_norm) AS is_required",
     )
-    flags = [f"{_matches(key)} AS {key}" for key in FILE_FLAGS]
-    relevant = [_matches(key) for key in FILE_FLAGS]
+    hits = " + ".join(f"IF({_matches(key)}, {_HIT[key]}L, 0L)" for key in FILE_FLAGS)
     terms = strings.list_mask("privacy_terms", "contains(readme, item)")
     required = strings.list_mask("required_files", "item = path_norm")
-    return staged.filter(any_of([*relevant, "readme_name IS NOT NULL", "is_required"])).selectExpr(
+    return staged.selectExpr(
         *COMMIT,
         "readme_name",
         "seq",
-        *flags,
+        f"{hits} AS hits",
         f"{strings.phrase_mask('readme', dialect)} AS phrases",
         f"IF(readme IS NULL, NULL, {terms}) AS privacy_found",
-        f"IF(is_required, {required}, 0L) AS required_found",
-        "false AS listed",
+        f"IF(array_contains(required_files, path_norm), {required}, 0L) AS required_found",
     )
 
 
@@ -96,44 +102,47 @@ def commit_signals(
 ) -> DataFrame:
     """One row per commit: its policy and everything the checks look at.
 
-    Columns besides the policy: ``has_<check>`` per file rule, ``phrases`` and
-    ``privacy_found`` (masks of the chosen README), ``required_found`` (mask of
-    the required files that exist).
+    Columns besides the policy: ``hits`` (mask of the file rules), ``phrases``
+    and ``privacy_found`` (masks of the chosen README), ``required_found``
+    (mask of the required files that exist).
     """
     catalog.require_dialect(dialect)
+    listed = commits.selectExpr(*COMMIT, f"{_LISTED}L AS hits")
     combined = (
         _file_signals(files, policies, dialect)
-        .unionByName(commits.selectExpr(*COMMIT, "true AS listed"), allowMissingColumns=True)
+        .unionByName(listed, allowMissingColumns=True)
         .groupBy(*COMMIT)
         .agg(
-            F.bool_or("listed").alias("listed"),
-            *[F.bool_or(key).alias(key) for key in FILE_FLAGS],
-            *readme_aggregates("phrases", "readme_name"),
-            *readme_aggregates("privacy_found", "readme_name", "privacy_"),
+            F.bit_or("hits").alias("hits"),
             F.bit_or("required_found").alias("required_found"),
+            *readme_aggregates("phrases", "privacy_found", path="readme_name"),
         )
-        .filter("listed")
+        .filter(f"(hits & {_LISTED}L) <> 0")
         .selectExpr(
             *COMMIT,
-            *[f"coalesce({key}, false) AS has_{key}" for key in FILE_FLAGS],
-            f"coalesce({pick_readme(dialect)}, 0L) AS phrases",
-            f"coalesce({pick_readme(dialect, 'privacy_')}, 0L) AS privacy_found",
+            "hits",
+            f"coalesce({pick_readme('phrases', dialect)}, 0L) AS phrases",
+            f"coalesce({pick_readme('privacy_found', dialect)}, 0L) AS privacy_found",
             "coalesce(required_found, 0L) AS required_found",
         )
     )
     return with_policy(combined, policies, ["sha"])
 
 
+def _hit(key: str) -> str:
+    return f"((hits & {_HIT[key]}L) <> 0)"
+
+
 # Whether a check passed, from the columns of a commit-signals row.
 _PASS_RULES = {
-    **{key: f"has_{key}" for key in FILE_FLAGS},
+    **{key: _hit(key) for key in FILE_FLAGS},
     "readme": strings.any_in_mask("phrases", strings.NOT_BLANK),
-    "reproduction": "(has_reproduction OR "
-    + strings.any_in_mask("phrases", *catalog.REPRODUCTION_PHRASES)
-    + ")",
-    "data_dictionary": "(has_data_dictionary OR "
-    + strings.any_in_mask("phrases", *catalog.DICTIONARY_PHRASES)
-    + ")",
+    "reproduction": any_of(
+        [_hit("reproduction"), strings.any_in_mask("phrases", *catalog.REPRODUCTION_PHRASES)]
+    ),
+    "data_dictionary": any_of(
+        [_hit("data_dictionary"), strings.any_in_mask("phrases", *catalog.DICTIONARY_PHRASES)]
+    ),
     "provenance": strings.any_in_mask("phrases", *catalog.PROVENANCE_TERMS),
     "privacy": "(privacy_found <> 0)",
     "ethics": strings.any_in_mask("phrases", *catalog.ETHICS_TERMS),
@@ -205,7 +214,6 @@ def file_evidence(
     found = ", ".join(f"IF({_matches(key)}, {text(key)}, NULL)" for key in keys)
     rows = (
         visible_files(files, policies, dialect)
-        .filter(any_of(_matches(key) for key in keys))
         .selectExpr(
             *COMMIT, f"explode(array_compact(array({found}))) AS key", "path_norm AS path"
         )

@@ -163,10 +163,8 @@ def attach_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("report_json")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signals = _signals(spark, sf_dir)
     evidence = plan.file_evidence(fx.files(spark, sf_dir), _typed_policies(spark, sf_dir))
-    arrays = plan.results_with_evidence(plan.check_results(signals), evidence)
-    documents = publishing.report_documents(plan.reports(signals), arrays)
+    documents = publishing.report_documents(_reports(spark, sf_dir), evidence)
     return publishing.report_json(documents)
 
 
@@ -562,19 +560,24 @@ def check_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _flat_runs(publishing.check_runs(_reports(spark, sf_dir)))
 
 
-def _published(report: DataFrame) -> DataFrame:
+@fx.landed
+def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Published check runs: those of every third commit have another name."""
     name = f"IF(CAST(sha AS BIGINT) % 3 = 0, 'Other check', '{catalog.REPORT_TITLE}') AS name"
     title = f"{publishing.check_run_title()} AS title"
-    return report.selectExpr("repository", "sha AS head_sha", name, title)
+    return _reports(spark, sf_dir, "js").selectExpr("repository", "sha AS head_sha", name, title)
+
+
+def _previous(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return publishing.previous_scores(fx.commits(spark, sf_dir), _published(spark, sf_dir))
 
 
 @_register("check_run_js")
 def check_run_js(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With annotations and the score change since the parent commit."""
     report = _reports(spark, sf_dir, "js")
-    previous = publishing.previous_scores(fx.commits(spark, sf_dir), _published(report))
-    runs = publishing.check_runs(report, "js", files=fx.files(spark, sf_dir), previous=previous)
+    previous, files = _previous(spark, sf_dir), fx.files(spark, sf_dir)
+    runs = publishing.check_runs(report, "js", files=files, previous=previous)
     notes = "transform(output.annotations, note -> concat_ws(':', note.path, note.title))"
     return runs.selectExpr(
         "repository",
@@ -604,14 +607,12 @@ def annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("previous_score")
 def previous_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    published = _published(_reports(spark, sf_dir, "js"))
-    return publishing.previous_scores(fx.commits(spark, sf_dir), published)
+    return _previous(spark, sf_dir)
 
 
 @_register("score_delta")
 def score_delta(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = _reports(spark, sf_dir, "js")
-    previous = publishing.previous_scores(fx.commits(spark, sf_dir), _published(report))
+    report, previous = _reports(spark, sf_dir, "js"), _previous(spark, sf_dir)
     change = f"{publishing.score_delta()} AS score_change"
     return report.join(previous, COMMIT, "left").selectExpr(*COMMIT, change)
 

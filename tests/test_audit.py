@@ -246,10 +246,14 @@ def test_large_evidence_comes_in_parts(spark):
     assert sorted(p for row in rows for p in row.evidence) == sorted(
         path.lower() for path, _ in entries[:-1]
     )
-    documents = publishing.report_documents(plan.reports(signals), arrays)
-    small = [row for row in documents.collect() if row.repository == "o/small"]
+    documents = publishing.report_documents(plan.reports(signals), evidence, max_items=50).collect()
+    small = [row for row in documents if row.repository == "o/small"]
     assert [row.part for row in small] == [0]
     assert {c.key: c.evidence for c in small[0].checks}["license"] == ["license"]
+    large = [{c.key: c.evidence for c in row.checks} for row in documents if row.sha == KEY[1]]
+    assert len(large) > 5
+    assert sum(len(checks["license"]) for checks in large) == 500
+    assert sum(len(checks["reproduction"]) for checks in large) == 1
 
 
 def test_stored_results_score_like_the_audit(spark):

@@ -128,3 +128,30 @@ def test_pick_policy(spark):
     assert picked(dialect="js") == {"both": "Y", "null": None}
     assert picked(exact_case=True) == {"both": "Y", "null": "Y"}
     assert picked(policy_files=("docs/" + yml,)) == {"nested": "X"}
+
+
+def test_yaml_documents(spark):
+    pytest.importorskip("yaml")
+    texts = {
+        "controls": "minimum_score: 95\ndisabled_checks: [ethics]\n"
+        "required_files: [CITATION.cff, docs/protocol.md]\nignore_paths: [generated]\n",
+        "values": "minimum_score: 80.0\nrequired_files: [2024-01-01, .nan, yes, a]\n",
+        "comment": "# nothing here\n",
+        "scalar": "just text",
+        "broken": "a: [1",
+        "none": None,
+    }
+    raw = po.policies_from_yaml(frames.raw_policies(spark, texts))
+    rows = frames.by_key(po.validate_policies(raw), "repository")
+    row = rows[("controls",)]
+    assert (row.minimum_score, row.policy_warnings) == (95, [])
+    assert row.disabled_checks == ["ethics"]
+    assert row.required_files == ["citation.cff", "docs/protocol.md"]
+    bad_item = "`required_files` contains a non-string or empty value."
+    assert rows[("values",)].required_files == ["a"]
+    assert rows[("values",)].policy_warnings == [catalog.WARN_MINIMUM_SCORE] + [bad_item] * 3
+    assert rows[("comment",)].policy_warnings == rows[("none",)].policy_warnings == []
+    assert rows[("scalar",)].policy_warnings == [catalog.WARN_NOT_OBJECT]
+    assert rows[("broken",)].policy_warnings[0].startswith("Could not parse policy YAML: while")
+    js = frames.by_key(po.validate_policies(raw, "js"), "repository")
+    assert js[("comment",)].policy_warnings == [catalog.WARN_NOT_OBJECT]

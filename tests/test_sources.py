@@ -75,6 +75,8 @@ def test_inventory_round_trip_and_pruning(spark, tmp_path):
     targets = spark.createDataFrame([("o/r", "a"), ("o/r", "zzz")], "repository string, sha string")
     kept = inventory.restrict_to(stored, targets, buckets=16)
     assert {(r.sha, r.path) for r in kept.collect()} == {("a", "README.md"), ("a", "LICENSE")}
+    pruned = inventory.restrict_to(stored, targets.filter("sha <> 'b'"), buckets=16)
+    assert "dynamicpruning" in pruned._jdf.queryExecution().executedPlan().toString()
 
 
 def test_check_runs_are_idempotent(spark, tmp_path):
