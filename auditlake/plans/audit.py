@@ -52,6 +52,15 @@ def _matches(key: str) -> str:
     return one_of("base", FILE_RULES[key])
 
 
+def _hits(keys: tuple[str, ...]) -> str:
+    """Mask of the file rules that hold for ``path_norm`` / ``base``."""
+    return " + ".join(f"IF({_matches(key)}, {_HIT[key]}L, 0L)" for key in keys)
+
+
+def _hit(key: str) -> str:
+    return f"((hits & {_HIT[key]}L) <> 0)"
+
+
 def visible_files(files: DataFrame, policies: DataFrame | None, dialect: str = "py") -> DataFrame:
     """Files with ``path_norm``, ``base`` and the file-level policy columns,
     without the files the policy ignores."""
@@ -80,14 +89,13 @@ def _file_signals(files: DataFrame, policies: DataFrame | None, dialect: str) ->
         "privacy_terms",
         "required_files",
     )
-    hits = " + ".join(f"IF({_matches(key)}, {_HIT[key]}L, 0L)" for key in FILE_FLAGS)
     terms = strings.list_mask("privacy_terms", "contains(readme, item)")
     required = strings.list_mask("required_files", "item = path_norm")
     return staged.selectExpr(
         *COMMIT,
         "readme_name",
         "seq",
-        f"{hits} AS hits",
+        f"{_hits(FILE_FLAGS)} AS hits",
         f"{strings.phrase_mask('readme', dialect)} AS phrases",
         f"IF(readme IS NULL, NULL, {terms}) AS privacy_found",
         f"IF(array_contains(required_files, path_norm), {required}, 0L) AS required_found",
@@ -129,10 +137,6 @@ def commit_signals(
     return with_policy(combined, policies, ["sha"])
 
 
-def _hit(key: str) -> str:
-    return f"((hits & {_HIT[key]}L) <> 0)"
-
-
 # Whether a check passed, from the columns of a commit-signals row.
 _PASS_RULES = {
     **{key: _hit(key) for key in FILE_FLAGS},
@@ -211,13 +215,14 @@ def file_evidence(
     ``tests`` is limited to the first five paths by the rules; each task keeps
     at most five candidates per commit before the shuffle.
     """
-    found = ", ".join(f"IF({_matches(key)}, {text(key)}, NULL)" for key in keys)
+    # One row per path goes through the shuffle, whatever the number of checks.
+    found = ", ".join(f"IF({_hit(key)}, {text(key)}, NULL)" for key in keys)
     rows = (
         visible_files(files, policies, dialect)
-        .selectExpr(
-            *COMMIT, f"explode(array_compact(array({found}))) AS key", "path_norm AS path"
-        )
+        .selectExpr(*COMMIT, "path_norm AS path", f"{_hits(keys)} AS hits")
+        .filter("hits <> 0")
         .distinct()
+        .selectExpr(*COMMIT, f"explode(array_compact(array({found}))) AS key", "path")
     )
     if "tests" not in keys:
         return rows
