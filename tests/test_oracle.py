@@ -34,8 +34,8 @@ def test_data_reaches_the_interesting_cases(spark, duck):
     grades = duck.execute(f"SELECT DISTINCT grade FROM ({sql['audit']})").fetchall()
     assert {row[0] for row in grades} == set("ABCDF")
     (differs,) = duck.execute(
-        f"SELECT count(*) FROM ({sql['score']}) JOIN ({sql['score_js']}) j USING (sha)"
-        " WHERE possible = j.possible AND earned = j.earned AND score <> j.score"
+        f"SELECT count(*) FROM ({sql['score']}) p JOIN ({sql['score_js']}) j USING (sha)"
+        " WHERE p.possible = j.possible AND p.earned = j.earned AND p.score <> j.score"
     ).fetchall()
     assert differs[0] > 0
     statuses = duck.execute(f"SELECT DISTINCT status FROM ({sql['event_status']})").fetchall()
