@@ -21,8 +21,9 @@ def lookup(
     """Left join of ``facts`` with a table that holds each key at most once.
 
     No broadcast hint: Catalyst and AQE broadcast ``table`` only when its size
-    is known to be below ``spark.sql.autoBroadcastJoinThreshold``.  Beyond that
-    the join shuffles, and the rows of one hot key are spread over ``salts``
+    is known to be below ``spark.sql.autoBroadcastJoinThreshold`` (static
+    estimates leave out the ``salts`` copies, so what is broadcast can be that
+    many times the threshold, not more).  Beyond that the join shuffles, and the rows of one hot key are spread over ``salts``
     partitions by a hash of ``spread_on``.  The hash is deterministic, so a task
     that is run again after a lost executor puts each row in the same place.
     Because the salt is part of the join key, no later aggregation relies on

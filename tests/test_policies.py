@@ -110,6 +110,16 @@ def test_blank_entries_depend_on_the_dialect(spark):
     assert typed(spark, text, "js").required_files == ["\x1c"]
 
 
+def test_null_is_not_the_same_as_absent(spark):
+    for dialect in catalog.DIALECTS:
+        row = typed(spark, '{"required_files":null,"privacy_terms":{"a":1}}', dialect)
+        assert row.policy_warnings == [
+            "`required_files` must be a list of paths or check keys.",
+            "`privacy_terms` must be a list of paths or check keys.",
+        ]
+        assert row.privacy_terms == list(catalog.DEFAULT_PRIVACY_TERMS)
+
+
 def test_pick_policy(spark):
     yml, yaml = catalog.POLICY_FILES
     files = frames.files(
