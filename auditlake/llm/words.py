@@ -17,8 +17,10 @@ CHUNK_BYTES = 2_000_000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+NOT_LETTER = np.ones(256, dtype=bool)
+NOT_LETTER[97:123] = NOT_LETTER[65:91] = NOT_LETTER[128:] = False
 _powers = np.ones((2, 1), dtype=np.uint64)
 
 
@@ -60,10 +62,10 @@ class Texts:
     ``start``, ``end`` and ``doc`` describe each word; ``first`` gives the first word of each text.
     """
 
-    def __init__(self, raw: np.ndarray, offsets: np.ndarray):
+    def __init__(self, raw: np.ndarray, offsets: np.ndarray, blank: np.ndarray = BLANK):
         self.raw, self.offsets = raw, offsets
         self.data = _LOWER[raw]
-        word = ~_BLANK[raw]
+        word = ~blank[raw]
         edge = np.zeros(len(raw) + 1, dtype=bool)
         edge[offsets] = True
         starts, ends = word.copy(), word.copy()
@@ -149,7 +151,9 @@ def slices(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[i
         row = stop
 
 
-def texts(column: pa.Array, chunk_bytes: int = CHUNK_BYTES) -> Iterator[tuple[int, int, Texts]]:
-    """The words of a text column, by runs of rows."""
+def texts(
+    column: pa.Array, blank: np.ndarray = BLANK, chunk_bytes: int = CHUNK_BYTES
+) -> Iterator[tuple[int, int, Texts]]:
+    """The words of a text column, by runs of rows; ``blank`` tells which bytes part words."""
     for row, stop, data, offsets in slices(column, chunk_bytes):
-        yield row, stop, Texts(data, offsets)
+        yield row, stop, Texts(data, offsets, blank)
