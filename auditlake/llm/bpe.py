@@ -33,7 +33,7 @@ PATTERN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-REMEMBERED = 150_000
+REMEMBERED = 130_000
 LONG = 64
 _BITS, _PLACE = 20, 32
 _IDS, _PLACES = (1 << _BITS) - 1, (1 << _PLACE) - 1
@@ -131,16 +131,19 @@ class BytePairs:
 
 
 class _Remembered(dict):
-    """Results by short keys, forgotten all at once when there are too many."""
+    """Results by short keys. When there are too many, only those that are used again outlive the next filling."""
 
     def __init__(self, make):
         super().__init__()
-        self.make = make
+        self.make, self.older = make, {}
 
     def __missing__(self, key: str):
-        value = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
         if len(key) <= LONG:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[key] = value
         return value

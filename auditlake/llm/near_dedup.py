@@ -9,7 +9,8 @@ candidates' whole sets are compared.
 
 Documents with equal sets are one class from the start. Classes that meet in a band link first to the
 least and the greatest class of the band, and after that only across groups that are not connected yet, so
-that a group of n copies costs about n comparisons. With 48 bands of four coordinates a pair at the
+that a group of n copies costs about n comparisons. Across groups, a pair is compared once, in the first band
+that it shares, and only if enough of both sets occurs in other groups at all. With 48 bands of four coordinates a pair at the
 threshold of 0.75 shares none with a probability of 1e-8. Before whole sets are compared, pairs are left
 out that differ in too many of 256 one-bit coordinates: 61 or more have a probability of 4e-8 at 0.75.
 
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import words
@@ -115,13 +116,58 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row for each shingle of each set."""
+    for batch in batches:
+        sets = [np.frombuffer(x.as_buffer(), dtype=np.int64) for x in batch.column("shingles")]
+        if sets:
+            rows = pa.array(np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+            columns = {c: batch.column(c).take(rows) for c in ("node", "part")}
+            yield pa.RecordBatch.from_pydict({"shingle": np.concatenate(sets), **columns})
+
+
 def _likely(pairs: DataFrame, facts: DataFrame) -> DataFrame:
     """Pairs of classes whose sizes and one-bit coordinates allow a likeness of 0.75."""
-    left = facts.select(*(F.col(c).alias(f"a_{c}" if c != "node" else "a") for c in facts.columns))
-    right = facts.select(*(F.col(c).alias(f"b_{c}" if c != "node" else "b") for c in facts.columns))
+    left, right = (_side(facts.drop("brief"), s) for s in "ab")
+    return pairs.join(left, "a").join(right, "b").filter(_near()).select("a", "b")
+
+
+def _side(frame: DataFrame, side: str) -> DataFrame:
+    """Columns of one side of a pair: the node bears the side's name, the rest begins with it."""
+    return frame.select(*(F.col(c).alias(side if c == "node" else f"{side}_{c}") for c in frame.columns))
+
+
+def _near() -> Column:
     differ = sum(F.bit_count(F.col(f"a_bits{k}").bitwiseXOR(F.col(f"b_bits{k}"))) for k in range(BINS // 64))
-    sizes = F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * 75
-    return pairs.join(left, "a").join(right, "b").filter(sizes & (differ < FAR_BITS)).select("a", "b")
+    return (F.least("a_n", "b_n") * 100 >= F.greatest("a_n", "b_n") * 75) & (differ < FAR_BITS)
+
+
+def _rest(shared: DataFrame, grown: DataFrame, facts: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs that share a band, aren't connected yet and may be alike, each once.
+
+    Shingles that no other group of these bands has can't be shared across groups; the others of a set bound what
+    it shares with any.
+    """
+    part = F.coalesce("component", "node").alias("part")
+    named = shared.select("band", "place", "node").join(grown, "node", "left").select("band", "place", "node", part)
+    split = named.groupBy("band").agg(F.min("part").alias("one"), F.max("part").alias("two")).filter("one < two")
+    alive = cut(named.join(split.select("band"), "band", "left_semi"))
+    tokens = cut(
+        sets.join(alive.select("node", "part").distinct(), "node").mapInArrow(
+            _tokens, "shingle bigint, node bigint, part bigint"
+        )
+    )
+    common = tokens.groupBy("shingle").agg(F.min("part").alias("one"), F.max("part").alias("two")).filter("one < two")
+    common = tokens.join(common.select("shingle"), "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("most"))
+    able = facts.join(common, "node").filter("100 * most >= 75 * n")
+    left = cut(alive.join(able, "node"))
+    most = F.least("a_most", "b_most")
+    first = F.array_position(F.zip_with("a_brief", "b_brief", lambda x, y: x == y), True)
+    sides = (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part"))
+    bound = most * 100 >= (F.col("a_n") + F.col("b_n") - most) * 75
+    one, two = _side(left, "a"), _side(left, "b")
+    pairs = one.join(two, (one.a_band == two.b_band) & sides & bound & _near() & (first == F.col("a_place") + 1))
+    return pairs.select("a", "b")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -143,11 +189,12 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     nodes = full.select("class", "n_shingles", "bands", *bits, F.col("doc_id").alias("node")).join(
         classes, ["class", "node"], "left_semi"
     )
-    banded = nodes.select("node", F.explode("bands").alias("band"))
+    banded = nodes.select("node", F.posexplode("bands").alias("place", "band"))
     meet = banded.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
-    shared = cut(banded.join(meet, "band").select("band", "node", "low", "high"))
+    shared = cut(banded.join(meet, "band").select("band", "place", "node", "low", "high"))
     near = cut(shared.select("node").distinct())
-    facts = cut(nodes.select("node", F.col("n_shingles").alias("n"), *bits).join(near, "node", "left_semi"))
+    brief = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("brief")
+    facts = cut(nodes.select("node", F.col("n_shingles").alias("n"), *bits, brief).join(near, "node", "left_semi"))
     texts = pair.withColumnRenamed("doc_id", "node").join(near, "node", "left_semi")
     sets = cut(texts.mapInArrow(_whole_sets, "node bigint, shingles binary"))
 
@@ -159,14 +206,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     links = _verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
     links = _verified(_across(stars, grown := components(links)), sets).union(_as_links(grown))
     grown = components(links)
-    part = F.coalesce("component", "node")
-    named = shared.select("band", "node").join(grown, "node", "left").select("band", "node", part.alias("part"))
-    split = named.groupBy("band").agg(F.min("part").alias("one"), F.max("part").alias("two")).filter("one < two")
-    left = cut(named.join(split.select("band"), "band", "left_semi"))
-    right = left.select("band", F.col("node").alias("other"), F.col("part").alias("other_part"))
-    rest = left.join(right, "band").filter("node < other and part != other_part")
-    rest = rest.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    found = _verified(_likely(rest, facts), sets)
+    found = _verified(_rest(shared, grown, facts, sets), sets)
     same_id = full.join(classes, "class").filter("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     grown = components(found.union(_as_links(grown)).union(same_id))
 

@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+from auditlake.llm.bpe import op3_bpe
 from auditlake.llm.near_dedup import op9_near_duplicates
+from auditlake.llm.quality import op8_quality
+from auditlake.llm.token_counts import op2_token_counts
+from auditlake.llm.toxicity import op1_toxicity
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
+    "op2_token_counts": op2_token_counts,
+    "op3_bpe": op3_bpe,
+    "op8_quality": op8_quality,
     "op9_near_duplicates": op9_near_duplicates,
 }
 ORACLE_SQL: dict[str, str] = {}
