@@ -1,10 +1,16 @@
-"""Bounded samples of labelled documents for the classifiers."""
+"""What the classifiers share: bounded samples of labelled documents, scores, filters by score."""
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.llm import words
 from auditlake.llm.shared import remainder
 
 SAMPLE_ROWS = 12_000
@@ -30,3 +36,27 @@ def labelled_sample(
     texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     # at most ``rows`` rows of two numbers
     return texts.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+
+
+def with_scores(documents: DataFrame, score: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """doc_id and score for each row of ``documents``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {"doc_id": batch.column(0), "score": pa.array(score(words.text_column(batch)), pa.float64())}
+            yield pa.RecordBatch.from_pydict(columns)
+
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
+    return texts.mapInArrow(run, "doc_id bigint, score double")
+
+
+def filtered(documents: DataFrame, keep: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows of ``documents`` whose text ``keep`` tells to keep; all columns stay, whatever their names."""
+    at = documents.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column(at)
+            yield batch.filter(pa.array(keep(pc.fill_null(column, "") if column.null_count else column), pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)

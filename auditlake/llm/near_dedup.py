@@ -228,6 +228,23 @@ def _across(pairs: DataFrame, grown: DataFrame) -> DataFrame:
     return joined.filter(F.coalesce("one", "a") != F.coalesce("two", "b")).select("a", "b")
 
 
+def one_of_each(documents: DataFrame) -> DataFrame:
+    """One row of ``documents`` for each component: that of the least doc_id. All columns stay.
+
+    Of rows that repeat a doc_id the one with the least hash stays; rows without doc_id stay all.
+    """
+    found = near_duplicates(documents).filter("doc_id is not null")
+    found = found.groupBy("doc_id").agg(F.first("kept").alias("kept"), F.count("*").alias("rows"))
+    fate = cut(found.select(F.col("doc_id").alias("_doc"), "kept", (F.col("rows") > 1).alias("_again")).filter("kept"))
+    fate = fate.select("_doc", "_again")
+    joined = documents.select(F.struct("*").alias("_row"), F.col("doc_id").cast("bigint").alias("_doc"))
+    without = joined.filter("_doc is null").select("_row.*")
+    joined = joined.filter("_doc is not null").join(fate, "_doc")
+    single = joined.filter("not _again").select("_row.*")
+    again = joined.filter("_again").groupBy("_doc").agg(F.min_by("_row", F.xxhash64("_row")).alias("_row"))
+    return single.union(again.select("_row.*")).union(without)
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate documents, over the whole table."""
     return near_duplicates(table(spark, sf_dir, "documents"))

@@ -13,7 +13,7 @@ kind. Repeated rows are scored each. Other columns are not looked at. The fit se
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import words
-from auditlake.llm.labelled import SAMPLE_ROWS, held_out, labelled_sample
+from auditlake.llm.labelled import SAMPLE_ROWS, filtered, held_out, labelled_sample, with_scores
 from auditlake.llm.shared import table
 
 FOLDS, HELD_OUT = 5, 0
@@ -203,26 +203,28 @@ def train(sample: DataFrame) -> Trees:
     )
 
 
-def quality_scores(documents: DataFrame, model: Trees) -> DataFrame:
-    """doc_id and score (0 to 1) for each row of ``documents`` (doc_id, text)."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # some thousand numbers
+def scorer(spark: SparkSession, model: Trees) -> Callable[[pa.Array], np.ndarray]:
+    """A function that scores a text column inside a task."""
+    shared = spark.sparkContext.broadcast(model)  # some thousand numbers
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            scores = np.zeros(batch.num_rows)
-            for row, stop, text in words.texts(words.text_column(batch)):
-                scores[row:stop] = shared.value.scores(statistics(text))
-            yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": scores})
+    def score(column: pa.Array) -> np.ndarray:
+        scores = np.zeros(len(column))
+        for row, stop, text in words.texts(column):
+            scores[row:stop] = shared.value.scores(statistics(text))
+        return scores
 
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        score, "doc_id bigint, score double"
-    )
+    return score
+
+
+def model_of(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
+    """Trees fitted to the labelled documents that are not held out."""
+    return train(labelled_sample(documents, labels, "quality", FOLDS, HELD_OUT, rows))
 
 
 def quality(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``documents``."""
-    model = train(labelled_sample(documents, labels, "quality", FOLDS, HELD_OUT, rows))
-    return quality_scores(documents, model).select(
+    scored = with_scores(documents, scorer(documents.sparkSession, model_of(documents, labels, rows)))
+    return scored.select(
         "doc_id",
         held_out(FOLDS, HELD_OUT).alias("held_out"),
         "score",
@@ -230,6 +232,12 @@ def quality(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) ->
     )
 
 
+def of_quality(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``documents`` that score at or above the threshold; all columns stay."""
+    score = scorer(documents.sparkSession, model_of(documents, labels, rows))
+    return filtered(documents, lambda column: score(column) >= THRESHOLD)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document."""
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from auditlake.llm.bpe import op3_bpe
+from auditlake.llm.decontaminate import op10_decontamination
 from auditlake.llm.near_dedup import op9_near_duplicates
 from auditlake.llm.quality import op8_quality
 from auditlake.llm.token_counts import op2_token_counts
@@ -14,5 +15,6 @@ QUERIES = {
     "op3_bpe": op3_bpe,
     "op8_quality": op8_quality,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_decontamination": op10_decontamination,
 }
 ORACLE_SQL: dict[str, str] = {}

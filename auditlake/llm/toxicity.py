@@ -17,7 +17,7 @@ sees all texts.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import words
-from auditlake.llm.labelled import SAMPLE_ROWS, held_out, labelled_sample
+from auditlake.llm.labelled import SAMPLE_ROWS, filtered, held_out, labelled_sample, with_scores
 from auditlake.llm.shared import table
 
 SPACE = 1 << 19
@@ -228,36 +228,37 @@ def train(sample: DataFrame) -> dict[int, float]:
     return {r.feature: r.weight for r in fitted.collect()}  # at most three times SPACE numbers
 
 
-def toxicity_scores(documents: DataFrame, model: dict[int, float]) -> DataFrame:
-    """doc_id and score (0 to 1) for each row of ``documents`` (doc_id, text)."""
+def scorer(spark: SparkSession, model: dict[int, float]) -> Callable[[pa.Array], np.ndarray]:
+    """A function that scores a text column inside a task."""
     weights = np.zeros(SPACE * len(LEVELS), dtype=np.float32)
     for feature, weight in model.items():
         if feature >= 0:
             weights[feature] = weight
     bias = model.get(-1, -np.inf)
-    shared = documents.sparkSession.sparkContext.broadcast(weights)  # six megabytes, fixed by SPACE
+    shared = spark.sparkContext.broadcast(weights)  # six megabytes, fixed by SPACE
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def score(column: pa.Array) -> np.ndarray:
         own = shared.value
         known = own.reshape(len(LEVELS), SPACE).any(axis=0)
-        for batch in batches:
-            total = np.full(batch.num_rows, bias)
-            for row, stop, doc, feature in features(_lowered(words.text_column(batch))):
-                used = known[feature]
-                doc, feature = levels(doc[used], feature[used])
-                total[row:stop] += np.bincount(doc, weights=own[feature], minlength=stop - row)
-            with np.errstate(over="ignore"):
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "score": 1 / (1 + np.exp(-total))})
-
-    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(
-        score, "doc_id bigint, score double"
-    )
+        total = np.full(len(column), bias)
+        for row, stop, doc, feature in features(_lowered(column)):
+            used = known[feature]
+            doc, feature = levels(doc[used], feature[used])
+            total[row:stop] += np.bincount(doc, weights=own[feature], minlength=stop - row)
+        with np.errstate(over="ignore"):
+            return 1 / (1 + np.exp(-total))
+
+    return score
+
+
+def model_of(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> dict[int, float]:
+    """Weights fitted to the labelled documents that are not held out."""
+    return train(labelled_sample(documents, labels, "toxic", FOLDS, HELD_OUT, rows))
 
 
 def toxicity(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of ``documents``."""
-    model = train(labelled_sample(documents, labels, "toxic", FOLDS, HELD_OUT, rows))
-    scored = toxicity_scores(documents, model)
+    scored = with_scores(documents, scorer(documents.sparkSession, model_of(documents, labels, rows)))
     return scored.select(
         "doc_id",
         held_out(FOLDS, HELD_OUT).alias("held_out"),
@@ -266,6 +267,12 @@ def toxicity(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -
     )
 
 
+def without_toxic(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """The rows of ``documents`` that score below the threshold; all columns stay."""
+    score = scorer(documents.sparkSession, model_of(documents, labels, rows))
+    return filtered(documents, lambda column: score(column) < THRESHOLD)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document."""
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
