@@ -36,6 +36,7 @@ BINS = 256
 BANDS = 48
 ROWS = 4
 FAR_BITS = 61
+MAP_WORDS = 16
 _SEEDS = words.mix(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
@@ -101,8 +102,13 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        found = [s.tobytes() for s in _sets(words.text_column(batch))]
-        yield pa.RecordBatch.from_pydict({"node": batch.column(0), "shingles": pa.array(found, pa.binary())})
+        sets = list(_sets(words.text_column(batch)))
+        maps = np.zeros((len(sets), MAP_WORDS * 64), dtype=np.uint8)
+        for k, found in enumerate(sets):
+            maps[k, (found % np.uint64(MAP_WORDS * 64)).astype(np.int64)] = 1
+        maps = np.packbits(maps, axis=1).view(np.int64).reshape(len(sets), MAP_WORDS)
+        columns = {"node": batch.column(0), "shingles": pa.array([s.tobytes() for s in sets], pa.binary())}
+        yield pa.RecordBatch.from_pydict(columns | {f"map{k}": pa.array(maps[:, k]) for k in range(MAP_WORDS)})
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +152,7 @@ def _rest(shared: DataFrame, grown: DataFrame, facts: DataFrame, sets: DataFrame
     """Pairs that share a band, aren't connected yet and may be alike, each once.
 
     Shingles that no other group of these bands has can't be shared across groups; the others of a set bound what
-    it shares with any.
+    it shares with any. A bit that only one set of a pair has stands for a shingle at least that the other lacks.
     """
     part = F.coalesce("component", "node").alias("part")
     named = shared.select("band", "place", "node").join(grown, "node", "left").select("band", "place", "node", part)
@@ -160,13 +166,20 @@ def _rest(shared: DataFrame, grown: DataFrame, facts: DataFrame, sets: DataFrame
     common = tokens.groupBy("shingle").agg(F.min("part").alias("one"), F.max("part").alias("two")).filter("one < two")
     common = tokens.join(common.select("shingle"), "shingle", "left_semi").groupBy("node").agg(F.count("*").alias("most"))
     able = facts.join(common, "node").filter("100 * most >= 75 * n")
-    left = cut(alive.join(able, "node"))
+    left = cut(alive.join(able, "node").join(sets.drop("shingles"), "node"))
     most = F.least("a_most", "b_most")
     first = F.array_position(F.zip_with("a_brief", "b_brief", lambda x, y: x == y), True)
     sides = (F.col("a") < F.col("b")) & (F.col("a_part") != F.col("b_part"))
-    bound = most * 100 >= (F.col("a_n") + F.col("b_n") - most) * 75
+
+    def lacks(one: str, two: str) -> Column:
+        bits = (F.col(f"{one}_map{k}").bitwiseAND(F.bitwise_not(F.col(f"{two}_map{k}"))) for k in range(MAP_WORDS))
+        return F.col(f"{one}_n") - sum(F.bit_count(b) for b in bits)
+
+    sizes = F.col("a_n") + F.col("b_n")
+    bound = most * 175 >= sizes * 75
+    exact = F.least(lacks("a", "b"), lacks("b", "a")) * 175 >= sizes * 75
     one, two = _side(left, "a"), _side(left, "b")
-    pairs = one.join(two, (one.a_band == two.b_band) & sides & bound & _near() & (first == F.col("a_place") + 1))
+    pairs = one.join(two, (one.a_band == two.b_band) & sides & bound & _near() & exact & (first == F.col("a_place") + 1))
     return pairs.select("a", "b")
 
 
@@ -196,7 +209,8 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     brief = F.transform("bands", lambda x: F.shiftright(x, 32).cast("int")).alias("brief")
     facts = cut(nodes.select("node", F.col("n_shingles").alias("n"), *bits, brief).join(near, "node", "left_semi"))
     texts = pair.withColumnRenamed("doc_id", "node").join(near, "node", "left_semi")
-    sets = cut(texts.mapInArrow(_whole_sets, "node bigint, shingles binary"))
+    maps = "".join(f", map{k} bigint" for k in range(MAP_WORDS))
+    sets = cut(texts.mapInArrow(_whole_sets, "node bigint, shingles binary" + maps))
 
     def ordered(one: str, two: str) -> list:
         return [F.least(one, two).alias("a"), F.greatest(one, two).alias("b")]
