@@ -4,17 +4,21 @@ from __future__ import annotations
 
 from auditlake.llm.bpe import op3_bpe
 from auditlake.llm.decontaminate import op10_decontamination
+from auditlake.llm.fingerprints import op6_fingerprints
 from auditlake.llm.near_dedup import op9_near_duplicates
 from auditlake.llm.quality import op8_quality
 from auditlake.llm.recurrent_lm import op5_recurrent_lm
 from auditlake.llm.token_counts import op2_token_counts
 from auditlake.llm.toxicity import op1_toxicity
+from auditlake.llm.url_filter import op7_url_filter
 
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
     "op5_recurrent_lm": op5_recurrent_lm,
+    "op6_fingerprints": op6_fingerprints,
+    "op7_url_filter": op7_url_filter,
     "op8_quality": op8_quality,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_decontamination": op10_decontamination,
