@@ -33,7 +33,7 @@ PATTERN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-REMEMBERED = 130_000
+REMEMBERED = 250_000
 LONG = 64
 _BITS, _PLACE = 20, 32
 _IDS, _PLACES = (1 << _BITS) - 1, (1 << _PLACE) - 1
@@ -68,6 +68,7 @@ class BytePairs:
         self.strings |= {i: name.encode() for name, i in special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.ids = _Remembered(self._piece_ids)
+        self.spaced = _Remembered(lambda word: ",".join(map(self.ids.__getitem__, PATTERN.findall(" " + word))))
         self.bytes = _Remembered(self._joined_bytes)
 
     def merge(self, piece: bytes) -> list[int]:
@@ -106,16 +107,27 @@ class BytePairs:
     def _joined_bytes(self, ids: str) -> bytes:
         return b"".join(self.strings[int(i)] for i in ids.split(","))
 
+    def _segment(self, text: str) -> list[str]:
+        """Ids of a text without special tokens, by pieces or by several at once.
+
+        A space before anything but white space begins a piece, so without double spaces the text can be parted there, and
+        what lies between two of them is remembered as a whole.
+        """
+        if "  " in text:
+            return list(map(self.ids.__getitem__, PATTERN.findall(text)))
+        first, *rest = text.split(" ")
+        return [*map(self.ids.__getitem__, PATTERN.findall(first)), *map(self.spaced.__getitem__, rest)]
+
     def encode_pieces(self, text: str) -> list[str]:
-        """Decimal ids, joined by commas, for each piece of a text."""
+        """Decimal ids, joined by commas, for each part of a text."""
         if self.cut is None or not self.cut.search(text):
-            return list(map(self.ids.__getitem__, PATTERN.findall(text)))
+            return self._segment(text)
         found, at = [], 0
         for special in self.cut.finditer(text):
-            found += map(self.ids.__getitem__, PATTERN.findall(text[at : special.start()]))
+            found += self._segment(text[at : special.start()])
             found.append(str(self.special[special[0]]))
             at = special.end()
-        return found + list(map(self.ids.__getitem__, PATTERN.findall(text[at:])))
+        return found + self._segment(text[at:])
 
     def decode_pieces(self, pieces: Iterable[str]) -> str:
         """The text of decimal ids joined by commas."""

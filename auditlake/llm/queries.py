@@ -5,6 +5,7 @@ from __future__ import annotations
 from auditlake.llm.bpe import op3_bpe
 from auditlake.llm.decontaminate import op10_decontamination
 from auditlake.llm.fingerprints import op6_fingerprints
+from auditlake.llm.html_text import op4_html_text
 from auditlake.llm.near_dedup import op9_near_duplicates
 from auditlake.llm.quality import op8_quality
 from auditlake.llm.recurrent_lm import op5_recurrent_lm
@@ -16,6 +17,7 @@ QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op2_token_counts": op2_token_counts,
     "op3_bpe": op3_bpe,
+    "op4_html_text": op4_html_text,
     "op5_recurrent_lm": op5_recurrent_lm,
     "op6_fingerprints": op6_fingerprints,
     "op7_url_filter": op7_url_filter,
