@@ -15,7 +15,6 @@ from auditlake.operators.fleet import (
 )
 from auditlake.operators.policies import (
     pick_policy,
-    policies_from_yaml,
     validate_policies,
 )
 from auditlake.operators.publishing import (
@@ -50,7 +49,6 @@ __all__ = [
     "file_evidence",
     "markdown_reports",
     "pick_policy",
-    "policies_from_yaml",
     "previous_scores",
     "public_repositories",
     "read_check_runs",

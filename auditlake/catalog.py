@@ -147,9 +147,6 @@ DEFAULT_PRIVACY_TERMS = (
     "person-level",
     "sensitive data",
 )
-POLICY_LIST_LIMIT = 50
-TEST_EVIDENCE_LIMIT = 5
-ANNOTATION_LIMIT = 50
 
 # Grade floors, best first; anything lower is an F.
 GRADES = ((90, "A"), (80, "B"), (70, "C"), (60, "D"))
@@ -165,7 +162,7 @@ WARN_NOT_LIST = "`{key}` must be a list of paths or check keys."
 WARN_BAD_ITEM = "`{key}` contains a non-string or empty value."
 WARN_UNKNOWN_CHECK = "Unknown disabled check: `{key}`."
 WARN_UNPARSABLE = "Could not parse policy document."
-WARN_UNPARSABLE_YAML = "Could not parse policy YAML: "
+WARN_UNPARSABLE_JS = "Could not parse `{path}`: it is not one JSON value."
 
 # Report wording.
 PASS_LABEL = "✅ Pass"

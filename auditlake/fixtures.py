@@ -89,6 +89,11 @@ PHRASES = (
 )
 
 # Policy documents (index 0-15); None is "no policy file".
+# 200 required files, one of which is there, and 100 privacy terms.
+LONG_POLICY = (
+    '{"required_files":[' + ",".join(f'"need/file{n}.txt"' for n in range(199)) + ',"LICENSE"],'
+    '"privacy_terms":[' + ",".join(f'"term{n}"' for n in range(99)) + ',"irb"]}'
+)
 POLICIES = (
     None,
     "{}",
@@ -106,6 +111,7 @@ POLICIES = (
     "not json {",
     "",
     "null",
+    LONG_POLICY,
 )
 
 
@@ -119,13 +125,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """Rows of a small input dealt out to all cores.
-
-    The test tables are single files with one row group, which only one task
-    can read.  A large table has more splits than cores and stays as it is.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    """Rows dealt out evenly; the test tables are single files, which only one
+    task can read."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
 
 
 def repository_name(key: str) -> str:
@@ -230,7 +232,7 @@ BLOB_PATHS = ("README.md", "/readme.rst", "docs/CodeBook.md")
 def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base64 contents of the README rows, one per (repository, sha, path).
 
-    Some are missing, some have a byte that is not UTF-8.
+    Some are missing, some have a byte that is not UTF-8, some are not base64.
     """
     both = f"concat_ws(' ', {_pick(PHRASES, 'o_orderkey')}, {_pick(PHRASES, 'o_orderkey + n')})"
     raw = f"encode(concat({both}, {text(' é')}), 'UTF-8')"
@@ -244,7 +246,8 @@ def blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
             f"{repository_name('o_orderkey')} AS repository",
             "CAST(o_orderkey AS STRING) AS sha",
             "path",
-            f"IF(o_orderkey % 7 <> 0, {encoded}, NULL) AS content_base64",
+            f"CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN '!none!'"
+            f" ELSE {encoded} END AS content_base64",
         )
     )
 

@@ -14,8 +14,8 @@ _BLOCK = 64
 def hmac_sha256_hex(body: str, secret: str) -> str:
     """Lowercase hex HMAC-SHA256 of a binary column (RFC 2104).
 
-    The pads are derived from the secret and become literals of the query plan:
-    set ``spark.sql.redaction.string.regex`` where plans are visible to others.
+    The pads are derived from the secret and become literals of the query plan,
+    which the sessions of ``auditlake.session`` redact where plans are shown.
     """
     key = secret.encode("utf-8")
     if len(key) > _BLOCK:

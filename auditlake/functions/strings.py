@@ -21,8 +21,6 @@ PHRASES = (
 )
 _BITS = {name: 1 << bit for bit, name in enumerate((NOT_EMPTY, NOT_BLANK, *PHRASES))}
 
-MASK_BITS = 62
-
 
 def strip(value: str, dialect: str = "py") -> str:
     """Text without outer whitespace, by the whitespace rules of the dialect."""
@@ -53,25 +51,16 @@ def phrases_in_mask(mask: str, names: tuple[str, ...]) -> str:
     return f"array_compact(array({found}))"
 
 
-def list_mask(items: str, condition: str) -> str:
-    """Mask of the list positions whose ``item`` satisfies a condition.
-
-    Lists come from validated policies, which hold at most 50 entries; a longer
-    list cannot be represented and fails the query instead of losing entries.
-    """
-    bits = f"transform({items}, (item, i) -> IF({condition}, shiftleft(1L, i), 0L))"
-    too_long = text(f"policy lists may hold at most {MASK_BITS} entries")
-    return (
-        f"IF(size({items}) > {MASK_BITS}, CAST(raise_error({too_long}) AS BIGINT),"
-        f" aggregate({bits}, 0L, (mask, bit) -> mask + bit))"
-    )
+def positions(items: str, condition: str) -> str:
+    """Positions of the list items that satisfy a condition on ``item``; the list may have any length."""
+    return f"array_compact(transform({items}, (item, i) -> IF({condition}, i, NULL)))"
 
 
-def items_in_mask(items: str, mask: str) -> str:
-    """The list items whose bits are set, in list order."""
-    return f"filter({items}, (item, i) -> (shiftright({mask}, i) & 1L) = 1L)"
+def items_at(items: str, found: str) -> str:
+    """The list items at the positions, in list order."""
+    return f"filter({items}, (item, i) -> array_contains({found}, i))"
 
 
-def items_not_in_mask(items: str, mask: str) -> str:
-    """The list items whose bits are not set, in list order."""
-    return f"filter({items}, (item, i) -> (shiftright({mask}, i) & 1L) = 0L)"
+def items_not_at(items: str, found: str) -> str:
+    """The list items at other positions, in list order."""
+    return f"filter({items}, (item, i) -> NOT array_contains({found}, i))"

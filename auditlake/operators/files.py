@@ -39,20 +39,34 @@ def attach_content(
 ) -> DataFrame:
     """Adds ``content``: decoded text for selected files, NULL for all others.
 
-    Invalid UTF-8 is replaced; a selected file without content gets ''.  Only
-    the few selected rows take part in the join, all others pass unshuffled.
+    Invalid UTF-8 is replaced; a selected file without content gets '', and so
+    does one whose content is not base64, with ``content_error`` set.  Files
+    that are not selected carry a NULL key into the join, which a salt of the
+    path spreads over all tasks, so the table is read once.
     """
-    wanted = paths.needs_content("path", dialect, policy_files)
+    wanted = f"coalesce({paths.needs_content('path', dialect, policy_files)}, false)"
     columns = [*COMMIT, "seq", "path"]
-    decoded = "make_valid_utf8(CAST(unbase64(content_base64) AS STRING))"
-    loaded = (
-        files.filter(wanted)
-        .select(*columns)
-        .join(blobs.select(*COMMIT, "path", "content_base64"), [*COMMIT, "path"], "left")
-        .selectExpr(*columns, f"coalesce({decoded}, '') AS content")
+    # Line breaks are part of the transport encoding.
+    packed = r"regexp_replace(content_base64, '[\\r\\n]', '')"
+    texts_ = blobs.selectExpr(
+        *COMMIT,
+        "path",
+        "content_base64 IS NOT NULL AS _loaded",
+        f"try_to_binary({packed}, 'base64') AS _bytes",
+        "0 AS _salt",
+    )
+    keyed = files.selectExpr(
+        *columns,
+        f"{wanted} AS _wanted",
+        f"IF({wanted}, 0, 1 + CAST(pmod(xxhash64(path, seq), 1024) AS INT)) AS _salt",
+    )
+    broken = "_wanted AND coalesce(_loaded, false) AND _bytes IS NULL"
+    decoded = "coalesce(make_valid_utf8(CAST(_bytes AS STRING)), '')"
+    return keyed.join(texts_, [*COMMIT, "path", "_salt"], "left").selectExpr(
+        *columns,
+        f"IF(_wanted, {decoded}, NULL) AS content",
+        f"IF({broken}, 'content is not base64', NULL) AS content_error",
     )
-    others = files.filter(f"NOT {wanted}").selectExpr(*columns, "CAST(NULL AS STRING) AS content")
-    return loaded.unionByName(others)
 
 
 def normalised(files: DataFrame, dialect: str = "py") -> DataFrame:
@@ -101,16 +115,14 @@ def named_files(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
     )
 
 
-def readme_aggregates(*values: str, path: str = "path_norm") -> list[Column]:
-    """Aggregates that keep, for both root README names, the first position and
-    the last of each value (``md_seq``, ``md_<value>``, ``rst_seq``, ...).
-
-    With fixed-width values they run as hash aggregation.
-    """
+def readme_aggregates(*values: str, path: str = "path_norm", first: bool = True) -> list[Column]:
+    """Aggregates that keep, for both root README names, the first position
+    (unless ``first`` is off) and the last of each value (``md_seq``,
+    ``md_<value>``, ``rst_seq``, ...)."""
     columns = []
     for short, name in (("md", catalog.README_MD), ("rst", catalog.README_RST)):
         seq = f"IF({path} = {text(name)}, seq, NULL)"
-        columns.append(F.expr(f"min({seq}) AS {short}_seq"))
+        columns += [F.expr(f"min({seq}) AS {short}_seq")] if first else []
         columns += [F.expr(f"max_by({value}, {seq}) AS {short}_{value}") for value in values]
     return columns
 

@@ -14,13 +14,15 @@ NOT_PUBLIC = "Repository is not a public App installation"
 
 
 def public_repositories(installations: DataFrame, ordered: bool = True) -> DataFrame:
-    """Public repositories of all installations, by full name."""
+    """Public repositories of all installations, by full name; those of one name
+    in the order of their installations."""
     rows = (
         installations.selectExpr("id AS installation_id", "inline(repositories)")
         .filter("NOT coalesce(private, false)")
         .select("installation_id", "full_name", "default_branch", "html_url")
     )
-    return rows.orderBy(F.collate("full_name", "UNICODE")) if ordered else rows
+    order = (F.collate("full_name", "UNICODE"), "installation_id")
+    return rows.orderBy(*order) if ordered else rows
 
 
 def repository_listing(installations: DataFrame, ordered: bool = True) -> DataFrame:

@@ -1,14 +1,12 @@
-"""Skew-safe many-to-one lookup join and bounded collection."""
+"""Skew-safe many-to-one lookup join."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 SALTS = 8
-MAX_ITEMS = 10_000
 
 
 def lookup(
@@ -23,8 +21,8 @@ def lookup(
     No broadcast hint: Catalyst and AQE broadcast ``table`` only when its size
     is known to be below ``spark.sql.autoBroadcastJoinThreshold`` (static
     estimates leave out the ``salts`` copies, so what is broadcast can be that
-    many times the threshold, not more).  Beyond that the join shuffles, and the rows of one hot key are spread over ``salts``
-    partitions by a hash of ``spread_on``.  The hash is deterministic, so a task
+    many times the threshold, not more).  Beyond that the join shuffles, and
+    the rows of one hot key are spread over ``salts`` partitions by a hash of ``spread_on``.  The hash is deterministic, so a task
     that is run again after a lost executor puts each row in the same place.
     Because the salt is part of the join key, no later aggregation relies on
     the partitioning of this join, which leaves AQE free to split what is still
@@ -34,32 +32,3 @@ def lookup(
     salted_facts = facts.selectExpr("*", salt)
     salted_table = table.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS _salt")
     return salted_facts.join(salted_table, [*keys, "_salt"], "left").drop("_salt")
-
-
-def collect_in_parts(
-    rows: DataFrame,
-    keys: Sequence[str],
-    item: str,
-    alias: str,
-    max_items: int = MAX_ITEMS,
-) -> DataFrame:
-    """Sorted array of ``item`` per key, in parts of about ``max_items`` items.
-
-    A group of up to ``max_items`` rows gives one row with ``part = 0``.  A
-    larger group is spread by hash over several parts, so that no task ever
-    holds more than a bounded array; the parts together hold every item.
-    ``rows`` must be distinct.
-    """
-    large = (
-        rows.groupBy(*keys)
-        .agg(F.count("*").alias("_n"))
-        .filter(f"_n > {max_items}")
-        .selectExpr(*keys, f"CAST(ceil(_n / {max_items}) AS INT) AS _parts")
-    )
-    part = f"CAST(pmod(xxhash64({item}), coalesce(_parts, 1)) AS INT) AS part"
-    return (
-        lookup(rows, large, keys, [item])
-        .selectExpr(*keys, item, part)
-        .groupBy(*keys, "part")
-        .agg(F.expr(f"array_sort(collect_list({item})) AS {alias}"))
-    )

@@ -4,7 +4,6 @@ A policy document is parsed once into a VARIANT; every rule is an expression on
 that value, so validation is a chain of projections without any shuffle.
 """
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -46,7 +45,7 @@ def pick_policy(
     policy_files: tuple[str, ...] = catalog.POLICY_FILES,
     exact_case: bool = False,
 ) -> DataFrame:
-    """Policy text of each commit that has a root policy file.
+    """Policy text and path of each commit that has a root policy file.
 
     py takes the names in the order of ``policy_files``; js takes the first
     match in tree order.  ``exact_case`` is the rule for local checkouts: only
@@ -60,67 +59,25 @@ def pick_policy(
     rank = "0" if by_tree_order else f"array_position({texts(policy_files)}, {name})"
     return (
         files.filter(condition)
-        .selectExpr("repository", "sha", "content", f"struct({rank} AS rank, seq) AS position")
+        .selectExpr("repository", "sha", "path", "content", f"struct({rank} AS rank, seq) AS position")
         .groupBy("repository", "sha")
-        .agg(F.min_by("content", "position").alias("policy_text"))
-    )
-
-
-def policies_from_yaml(raw: DataFrame) -> DataFrame:
-    """Turns YAML documents in ``policy_text`` into JSON.
-
-    Adds ``policy_error`` with the parser's message for unreadable documents.
-    Reading YAML takes Python, in Arrow batches and once per policy; it needs
-    PyYAML on the executors.  Values JSON does not know (dates, sets, NaN)
-    become empty objects, which no field accepts.
-    """
-
-    @F.pandas_udf("json string, error string")
-    def convert(texts: pd.Series) -> pd.DataFrame:
-        import json
-
-        import yaml
-
-        def plain(value):
-            if isinstance(value, dict):
-                return {str(key): plain(item) for key, item in value.items()}
-            if isinstance(value, list):
-                return [plain(item) for item in value]
-            if isinstance(value, float) and value not in (float("inf"), float("-inf")):
-                return value if value == value else {}
-            return value if value is None or isinstance(value, (str, int, bool)) else {}
-
-        def read(text):
-            try:
-                return json.dumps(plain(yaml.safe_load(text))), None
-            except (yaml.YAMLError, ValueError) as error:
-                return None, str(error)
-
-        return pd.DataFrame(
-            [(None, None) if text is None else read(text) for text in texts],
-            columns=["json", "error"],
-        )
-
-    others = [name for name in raw.columns if name != "policy_text"]
-    return (
-        raw.withColumn("_converted", convert("policy_text"))
-        .selectExpr(
-            *others, "_converted.json AS policy_text", "_converted.error AS policy_error"
+        .agg(
+            F.min_by("content", "position").alias("policy_text"),
+            F.min_by("path", "position").alias("policy_path"),
         )
     )
 
 
 def _policy_columns(raw: DataFrame) -> list[str]:
-    return [name for name in raw.columns if name not in ("policy_text", "policy_error")]
+    return [name for name in raw.columns if name not in ("policy_text", "policy_path")]
 
 
 def _with_document(raw: DataFrame) -> DataFrame:
     """Adds ``_doc`` (parsed document) and ``document_kind``."""
-    if "policy_error" not in raw.columns:
-        raw = raw.selectExpr("*", "CAST(NULL AS STRING) AS policy_error")
+    if "policy_path" not in raw.columns:
+        raw = raw.selectExpr("*", "CAST(NULL AS STRING) AS policy_path")
     kind = (
-        f"CASE WHEN policy_error IS NOT NULL THEN '{UNPARSABLE}'"
-        f" WHEN policy_text IS NULL THEN '{ABSENT}'"
+        f"CASE WHEN policy_text IS NULL THEN '{ABSENT}'"
         f" WHEN {strip('policy_text', 'js')} = '' THEN '{EMPTY}'"
         f" WHEN _doc IS NULL THEN '{UNPARSABLE}'"
         f" WHEN is_variant_null(_doc) THEN '{EMPTY}'"
@@ -132,10 +89,11 @@ def _with_document(raw: DataFrame) -> DataFrame:
 
 def _document_warnings(dialect: str) -> str:
     bad_kinds = [NOT_OBJECT] if catalog.require_dialect(dialect) == "py" else [NOT_OBJECT, EMPTY]
-    unparsable = (
-        f"array(coalesce(concat({text(catalog.WARN_UNPARSABLE_YAML)}, policy_error),"
-        f" {text(catalog.WARN_UNPARSABLE)}))"
-    )
+    unparsable = texts([catalog.WARN_UNPARSABLE])
+    if dialect == "js":
+        before, after = catalog.WARN_UNPARSABLE_JS.split("{path}")
+        named = f"concat({text(before)}, policy_path, {text(after)})"
+        unparsable = f"array(coalesce({named}, {text(catalog.WARN_UNPARSABLE)}))"
     return (
         f"CASE WHEN document_kind = '{UNPARSABLE}' THEN {unparsable}"
         f" WHEN {one_of('document_kind', bad_kinds)} THEN {texts([catalog.WARN_NOT_OBJECT])}"
@@ -148,7 +106,7 @@ def policy_document_status(raw: DataFrame, dialect: str = "py") -> DataFrame:
     return (
         _with_document(raw)
         .selectExpr("*", f"{_document_warnings(dialect)} AS document_warnings")
-        .drop("_doc", "policy_error")
+        .drop("_doc", "policy_path")
     )
 
 
@@ -177,19 +135,22 @@ def minimum_score(documents: DataFrame, dialect: str = "py") -> DataFrame:
 
 
 def string_lists(
-    documents: DataFrame, dialect: str = "py", keys: tuple[str, ...] = LIST_FIELDS
+    documents: DataFrame,
+    dialect: str = "py",
+    keys: tuple[str, ...] = LIST_FIELDS,
+    list_limit: int | None = None,
 ) -> DataFrame:
     """Adds, for each list field of ``_doc``, ``<key>_items`` (usable strings)
     and ``<key>_warnings`` (about the rest).
 
-    py looks at the first 50 entries only, js keeps the first 50 usable ones.
+    All entries are kept.  With a ``list_limit``, py looks at so many entries
+    only, and js keeps so many usable ones.
     """
-    limit = catalog.POLICY_LIST_LIMIT
     is_py = catalog.require_dialect(dialect) == "py"
     raw, usable, final = [], [], []
     for key in keys:
         entries = f"try_variant_get(_doc, '$.{key}', 'array<variant>')"
-        entries = f"slice({entries}, 1, {limit})" if is_py else entries
+        entries = f"slice({entries}, 1, {list_limit})" if is_py and list_limit else entries
         kind = f"schema_of_variant(try_variant_get(_doc, '$.{key}', 'variant'))"
         raw += [f"{entries} AS {key}_entries", f"{kind} AS {key}_kind"]
         as_text = (
@@ -199,7 +160,8 @@ def string_lists(
         kept = f"filter({as_text}, value -> coalesce({strip('value', dialect)} <> '', false))"
         usable.append(f"{kept} AS {key}_usable")
         is_list = f"startswith({key}_kind, 'ARRAY')"
-        items = f"{key}_usable" if is_py else f"slice({key}_usable, 1, {limit})"
+        items = f"{key}_usable"
+        items = f"slice({items}, 1, {list_limit})" if list_limit and not is_py else items
         dropped = f"size({key}_entries) - size({key}_usable)"
         bad_item = text(catalog.WARN_BAD_ITEM.format(key=key))
         not_list = texts([catalog.WARN_NOT_LIST.format(key=key)])
@@ -237,7 +199,9 @@ def privacy_terms(items: str, dialect: str = "py") -> str:
     return f"IF(size({items}) > 0, {cleaned}, {texts(catalog.DEFAULT_PRIVACY_TERMS)})"
 
 
-def parse_policies(raw: DataFrame, dialect: str = "py") -> DataFrame:
+def parse_policies(
+    raw: DataFrame, dialect: str = "py", list_limit: int | None = None
+) -> DataFrame:
     """Raw fields of each policy document: minimum score, the items of every
     list field, and their warnings."""
     documents = _with_document(raw).selectExpr(
@@ -245,12 +209,13 @@ def parse_policies(raw: DataFrame, dialect: str = "py") -> DataFrame:
         f"{_document_warnings(dialect)} AS document_warnings",
         f"IF(document_kind = '{OBJECT}', _doc, NULL) AS _doc",
     )
-    return string_lists(minimum_score(documents, dialect), dialect).drop("_doc")
+    return string_lists(minimum_score(documents, dialect), dialect, list_limit=list_limit).drop("_doc")
 
 
-def validate_policies(raw: DataFrame, dialect: str = "py") -> DataFrame:
-    """Typed policies from ``policy_text`` (JSON; see ``policies_from_yaml``),
-    one row per input row.
+def validate_policies(
+    raw: DataFrame, dialect: str = "py", list_limit: int | None = None
+) -> DataFrame:
+    """Typed policies from ``policy_text`` (JSON), one row per input row.
 
     Invalid values fall back to the defaults and leave a warning, in the order
     minimum score, disabled checks, required files, ignored paths, privacy
@@ -265,7 +230,7 @@ def validate_policies(raw: DataFrame, dialect: str = "py") -> DataFrame:
             *[f"{key}_warnings" for key in LIST_FIELDS[1:]],
         ]
     )
-    return parse_policies(raw, dialect).selectExpr(
+    return parse_policies(raw, dialect, list_limit).selectExpr(
         *_policy_columns(raw),
         "minimum_score",
         f"{known_checks('disabled_checks_items')} AS disabled_checks",

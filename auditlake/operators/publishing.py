@@ -9,7 +9,6 @@ from auditlake import catalog, schemas
 from auditlake.functions import paths
 from auditlake.functions.literals import text, texts
 from auditlake.operators.files import COMMIT
-from auditlake.operators.lookup import MAX_ITEMS, collect_in_parts
 from auditlake.operators.policies import NO_TEXTS
 
 # Wording of titles and of the score comparison.
@@ -78,30 +77,25 @@ def markdown_reports(
     return reports.selectExpr(*COMMIT, f"{report_markdown(dialect, title)} AS markdown")
 
 
-def report_documents(
-    reports: DataFrame, evidence: DataFrame | None = None, max_items: int = MAX_ITEMS
-) -> DataFrame:
+def report_documents(reports: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     """Reports as nested documents, ready for ``to_json`` or a JSON/Parquet sink.
 
-    ``evidence`` are the distinct (commit, key, path) rows of the file rules.
-    A commit with more than ``max_items`` of them continues in further
-    documents (``part`` 1, 2, ...), each with its share of the evidence.
+    One document per commit at every size.  ``evidence`` are the distinct
+    (commit, key, path) rows of the file rules; the documents carry their
+    counts and the README's terms, the rows are a table of their own (see
+    ``evidence_json``).
     """
-    if evidence is None:
-        found = reports.selectExpr("*", "0 AS part")
-        file_items = NO_TEXTS
-    else:
-        items = evidence.selectExpr(*COMMIT, "struct(key, path) AS item")
-        arrays = collect_in_parts(items, COMMIT, "item", "items", max_items)
-        found = reports.join(arrays, COMMIT, "left")
-        own = "filter(items, item -> item.key = check.key)"
-        file_items = f"coalesce(transform({own}, item -> item.path), {NO_TEXTS})"
-    kept = ("key", "title", "passed", "points", "recommendation")
+    found, counted = reports, "size(check.term_evidence)"
+    if evidence is not None:
+        each = [F.count_if(F.col("key") == key).alias(f"_{key}") for key in catalog.CHECK_KEYS]
+        found = reports.join(evidence.groupBy(*COMMIT).agg(*each), COMMIT, "left")
+        pairs = ", ".join(f"{text(key)}, coalesce(_{key}, 0L)" for key in catalog.CHECK_KEYS)
+        counted = f"size(check.term_evidence) + element_at(map({pairs}), check.key)"
+    kept = ("key", "title", "passed", "points", "recommendation", "term_evidence")
     fields = ", ".join(f"'{name}', check.{name}" for name in kept)
-    document = f"named_struct({fields}, 'evidence', concat(check.term_evidence, {file_items}))"
+    document = f"named_struct({fields}, 'evidence_count', CAST({counted} AS BIGINT))"
     return found.selectExpr(
         *COMMIT,
-        "coalesce(part, 0) AS part",
         "score",
         "grade",
         "passed",
@@ -114,10 +108,13 @@ def report_documents(
 
 def report_json(documents: DataFrame) -> DataFrame:
     """One JSON text per report document."""
-    fields = [name for name in documents.columns if name not in ("sha", "part")]
-    return documents.selectExpr(
-        *COMMIT, "part", f"to_json(struct({', '.join(fields)})) AS report"
-    )
+    fields = [name for name in documents.columns if name != "sha"]
+    return documents.selectExpr(*COMMIT, f"to_json(struct({', '.join(fields)})) AS report")
+
+
+def evidence_json(evidence: DataFrame) -> DataFrame:
+    """One JSON text per path of the file rules, to lie beside the reports."""
+    return evidence.selectExpr(*COMMIT, "to_json(struct(repository, sha, key, path)) AS line")
 
 
 def readme_paths(files: DataFrame) -> DataFrame:
@@ -136,9 +133,7 @@ def annotations(reports: DataFrame, files: DataFrame) -> DataFrame:
         " 'annotation_level', 'warning', 'title', check.title,"
         " 'message', check.recommendation, 'raw_details', check.documentation_url)"
     )
-    failed = (
-        f"slice(filter(checks, check -> NOT check.passed), 1, {catalog.ANNOTATION_LIMIT})"
-    )
+    failed = "filter(checks, check -> NOT check.passed)"
     # A tree whose first path is empty has nothing to point to.
     rows = (
         f"IF(coalesce(annotation_path, '') = '', array(),"
@@ -154,18 +149,17 @@ def previous_scores(
 ) -> DataFrame:
     """Score of the first parent's check run, read from its title; NULL if none.
 
-    ``check_runs`` has columns ``repository, head_sha, name, title`` and
-    optionally ``run_seq`` (the first run of a commit counts).
+    ``check_runs`` has columns ``repository, head_sha, name, title, run_seq``;
+    of several runs of a commit the one with the least ``run_seq`` counts.
     """
     digits = f"nullif(regexp_extract(title, {text(TITLE_SCORE_PATTERN)}, 1), '')"
-    run_seq = "run_seq" if "run_seq" in check_runs.columns else "0"
     first = (
         check_runs.filter(F.col("name") == name)
         .selectExpr(
             "repository",
             "head_sha AS parent_sha",
             f"try_cast({digits} AS INT) AS score",
-            f"{run_seq} AS run_seq",
+            "run_seq",
         )
         .groupBy("repository", "parent_sha")
         .agg(F.min_by("score", "run_seq").alias("previous_score"))

@@ -2,10 +2,12 @@
 
 Shape of the plan, whatever the size of the fleet:
 
-1. every file row is reduced, where it is read, to a few booleans and 64-bit
-   masks (README texts are scanned here and go no further);
-2. one partial + final hash aggregation per commit combines them.  A commit
-   that holds a third of all files contributes one row per map task;
+1. every file row is reduced, where it is read, to a few booleans, 64-bit masks
+   and names; only these meet the policies.  README texts are scanned here.
+   Privacy terms come from policies, so they are looked for in a branch of root
+   READMEs (two rows per commit at most) that meets the policies on its own;
+2. one partial + final aggregation per commit combines them.  A commit that
+   holds a third of all files contributes one row per map task;
 3. results, score, grade and verdict are projections of that row.
 
 The commits table is unioned into the same aggregation, so commits without any
@@ -14,7 +16,7 @@ file need no outer join.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake import catalog
@@ -26,8 +28,7 @@ from auditlake.operators.files import (
     pick_readme,
     readme_aggregates,
 )
-from auditlake.operators.lookup import MAX_ITEMS, collect_in_parts
-from auditlake.operators.policies import NO_TEXTS, with_policy
+from auditlake.operators.policies import NO_TEXTS, default_policy, with_policy
 
 # Checks that a file name alone can pass.
 FILE_RULES = {
@@ -41,8 +42,6 @@ FILE_FLAGS = (*FILE_RULES, "tests")
 # Bits of the ``hits`` mask: one per file rule, and one for listed commits.
 _HIT = {key: 1 << bit for bit, key in enumerate(FILE_FLAGS)}
 _LISTED = 1 << len(FILE_FLAGS)
-# Policy columns that matter for single files.
-FILE_POLICY = ("ignore_paths", "required_files", "privacy_terms")
 
 
 def _matches(key: str) -> str:
@@ -61,45 +60,72 @@ def _hit(key: str) -> str:
     return f"((hits & {_HIT[key]}L) <> 0)"
 
 
-def visible_files(files: DataFrame, policies: DataFrame | None, dialect: str = "py") -> DataFrame:
-    """Files with ``path_norm``, ``base`` and the file-level policy columns,
-    without the files the policy ignores."""
-    rows = normalised(files, dialect).selectExpr("*", f"{paths.basename('path_norm')} AS base")
-    joined = with_policy(rows, policies, ["path_norm"], FILE_POLICY)
-    if policies is None:
-        return joined
-    return joined.filter(f"NOT {paths.is_ignored('path_norm', 'ignore_paths')}")
+def _named(files: DataFrame, dialect: str) -> DataFrame:
+    """Files with ``path_norm`` and ``base``."""
+    return normalised(files, dialect).selectExpr("*", f"{paths.basename('path_norm')} AS base")
+
+
+def _unignored(
+    rows: DataFrame, policies: DataFrame | None, fields: tuple[str, ...] = ()
+) -> DataFrame:
+    """Rows with the policy columns ``fields``, without those the policy ignores."""
+    joined = with_policy(rows, policies, ["path_norm"], ("ignore_paths", *fields))
+    if policies is not None:
+        joined = joined.filter(f"NOT {paths.is_ignored('path_norm', 'ignore_paths')}")
+    return joined.drop("ignore_paths")
+
+
+def _privacy_found(terms: str) -> str:
+    """Positions of the terms that a README text has; NULL without a text."""
+    found = strings.positions(terms, "contains(readme, item)")
+    return f"IF(readme IS NULL, NULL, {found})"
 
 
 def _file_signals(files: DataFrame, policies: DataFrame | None, dialect: str) -> DataFrame:
-    """Every file as fixed-width columns.
+    """Every file as a few narrow columns; no text goes through a join of all files.
 
     There is no filter on relevant files: Catalyst would push it below the
     projections and evaluate every rule twice, which costs more than handing
     rows without any bit to the partial aggregation.
     """
     readme = paths.is_root_readme("path_norm")
-    staged = visible_files(files, policies, dialect).selectExpr(
+    staged = _named(files, dialect).selectExpr(
         *COMMIT,
         "path_norm",
         "base",
         f"IF({readme}, path_norm, NULL) AS readme_name",
         "seq",
         f"lower(IF({readme}, content, NULL)) AS readme",
-        "privacy_terms",
-        "required_files",
     )
-    terms = strings.list_mask("privacy_terms", "contains(readme, item)")
-    required = strings.list_mask("required_files", "item = path_norm")
-    return staged.selectExpr(
+    privacy = [f"{_privacy_found(default_policy()['privacy_terms'])} AS privacy_found"]
+    scanned = staged.selectExpr(
         *COMMIT,
+        "path_norm",
         "readme_name",
         "seq",
         f"{_hits(FILE_FLAGS)} AS hits",
         f"{strings.phrase_mask('readme', dialect)} AS phrases",
-        f"IF(readme IS NULL, NULL, {terms}) AS privacy_found",
-        f"IF(array_contains(required_files, path_norm), {required}, 0L) AS required_found",
+        *(privacy if policies is None else []),
+    )
+    if policies is None:
+        return scanned.selectExpr("*", "CAST(NULL AS INT) AS required_at", "readme_name AS privacy_name")
+    required = "nullif(array_position(required_files, path_norm), 0) - 1"
+    rows = _unignored(scanned, policies, ("required_files",)).selectExpr(
+        *COMMIT, "readme_name", "seq", "hits", "phrases", f"CAST({required} AS INT) AS required_at"
     )
+    readmes = normalised(files, dialect).filter(readme)
+    readmes = readmes.selectExpr(*COMMIT, "path_norm", "seq", "lower(content) AS readme")
+    terms = _unignored(readmes, policies, ("privacy_terms",)).selectExpr(
+        *COMMIT,
+        "path_norm AS privacy_name",
+        "seq",
+        "0L AS hits",
+        f"{_privacy_found('privacy_terms')} AS privacy_found",
+    )
+    return rows.unionByName(terms, allowMissingColumns=True)
+
+
+_NOWHERE = "CAST(array() AS ARRAY<INT>)"
 
 
 def commit_signals(
@@ -111,8 +137,9 @@ def commit_signals(
     """One row per commit: its policy and everything the checks look at.
 
     Columns besides the policy: ``hits`` (mask of the file rules), ``phrases``
-    and ``privacy_found`` (masks of the chosen README), ``required_found``
-    (mask of the required files that exist).
+    (mask of the chosen README's phrases), ``privacy_found`` (positions of the
+    privacy terms it has), ``required_found`` (positions of the required files
+    that exist).
     """
     catalog.require_dialect(dialect)
     listed = commits.selectExpr(*COMMIT, f"{_LISTED}L AS hits")
@@ -122,16 +149,17 @@ def commit_signals(
         .groupBy(*COMMIT)
         .agg(
             F.bit_or("hits").alias("hits"),
-            F.bit_or("required_found").alias("required_found"),
-            *readme_aggregates("phrases", "privacy_found", path="readme_name"),
+            F.collect_set("required_at").alias("required_found"),
+            *readme_aggregates("phrases", path="readme_name"),
+            *readme_aggregates("privacy_found", path="privacy_name", first=False),
         )
         .filter(f"(hits & {_LISTED}L) <> 0")
         .selectExpr(
             *COMMIT,
             "hits",
             f"coalesce({pick_readme('phrases', dialect)}, 0L) AS phrases",
-            f"coalesce({pick_readme('privacy_found', dialect)}, 0L) AS privacy_found",
-            "coalesce(required_found, 0L) AS required_found",
+            f"coalesce({pick_readme('privacy_found', dialect)}, {_NOWHERE}) AS privacy_found",
+            "required_found",
         )
     )
     return with_policy(combined, policies, ["sha"])
@@ -148,7 +176,7 @@ _PASS_RULES = {
         [_hit("data_dictionary"), strings.any_in_mask("phrases", *catalog.DICTIONARY_PHRASES)]
     ),
     "provenance": strings.any_in_mask("phrases", *catalog.PROVENANCE_TERMS),
-    "privacy": "(privacy_found <> 0)",
+    "privacy": "(size(privacy_found) > 0)",
     "ethics": strings.any_in_mask("phrases", *catalog.ETHICS_TERMS),
 }
 
@@ -156,7 +184,7 @@ _PASS_RULES = {
 _TERM_EVIDENCE = {
     "readme": f"IF({strings.any_in_mask('phrases', strings.NOT_EMPTY)}, array('README'), {NO_TEXTS})",
     "provenance": strings.phrases_in_mask("phrases", catalog.PROVENANCE_TERMS),
-    "privacy": strings.items_in_mask("privacy_terms", "privacy_found"),
+    "privacy": strings.items_at("privacy_terms", "privacy_found"),
     "ethics": strings.phrases_in_mask("phrases", catalog.ETHICS_TERMS),
 }
 
@@ -211,47 +239,29 @@ def file_evidence(
 ) -> DataFrame:
     """Distinct (commit, check, path) rows that passed a file rule.
 
-    Nothing is collected: a commit may have any number of rows.  Evidence for
-    ``tests`` is limited to the first five paths by the rules; each task keeps
-    at most five candidates per commit before the shuffle.
+    Nothing is collected and nothing is cut: a commit may have any number of
+    rows.  One row per path goes through the shuffle, whatever the number of
+    checks.
     """
-    # One row per path goes through the shuffle, whatever the number of checks.
     found = ", ".join(f"IF({_hit(key)}, {text(key)}, NULL)" for key in keys)
-    rows = (
-        visible_files(files, policies, dialect)
-        .selectExpr(*COMMIT, "path_norm AS path", f"{_hits(keys)} AS hits")
-        .filter("hits <> 0")
+    hits = _named(files, dialect).selectExpr(*COMMIT, "path_norm", f"{_hits(keys)} AS hits")
+    return (
+        _unignored(hits.filter("hits <> 0"), policies)
         .distinct()
-        .selectExpr(*COMMIT, f"explode(array_compact(array({found}))) AS key", "path")
+        .selectExpr(*COMMIT, f"explode(array_compact(array({found}))) AS key", "path_norm AS path")
     )
-    if "tests" not in keys:
-        return rows
-    first = Window.partitionBy(*COMMIT, "key").orderBy("path")
-    tests = (
-        rows.filter("key = 'tests'")
-        .withColumn("_rank", F.row_number().over(first))
-        .filter(f"_rank <= {catalog.TEST_EVIDENCE_LIMIT}")
-        .drop("_rank")
-    )
-    return rows.filter("key <> 'tests'").unionByName(tests)
 
 
-def results_with_evidence(
-    results: DataFrame,
-    evidence: DataFrame,
-    max_items: int = MAX_ITEMS,
-) -> DataFrame:
-    """Check results with their ``evidence`` array.
+def results_with_evidence(results: DataFrame, evidence: DataFrame) -> DataFrame:
+    """Check results with ``evidence_count``: the paths of a file rule, else the
+    terms found in the README.
 
-    One row per check (``part`` 0).  A check with more than ``max_items``
-    paths continues in further rows (``part`` 1, 2, ...), so the array stays
-    bounded while no path is lost.
+    One row per check at every size; the paths themselves are the rows of
+    ``evidence``.
     """
-    keys = [*COMMIT, "key"]
-    arrays = collect_in_parts(evidence, keys, "path", "paths", max_items)
-    kept = [name for name in results.columns if name != "term_evidence"]
-    return results.join(arrays, keys, "left").selectExpr(
-        *kept, "coalesce(part, 0) AS part", "coalesce(paths, term_evidence) AS evidence"
+    counts = evidence.groupBy(*COMMIT, "key").agg(F.count("*").alias("_paths"))
+    return results.join(counts, [*COMMIT, "key"], "left").selectExpr(
+        *results.columns, "CAST(coalesce(_paths, size(term_evidence)) AS INT) AS evidence_count"
     )
 
 
@@ -275,7 +285,7 @@ def reports(
     possible = " + ".join(
         f"IF({enabled[check.key]}, {check.points}, 0)" for check in catalog.CHECKS
     )
-    missing = strings.items_not_in_mask("required_files", "required_found")
+    missing = strings.items_not_at("required_files", "required_found")
     structs = _check_structs(dialect, guidance_url, catalog.CHECK_KEYS)
     checks = f"filter({structs}, check -> NOT array_contains(disabled_checks, check.key))"
     verdict = scoring.verdict("score", "minimum_score", "missing_required_files", "policy_warnings")

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake import fixtures as fx
@@ -16,7 +17,6 @@ from auditlake.functions import paths
 from auditlake.operators import events as ev
 from auditlake.operators import files as fo
 from auditlake.operators import fleet, policies, publishing, scoring
-from auditlake.operators.lookup import collect_in_parts
 from auditlake.plans import audit as plan
 from auditlake.session import shared_folder
 from auditlake.sources import check_runs as run_table
@@ -158,7 +158,10 @@ def select_content_paths_js(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("attach_content")
 def attach_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fo.attach_content(fx.files(spark, sf_dir), fx.blobs(spark, sf_dir))
+    """Some files have no path, some contents are missing or broken."""
+    files = fx.files(spark, sf_dir)
+    files = files.withColumn("path", F.expr("IF(pmod(seq, 23) = 0, NULL, path)"))
+    return fo.attach_content(files, fx.blobs(spark, sf_dir))
 
 
 @_register("report_json")
@@ -199,11 +202,14 @@ def _flat_runs(runs: DataFrame) -> DataFrame:
 
 @_register("check_run_sink")
 def check_run_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same batch written twice leaves one run per commit."""
+    """The same batch written twice, then another source's runs of every second
+    commit; each commit keeps its latest run."""
     folder = shared_folder(spark)
     runs = publishing.check_runs(_reports(spark, sf_dir))
-    run_table.write_check_runs(runs, folder, batch_id=1)
-    run_table.write_check_runs(runs, folder, batch_id=1)
+    run_table.write_check_runs(runs, folder, "job", 1)
+    run_table.write_check_runs(runs, folder, "job", 1)
+    again = runs.filter("CAST(head_sha AS BIGINT) % 2 = 0").withColumn("status", F.lit("rerun"))
+    run_table.write_check_runs(again, folder, "other job", 1)
     return _flat_runs(run_table.read_check_runs(spark, folder))
 
 
@@ -263,8 +269,7 @@ def select_readme_js(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("basename_in")
 def basename_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = fo.named_files(fo.normalised(fx.files(spark, sf_dir)), catalog.LICENSE_NAMES)
-    arrays = collect_in_parts(found, COMMIT, "path", "paths")
-    return arrays.selectExpr(*COMMIT, "part", _joined("paths"))
+    return found.select(*COMMIT, "path")
 
 
 @_register("terms_in_text")
@@ -294,9 +299,9 @@ def _check_query(key: str) -> Query:
             evidence = plan.file_evidence(files, typed, keys=(key,))
             results = plan.results_with_evidence(results, evidence)
         else:
-            results = results.selectExpr("*", "term_evidence AS evidence", "0 AS part")
+            results = results.selectExpr("*", "size(term_evidence) AS evidence_count")
         return results.selectExpr(
-            *COMMIT, "key", "passed", "points", "part", _joined("evidence")
+            *COMMIT, "key", "passed", "points", "evidence_count", _joined("term_evidence")
         )
 
     return query
@@ -562,10 +567,17 @@ def check_run(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @fx.landed
 def _published(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Published check runs: those of every third commit have another name."""
+    """Published check runs: those of every third commit have another name, those
+    of every fifth come twice, the second time with another score."""
     name = f"IF(CAST(sha AS BIGINT) % 3 = 0, 'Other check', '{catalog.REPORT_TITLE}') AS name"
     title = f"{publishing.check_run_title()} AS title"
-    return _reports(spark, sf_dir, "js").selectExpr("repository", "sha AS head_sha", name, title)
+    runs = _reports(spark, sf_dir, "js").selectExpr(
+        "repository", "sha AS head_sha", name, title, "1 AS run_seq"
+    )
+    again = "format_string('Quality score: 1/100 (F)') AS title"
+    later = runs.filter("CAST(head_sha AS BIGINT) % 5 = 0")
+    later = later.selectExpr("repository", "head_sha", "name", again, "2 AS run_seq")
+    return runs.union(later)
 
 
 def _previous(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,6 +14,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Aggregates that collect lists hash that many groups in a task before they sort.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
+    # The padded webhook secret, wherever a plan is shown.
+    "spark.sql.redaction.string.regex": "[0-9A-Fa-f]{128}",
 }
 
 

@@ -1,41 +1,58 @@
-"""Check-run table: one row per audited commit, safe to write again."""
+"""Check-run table: the runs of every audited commit, safe to write again.
+
+Each batch of each source has a partition of its own.  A batch that is repeated
+replaces itself and nothing else; other sources, other batches and a source
+that starts anew under another name never touch it.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-BATCH = "batch_id"
+SOURCE, BATCH, TIME = "run_source", "batch_id", "published_at"
 
 
-def write_check_runs(check_runs: DataFrame, folder: str, batch_id: int = 0) -> None:
-    """Writes one batch; writing the same batch again replaces it.
+def write_check_runs(
+    check_runs: DataFrame,
+    folder: str,
+    source: str,
+    batch_id: int,
+    published_at: Column | None = None,
+) -> None:
+    """Writes one batch of a source; writing the same batch again replaces it.
 
-    Only the partition of this batch is touched, so a retried micro-batch
-    neither loses nor repeats rows.
+    ``source`` names what publishes: a job, or a streaming query by its id,
+    which lives as long as its checkpoint.  ``published_at`` orders the runs
+    of a commit; the default is the time of the write.  A batch without rows
+    leaves the table as it is.
     """
+    when = F.current_timestamp() if published_at is None else published_at
     (
-        check_runs.withColumn(BATCH, F.lit(batch_id).cast("long"))
+        check_runs.withColumn(TIME, when)
+        .withColumn(SOURCE, F.lit(source))
+        .withColumn(BATCH, F.lit(batch_id).cast("long"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(BATCH)
+        .partitionBy(SOURCE, BATCH)
         .parquet(folder)
     )
 
 
-def read_check_runs(
-    spark: SparkSession, folder: str, before: int | None = None
-) -> DataFrame:
-    """The latest check run of each (repository, head_sha).
-
-    ``before`` looks at earlier batches only (partition pruning).
-    """
+def read_all_check_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every run ever published, with ``run_source``, ``batch_id`` and ``published_at``."""
     rows = spark.read.parquet(folder)
-    if before is not None:
-        rows = rows.filter(F.col(BATCH) < before)
-    latest = Window.partitionBy("repository", "head_sha").orderBy(F.col(BATCH).desc())
-    return (
-        rows.withColumn("_rank", F.row_number().over(latest))
-        .filter(F.col("_rank") == 1)
-        .drop("_rank", BATCH)
+    return rows.withColumn(SOURCE, F.col(SOURCE).cast("string")).withColumn(
+        BATCH, F.col(BATCH).cast("long")
     )
+
+
+def read_check_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """The latest check run of each (repository, head_sha), by time."""
+    rows = read_all_check_runs(spark, folder)
+    kept = [name for name in rows.columns if name not in (SOURCE, BATCH, TIME)]
+    keys = ["repository", "head_sha"]
+    order = F.struct(TIME, SOURCE, BATCH)
+    values = F.struct(*[name for name in kept if name not in keys])
+    latest = rows.groupBy(*keys).agg(F.max_by(values, order).alias("_run"))
+    return latest.select(*keys, "_run.*").select(*kept)

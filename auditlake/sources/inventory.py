@@ -13,16 +13,19 @@ def bucket(repository: Column | str, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(repository), F.lit(buckets)).cast("int")
 
 
-def write_inventory(rows: DataFrame, folder: str, buckets: int = BUCKETS) -> None:
+def write_inventory(
+    rows: DataFrame, folder: str, buckets: int = BUCKETS, spread: int = 8
+) -> None:
     """Writes files (or commits) partitioned by a hash of the repository.
 
-    ``sha`` takes part in the shuffle, so a repository that holds a large share
-    of all rows is still written by many tasks.
+    Position and path take part in the shuffle, so a commit that holds a large
+    share of all rows is still written by many tasks.
     """
-    spread = F.pmod(F.xxhash64("sha"), F.lit(8))
+    own = [name for name in ("sha", "seq", "path") if name in rows.columns]
+    part = F.pmod(F.xxhash64(*own), F.lit(spread))
     (
         rows.withColumn(BUCKET, bucket("repository", buckets))
-        .repartition(F.col(BUCKET), spread)
+        .repartition(F.col(BUCKET), part)
         .write.mode("overwrite")
         .partitionBy(BUCKET)
         .parquet(folder)

@@ -11,7 +11,13 @@ from auditlake import catalog
 from auditlake.operators.events import ACCEPTED, event_status
 from auditlake.operators.publishing import check_runs, previous_scores
 from auditlake.plans.audit import audit
-from auditlake.sources.check_runs import read_check_runs, write_check_runs
+from auditlake.sources.check_runs import (
+    BATCH,
+    SOURCE,
+    TIME,
+    read_all_check_runs,
+    write_check_runs,
+)
 from auditlake.sources.inventory import restrict_to
 
 
@@ -54,27 +60,41 @@ def stream_audit(
     """Starts a query that audits every accepted delivery of a stream.
 
     Routing is stateless; each micro-batch then runs the batch audit and writes
-    its own partition of the check-run table, so a batch that is repeated after
-    a failure replaces itself.  With ``commits`` (and their parents) the js
-    dialect compares each score with the check runs of earlier batches.
+    its own partition of the check-run table, under the id of the query, so a
+    batch that is repeated after a failure replaces itself and a query with a new
+    checkpoint replaces nothing.  With ``commits`` (and their parents) the js
+    dialect compares each score with the parents' check runs of other batches;
+    only those runs are read into the comparison.
     """
     statuses = event_status(raw_events, secret, dialect)
 
-    def earlier(batch: DataFrame, batch_id: int) -> DataFrame | None:
+    def earlier(batch: DataFrame, source: str, batch_id: int) -> DataFrame | None:
         if dialect != "js" or commits is None:
             return None
         try:
-            runs = read_check_runs(batch.sparkSession, folder, before=batch_id)
+            runs = read_all_check_runs(batch.sparkSession, folder)
         except AnalysisException:  # nothing written yet
             return None
         targets = batch.select("repository", F.col("head_sha").alias("sha"))
-        runs = runs.select("repository", "head_sha", "name", "output.title")
-        return previous_scores(restrict_to(commits, targets), runs, title)
+        audited = restrict_to(commits, targets)
+        first = F.expr("try_element_at(parents, 1).sha").alias("head_sha")
+        parents = audited.select("repository", first).distinct()
+        own = (F.col(SOURCE) == source) & (F.col(BATCH) >= batch_id)
+        runs = runs.filter(~own).join(parents, ["repository", "head_sha"], "left_semi")
+        order = F.struct(TIME, SOURCE, BATCH).alias("run_seq")
+        runs = runs.select("repository", "head_sha", "name", "output.title", order)
+        return previous_scores(audited, runs, title)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        previous = earlier(batch, batch_id)
-        rows = audit_batch(batch, files, policies, dialect, title, previous)
-        write_check_runs(rows, folder, batch_id)
+        # the query's id, kept in its checkpoint
+        source = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        batch = batch.persist()
+        try:
+            previous = earlier(batch, source, batch_id)
+            rows = audit_batch(batch, files, policies, dialect, title, previous)
+            write_check_runs(rows, folder, source, batch_id)
+        finally:
+            batch.unpersist()
 
     writer = statuses.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     if available_now:
