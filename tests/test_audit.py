@@ -1,6 +1,4 @@
-"""The audit: published example repositories, edge cases, brute force."""
-
-import random
+"""The audit: one table of cases for the rules, then policies, dialects and sizes."""
 
 import pytest
 
@@ -9,46 +7,20 @@ from auditlake.operators import policies as po
 from auditlake.operators import publishing, scoring
 from auditlake.plans import audit as plan
 
-from . import frames, model
-
-KEY = ("owner/study", "abc")
-
-COMPLETE = [
-    (
-        "README.md",
-        "# Study\n## Data source\nPublic aggregate data. No patient-level data.\n"
-        "## Ethics\nIRB review was not required.\n",
-    ),
-    ("LICENSE", None),
-    ("CITATION.cff", None),
-    ("requirements.txt", None),
-    ("Makefile", None),
-    ("tests/test_analysis.py", None),
-    ("docs/data-dictionary.csv", None),
-]
-MIXED_CASE = [
-    ("README.MD", "Data provenance. Privacy. Ethics."),
-    ("License.md", None),
-    ("Requirements.txt", None),
-    ("CITATION.CFF", None),
-    ("Makefile", None),
-    (".github/workflows/ci.yml", None),
-    ("docs/CodeBook.md", None),
-]
-CONTROLLED = [
-    ("README.md", "Data provenance. Privacy."),
-    ("LICENSE", None),
-    ("CITATION.cff", None),
-    ("requirements.txt", None),
-    ("Makefile", None),
-    (".github/workflows/ci.yml", None),
-    ("docs/codebook.md", None),
-    ("generated/tests/test_fake.py", None),
+from . import frames
+
+KEY = ("org/survey", "c0ffee")
+# Passes every check by its second or third way.
+RIVER_SURVEY = [
+    ("docs/variables/CODEBOOK.MD", "station,depth"),
+    ("/ReadMe.rst/", "Source data: river gauges. All values are de-identified. Consent was given."),
+    ("legal/COPYING", ""),
+    ("codemeta.json", "{}"),
+    ("env/environment.yml", None),
+    ("workflow/Snakefile", "rule all:"),
+    ("TESTS/depths.R", "stopifnot(TRUE)"),
 ]
-CONTROLS = (
-    '{"minimum_score":95,"disabled_checks":["ethics"],'
-    '"required_files":["CITATION.cff","docs/protocol.md"],"ignore_paths":["generated"]%s}'
-)
+ALL = set(catalog.CHECK_KEYS)
 
 
 def run(spark, entries, policy=None, dialect="py"):
@@ -62,44 +34,76 @@ def run(spark, entries, policy=None, dialect="py"):
     return row
 
 
-def test_complete_repository_scores_highly(spark):
-    row = run(spark, COMPLETE)
-    assert (row.score, row.grade, row.passed) == (100, "A", True)
-    assert all(check.passed for check in row.checks)
-
-
-def test_empty_repository_gets_an_actionable_report(spark):
-    report = plan.audit(frames.files(spark, {}), frames.commits(spark, [KEY]))
-    (row,) = publishing.markdown_reports(report).collect()
-    (result,) = report.collect()
-    assert (result.score, result.grade, len(result.checks)) == (0, "F", 10)
-    assert "Recommended next steps" in row.markdown
-
-
-def test_paths_are_case_insensitive(spark):
-    assert run(spark, MIXED_CASE).score == 100
+def passed(row):
+    return {check.key for check in row.checks if check.passed}
 
 
-def test_policy_controls_threshold_checks_paths_and_files(spark):
-    row = run(spark, CONTROLLED, CONTROLS % "")
-    assert row.policy_warnings == []
-    assert "ethics" not in {check.key for check in row.checks}
-    assert row.minimum_score == 95
-    assert row.missing_required_files == ["docs/protocol.md"]
-    assert not row.passed
+# name: files, checks that pass, points.  Written from the tables of the README.
+CASES = {
+    "everything": (RIVER_SURVEY, ALL, 100),
+    "nothing": ([], set(), 0),
+    "unrelated": ([("src/main.c", "int main"), ("notes/readme.md", "ethics")], set(), 0),
+    "readme only": ([("README.md", "A survey.")], {"readme"}, 12),
+    "blank readme": ([("README.md", " \t\n")], set(), 0),
+    "readme not loaded": ([("README.md", None)], set(), 0),
+    "phrases": (
+        [("README.md", "HOW TO REPRODUCE: run it. Data Description below.")],
+        {"readme", "reproduction", "data_dictionary"},
+        36,
+    ),
+    "command": ([("readme.rst", "type make reproduce")], {"readme", "reproduction"}, 26),
+    "near misses": (
+        [("LICENSES", ""), ("my-makefile", ""), ("tests", ""), ("src/tests/a.py", ""), ("codebook", "")],
+        set(),
+        0,
+    ),
+    "anywhere": ([("a/b/LICENSE.txt", None), ("x/Makefile", None)], {"license", "reproduction"}, 24),
+    "root folders": ([("tests/x", None)], {"tests"}, 12),
+    "workflows": ([(".github/workflows/lint.yml", None)], {"tests"}, 12),
+    "outer slashes": ([("//LICENSE//", None)], {"license"}, 10),
+    "repeated": ([("LICENSE", None)] * 3 + [("license", None)], {"license"}, 10),
+}
+
+
+def test_rules(spark):
+    repositories = {(name, "1"): files for name, (files, _, _) in CASES.items()}
+    report = plan.audit(frames.files(spark, repositories), frames.commits(spark, repositories))
+    rows = frames.by_key(report, "repository")
+    assert {name: (passed(rows[(name,)]), rows[(name,)].score) for name in CASES} == {
+        name: (keys, points) for name, (_, keys, points) in CASES.items()
+    }
+    best, worst = rows[("everything",)], rows[("nothing",)]
+    assert (best.grade, best.passed) == ("A", True)
+    assert (worst.grade, worst.passed, len(worst.checks)) == ("F", False, 10)
+
+
+def test_a_policy_sets_threshold_checks_files_and_paths(spark):
+    files = [entry for entry in RIVER_SURVEY if entry[0] != "legal/COPYING"]
+    files += [("third_party/lib/LICENSE", None), ("protocols/Field.md", None)]
+    policy = (
+        '{"minimum_score": 70, "disabled_checks": ["citation"], "ignore_paths": ["third_party/"],'
+        ' "required_files": ["Protocols/field.md", "data/sites.csv"]}'
+    )
+    row = run(spark, files, policy)
+    assert (row.policy_warnings, row.minimum_score) == ([], 70)
+    assert {check.key for check in row.checks} == ALL - {"citation"}
+    assert passed(row) == ALL - {"citation", "license"}
+    assert (row.earned, row.possible, row.score) == (82, 92, 89)
+    assert (row.missing_required_files, row.passed) == (["data/sites.csv"], False)
 
 
-def test_policy_controls_in_js(spark):
-    policy = CONTROLS % ',"privacy_terms":["aggregate health data"]'
-    typed = po.validate_policies(frames.raw_policies(spark, {KEY[0]: policy}), "js")
-    assert typed.first().privacy_terms == ["aggregate health data"]
-    report = plan.audit(
-        frames.files(spark, {KEY: CONTROLLED}), frames.commits(spark, [KEY]), typed, "js"
+@pytest.mark.parametrize("dialect", catalog.DIALECTS)
+def test_own_privacy_terms_replace_the_defaults(spark, dialect):
+    policy = '{"privacy_terms": ["River Gauges", "unheard of"]}'
+    signals = plan.commit_signals(
+        frames.files(spark, {KEY: RIVER_SURVEY, ("other", "1"): RIVER_SURVEY}),
+        frames.commits(spark, [KEY, ("other", "1")]),
+        po.validate_policies(frames.raw_policies(spark, {KEY[0]: policy}), dialect),
+        dialect,
     )
-    markdown = publishing.markdown_reports(report, "js").first().markdown
-    assert "Ethics statement" not in markdown
-    assert "[Guidance](" in markdown
-    assert report.first().missing_required_files == ["docs/protocol.md"]
+    found = frames.by_key(plan.check_results(signals, dialect, keys=("privacy",)), "repository")
+    assert found[(KEY[0],)].term_evidence == ["river gauges"]
+    assert found[("other",)].term_evidence == ["de-ident"]
 
 
 @pytest.mark.parametrize(
@@ -165,99 +169,58 @@ def test_rounding_differs_between_dialects(spark):
 
 def test_disabling_everything_scores_zero(spark):
     policy = '{"disabled_checks":[%s]}' % ",".join(f'"{k}"' for k in catalog.CHECK_KEYS)
-    row = run(spark, COMPLETE, policy)
+    row = run(spark, RIVER_SURVEY, policy)
     assert (row.score, row.grade, row.checks) == (0, "F", [])
 
 
-def test_too_long_lists_fail_instead_of_losing_entries(spark):
-    typed = po.validate_policies(frames.raw_policies(spark, {KEY[0]: "{}"}))
-    long = typed.selectExpr(
-        "repository",
-        "minimum_score",
-        "disabled_checks",
-        "transform(sequence(1, 70), i -> concat('f', i)) AS required_files",
-        "ignore_paths",
-        "privacy_terms",
-        "policy_warnings",
-    )
-    report = plan.audit(
-        frames.files(spark, {KEY: [("f70", None)]}), frames.commits(spark, [KEY]), long
-    )
-    with pytest.raises(Exception, match="at most 62"):
-        report.collect()
+def test_long_policy_lists_keep_every_entry(spark):
+    names = ",".join(f'"need/{n}.txt"' for n in range(200))
+    terms = ",".join(f'"word{n}"' for n in range(150))
+    policy = '{"required_files":[%s],"privacy_terms":[%s]}' % (names, terms)
+    files = [("need/199.txt", None), ("README.md", "word149")]
+    for dialect in catalog.DIALECTS:
+        row = run(spark, files, policy, dialect)
+        assert row.missing_required_files == [f"need/{n}.txt" for n in range(199)]
+        assert passed(row) == {"readme", "privacy"}
+        assert row.policy_warnings == []
 
 
-NAMES = [
-    "README.md", "/readme.rst", "docs/README.md", "LICENSE", "x/Copying", "CITATION.cff",
-    "tests/a.py", "tests/b.py", "tests/c.py", "tests/d.py", "tests/e.py", "tests/f.py",
-    "src/tests/a.py", "Makefile", "sub/makefile", "vendor/LICENSE", "vendors/LICENSE",
-    "poetry.lock", "codebook.md", " README.md", "TESTS/A.py", ".github/workflows/ci.yml",
-]
-TEXTS = [None, "", " \t", "Data Source and IRB", "how to reproduce; privacy", "data description",
-         "consent. anonym", "Institutional Review. source data"]
+def test_a_list_limit_is_a_choice(spark):
+    raw = frames.raw_policies(spark, {"r": '{"required_files":["a", 1, "b", "c"]}'})
+    for dialect, kept in (("py", ["a"]), ("js", ["a", "b"])):
+        assert po.validate_policies(raw, dialect, list_limit=2).first().required_files == kept
 
 
-@pytest.mark.parametrize("dialect", catalog.DIALECTS)
-def test_against_brute_force(spark, dialect):
-    """A hundred random repositories, one of them holding a third of all files."""
-    rng = random.Random(7)
-    policy = {"ignore_paths": ("vendor", "sub/makefile"), "required": ("license", "tests/a.py")}
-    repositories = {}
-    for n in range(100):
-        size = rng.randint(0, 12) if n else 400
-        repositories[(f"r{n % 10}", str(n))] = [
-            (rng.choice(NAMES), rng.choice(TEXTS)) for _ in range(size)
-        ]
-    text = '{"ignore_paths":["vendor","sub/Makefile"],"required_files":["LICENSE","tests/a.py"]}'
-    typed = po.validate_policies(frames.raw_policies(spark, {f"r{n}": text for n in range(5)}), dialect)
-    files = frames.files(spark, repositories)
-    signals = plan.commit_signals(files, frames.commits(spark, repositories), typed, dialect)
-    reports = frames.by_key(plan.reports(signals, dialect), "repository", "sha")
-    results = plan.results_with_evidence(
-        plan.check_results(signals, dialect), plan.file_evidence(files, typed, dialect)
-    )
-    found = frames.by_key(results, "repository", "sha", "key")
-    assert len(reports) == 100
-    assert len(found) == 1000
-    points = {check.key: check.points for check in catalog.CHECKS}
-    for (repository, sha), entries in repositories.items():
-        governed = int(repository[1:]) < 5
-        ignore = policy["ignore_paths"] if governed else ()
-        evidence, passed, paths = model.evidence(entries, dialect, ignore)
-        row = reports[(repository, sha)]
-        assert row.score == sum(points[key] for key in passed if passed[key])
-        required = policy["required"] if governed else ()
-        assert row.missing_required_files == [path for path in required if path not in paths]
-        for key in catalog.CHECK_KEYS:
-            check = found[(repository, sha, key)]
-            assert check.passed == passed[key], (repository, sha, key)
-            assert check.evidence == evidence[key], (repository, sha, key)
-
-
-def test_large_evidence_comes_in_parts(spark):
-    entries = [(f"d{n}/LICENSE", None) for n in range(500)] + [("Makefile", None)]
-    files = frames.files(spark, {KEY: entries, ("o/small", "1"): [("LICENSE", None)]})
-    commits = frames.commits(spark, [KEY, ("o/small", "1")])
+def test_evidence_is_whole_and_never_counted_twice(spark):
+    """A commit with 20,000 license paths, and a third of all files in one commit."""
+    many = [(f"d{n}/LICENSE", None) for n in range(20_000)] + [(f"tests/{n}", None) for n in range(9)]
+    repositories = {KEY: many, ("small", "1"): [("LICENSE", None), ("license", None)], ("none", "2"): []}
+    files, commits = frames.files(spark, repositories), frames.commits(spark, repositories)
     signals = plan.commit_signals(files, commits)
     evidence = plan.file_evidence(files)
-    arrays = plan.results_with_evidence(plan.check_results(signals), evidence, max_items=50)
-    rows = [row for row in arrays.collect() if row.repository == KEY[0] and row.key == "license"]
-    assert len(rows) > 5
-    assert sorted(p for row in rows for p in row.evidence) == sorted(
-        path.lower() for path, _ in entries[:-1]
+    assert evidence.count() == 20_000 + 9 + 1
+    results = plan.results_with_evidence(plan.check_results(signals), evidence)
+    counts = frames.by_key(results, "repository", "key")
+    assert len(counts) == 30
+    assert counts[(KEY[0], "license")].evidence_count == 20_000
+    assert counts[(KEY[0], "tests")].evidence_count == 9
+    assert counts[("small", "license")].evidence_count == 1
+    assert counts[("none", "license")].evidence_count == 0
+    scored = frames.by_key(scoring.score_results(results), "repository")
+    assert {key[0]: (row.earned, row.possible) for key, row in scored.items()} == {
+        KEY[0]: (22, 100), "small": (10, 100), "none": (0, 100),
+    }
+    documents = publishing.report_documents(plan.reports(signals), evidence).collect()
+    assert {d.repository: {c.key: c.evidence_count for c in d.checks}["license"] for d in documents} == {
+        KEY[0]: 20_000, "small": 1, "none": 0,
+    }
+    assert publishing.evidence_json(evidence).filter("sha = '1'").first().line == (
+        '{"repository":"small","sha":"1","key":"license","path":"license"}'
     )
-    documents = publishing.report_documents(plan.reports(signals), evidence, max_items=50).collect()
-    small = [row for row in documents if row.repository == "o/small"]
-    assert [row.part for row in small] == [0]
-    assert {c.key: c.evidence for c in small[0].checks}["license"] == ["license"]
-    large = [{c.key: c.evidence for c in row.checks} for row in documents if row.sha == KEY[1]]
-    assert len(large) > 5
-    assert sum(len(checks["license"]) for checks in large) == 500
-    assert sum(len(checks["reproduction"]) for checks in large) == 1
 
 
 def test_stored_results_score_like_the_audit(spark):
-    repositories = {("o/a", "1"): COMPLETE, ("o/b", "2"): CONTROLLED, ("o/c", "3"): []}
+    repositories = {("o/a", "1"): RIVER_SURVEY, ("o/b", "2"): RIVER_SURVEY[2:], ("o/c", "3"): []}
     files = frames.files(spark, repositories)
     typed = po.validate_policies(
         frames.raw_policies(spark, {"o/b": '{"disabled_checks":["privacy","tests"]}'})

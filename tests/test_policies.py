@@ -75,12 +75,13 @@ def test_document_warnings(spark, text, py, js):
         assert row.minimum_score == 80
 
 
-def test_list_cap_before_or_after_filtering(spark):
+def test_lists_are_whole_unless_a_limit_is_given(spark):
     entries = [1] * 10 + [f"f{n}" for n in range(60)]
-    text = json.dumps({"required_files": entries})
-    py, js = typed(spark, text), typed(spark, text, "js")
-    assert (len(py.required_files), len(py.policy_warnings)) == (40, 10)
-    assert (len(js.required_files), len(js.policy_warnings)) == (50, 10)
+    raw = frames.raw_policies(spark, {"r": json.dumps({"required_files": entries})})
+    for limit, expected in ((None, {"py": 60, "js": 60}), (50, {"py": 40, "js": 50})):
+        for dialect, kept in expected.items():
+            row = po.validate_policies(raw, dialect, list_limit=limit).first()
+            assert (len(row.required_files), len(row.policy_warnings)) == (kept, 10)
 
 
 def test_cleaning_and_order(spark):
@@ -140,28 +141,8 @@ def test_pick_policy(spark):
     assert picked(policy_files=("docs/" + yml,)) == {"nested": "X"}
 
 
-def test_yaml_documents(spark):
-    pytest.importorskip("yaml")
-    texts = {
-        "controls": "minimum_score: 95\ndisabled_checks: [ethics]\n"
-        "required_files: [CITATION.cff, docs/protocol.md]\nignore_paths: [generated]\n",
-        "values": "minimum_score: 80.0\nrequired_files: [2024-01-01, .nan, yes, a]\n",
-        "comment": "# nothing here\n",
-        "scalar": "just text",
-        "broken": "a: [1",
-        "none": None,
-    }
-    raw = po.policies_from_yaml(frames.raw_policies(spark, texts))
-    rows = frames.by_key(po.validate_policies(raw), "repository")
-    row = rows[("controls",)]
-    assert (row.minimum_score, row.policy_warnings) == (95, [])
-    assert row.disabled_checks == ["ethics"]
-    assert row.required_files == ["citation.cff", "docs/protocol.md"]
-    bad_item = "`required_files` contains a non-string or empty value."
-    assert rows[("values",)].required_files == ["a"]
-    assert rows[("values",)].policy_warnings == [catalog.WARN_MINIMUM_SCORE] + [bad_item] * 3
-    assert rows[("comment",)].policy_warnings == rows[("none",)].policy_warnings == []
-    assert rows[("scalar",)].policy_warnings == [catalog.WARN_NOT_OBJECT]
-    assert rows[("broken",)].policy_warnings[0].startswith("Could not parse policy YAML: while")
-    js = frames.by_key(po.validate_policies(raw, "js"), "repository")
-    assert js[("comment",)].policy_warnings == [catalog.WARN_NOT_OBJECT]
+def test_js_names_an_unreadable_policy(spark):
+    raw = po.pick_policy(frames.files(spark, {("o", "1"): [(".repo-quality.yml", "a: [1")]}), "js")
+    (row,) = po.validate_policies(raw, "js").collect()
+    assert row.policy_warnings == ["Could not parse `.repo-quality.yml`: it is not one JSON value."]
+    assert po.validate_policies(raw).first().policy_warnings == [catalog.WARN_UNPARSABLE]

@@ -130,8 +130,10 @@ def test_report_json(spark):
     ]
     assert (document["score"], document["passed"]) == (10, True)
     license = document["checks"][1]
-    assert list(license) == ["key", "title", "passed", "points", "recommendation", "evidence"]
-    assert license["evidence"] == ["license", "x/license.md"]
+    assert list(license) == [
+        "key", "title", "passed", "points", "recommendation", "term_evidence", "evidence_count",
+    ]
+    assert (license["term_evidence"], license["evidence_count"]) == ([], 2)
 
 
 def test_content_is_attached_to_selected_files_only(spark):
@@ -185,3 +187,17 @@ def test_fleet_listing_and_requests(spark):
         (4, "Repository is required", None, None),
         (5, "ready", 1, None),
     ]
+
+
+def test_files_without_path_and_broken_contents_stay(spark):
+    files = frames.files(spark, {KEY: [(None, None), ("README.md", None), ("README.rst", None)]})
+    blobs = spark.createDataFrame(
+        [("o/r", "1", "README.md", "not base64!"), ("o/r", "1", "README.rst", "YQ==")],
+        "repository string, sha string, path string, content_base64 string",
+    )
+    rows = fo.attach_content(files.drop("content"), blobs).collect()
+    assert {(r.path, r.content, r.content_error) for r in rows} == {
+        (None, None, None),
+        ("README.md", "", "content is not base64"),
+        ("README.rst", "a", None),
+    }

@@ -79,18 +79,51 @@ def test_inventory_round_trip_and_pruning(spark, tmp_path):
     assert "dynamicpruning" in pruned._jdf.queryExecution().executedPlan().toString()
 
 
+def _runs(spark, keys):
+    files = {key: FILES.get(key, []) for key in keys}
+    return publishing.check_runs(plan.audit(frames.files(spark, files), frames.commits(spark, keys)))
+
+
 def test_check_runs_are_idempotent(spark, tmp_path):
     folder = str(tmp_path / "runs")
-    keys = list(FILES)
-    runs = publishing.check_runs(
-        plan.audit(frames.files(spark, FILES), frames.commits(spark, keys))
-    )
+    runs = _runs(spark, list(FILES))
     for batch in (0, 0, 1):
-        run_table.write_check_runs(runs, folder, batch)
+        run_table.write_check_runs(runs, folder, "job", batch)
     stored = run_table.read_check_runs(spark, folder)
     assert stored.count() == 3
     assert stored.schema.simpleString() == schemas.CHECK_RUNS.simpleString()
-    assert run_table.read_check_runs(spark, folder, before=0).count() == 0
+    assert run_table.read_all_check_runs(spark, folder).count() == 6
+
+
+def test_no_write_loses_the_runs_of_another(spark, tmp_path):
+    folder = str(tmp_path / "runs")
+    for source, sha in (("one", "a"), ("two", "b"), ("three", "c")):
+        run_table.write_check_runs(_runs(spark, [("o/r", sha)]), folder, source, 0)
+    run_table.write_check_runs(_runs(spark, [("o/r", "a")]).limit(0), folder, "one", 0)
+    assert {r.head_sha for r in run_table.read_check_runs(spark, folder).collect()} == {"a", "b", "c"}
+
+
+def test_the_latest_run_is_decided_by_time(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path / "runs")
+    runs = _runs(spark, [("o/r", "a")])
+    for batch, day, status in ((7, "2024-05-01", "old"), (1, "2024-06-01", "new")):
+        when = F.lit(day).cast("timestamp")
+        run_table.write_check_runs(runs.withColumn("status", F.lit(status)), folder, "job", batch, when)
+    assert [r.status for r in run_table.read_check_runs(spark, folder).collect()] == ["new"]
+
+
+def test_a_new_checkpoint_keeps_earlier_runs(spark, tmp_path):
+    target = {"repository": {"full_name": "o/r"}, "installation": {"id": 1}}
+    out, files = str(tmp_path / "out"), frames.files(spark, FILES)
+    for name, shas in (("first", "wx"), ("second", "yz")):
+        events = [("push", {**PUSH, **target, "after": sha}) for sha in shas]
+        deliveries(spark, events).write.parquet(str(tmp_path / name))
+        stream = raw_event_stream(spark, str(tmp_path / name))
+        state = str(tmp_path / f"state {name}")
+        stream_audit(stream, files, out, state, SECRET, available_now=True).awaitTermination()
+    assert {r.head_sha for r in run_table.read_check_runs(spark, out).collect()} == set("wxyz")
 
 
 def _landing(spark, folder):
