@@ -7,9 +7,9 @@ is filled whatever the size of the set. Two sketches agree in a coordinate with
 likeness of the sets. Four coordinates make a band; texts that share a band are candidates, and the
 candidates' whole sets are compared.
 
-Documents with equal sets are one class from the start. Classes that meet in a band link first to the
-least and the greatest class of the band, and after that only across groups that are not connected yet, so
-that a group of n copies costs about n comparisons. Across groups, a pair is compared once, in the first band
+Documents with equal sets are one class from the start. Each class is compared with the least and the
+greatest of the likely ones among the first and last classes of its bands, and after that only across groups that are
+not connected yet, so that a group of n copies costs about n comparisons. Across groups, a pair is compared once, in the first band
 that it shares, and only if enough of both sets occurs in other groups at all. With 48 bands of four coordinates a pair at the
 threshold of 0.75 shares none with a probability of 1e-8. Before whole sets are compared, pairs are left
 out that differ in too many of 256 one-bit coordinates: 61 or more have a probability of 4e-8 at 0.75.
@@ -217,9 +217,9 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
     low = shared.select(*ordered("node", "low"))
     stars = cut(_likely(low.union(shared.select(*ordered("node", "high"))).filter("a < b").distinct(), facts))
-    links = _verified(stars.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), sets)
-    links = _verified(_across(stars, grown := components(links)), sets).union(_as_links(grown))
-    grown = components(links)
+    ends = stars.groupBy("b").agg(F.min("a").alias("least"), F.max("a").alias("greatest"))
+    ends = ends.select(F.explode(F.array_distinct(F.array("least", "greatest"))).alias("a"), "b")
+    grown = components(_verified(ends, sets))
     found = _verified(_rest(shared, grown, facts, sets), sets)
     same_id = full.join(classes, "class").filter("doc_id != node").select(F.col("node").alias("a"), F.col("doc_id").alias("b"))
     grown = components(found.union(_as_links(grown)).union(same_id))
@@ -234,14 +234,6 @@ def _as_links(grown: DataFrame) -> DataFrame:
     return grown.select(F.col("component").alias("a"), F.col("node").alias("b"))
 
 
-def _across(pairs: DataFrame, grown: DataFrame) -> DataFrame:
-    """Pairs that no chain of links joins yet."""
-    one = grown.select(F.col("node").alias("a"), F.col("component").alias("one"))
-    two = grown.select(F.col("node").alias("b"), F.col("component").alias("two"))
-    joined = pairs.join(one, "a", "left").join(two, "b", "left")
-    return joined.filter(F.coalesce("one", "a") != F.coalesce("two", "b")).select("a", "b")
-
-
 def one_of_each(documents: DataFrame) -> DataFrame:
     """One row of ``documents`` for each component: that of the least doc_id. All columns stay.
 
