@@ -59,38 +59,53 @@ def _placed(entry: Column, attempt: int, size: int) -> Column:
             place = F.shiftright(entry, _CHECK_BITS + 9 * attempt + k * (3 + attempt)).bitwiseAND(F.lit(size - 1))
         else:
             place = F.pmod(F.xxhash64(entry, F.lit(attempt * 3 + k)), F.lit(size))
-        places.append((place.cast("int") + k * size).alias(f"p{k}"))
+        places.append(place.cast("int").alias(f"p{k}"))
     return F.struct(entry.alias("e"), *places)
 
 
-def _put(cells: Column, placed: Column, last: int, count: int) -> Column:
-    """Cells with entries put in, or taken out, which is the same; ``count`` is added to the last one for each."""
+def _put(sketch: Column, placed: Column, count: int) -> Column:
+    """A sketch (three sub-tables and a number) with entries put in, or taken out, which is the same.
 
-    def one(kept: Column, entry: Column) -> Column:
-        def cell(value: Column, i: Column) -> Column:
-            mixed = F.when((i == entry.p0) | (i == entry.p1) | (i == entry.p2), value.bitwiseXOR(entry.e))
-            return (mixed.when(i == last, value + count) if count else mixed).otherwise(value)
+    The number grows by ``count`` for each.
+    """
+
+    def sub_table(k: int) -> Column:
+        def one(kept: Column, entry: Column) -> Column:
+            own = entry[f"p{k}"]
+            return F.transform(kept, lambda v, i: F.when(i == own, v.bitwiseXOR(entry.e)).otherwise(v))
 
-        return F.transform(kept, cell)
+        return F.aggregate(placed, sketch[f"t{k}"], one).alias(f"t{k}")
 
-    return F.aggregate(placed, cells, one)
+    return F.struct(*map(sub_table, range(3)), (sketch.n + F.size(placed) * count).alias("n"))
 
 
 def _pure(cell: Column) -> Column:
     return (cell != 0) & (cell.bitwiseAND(F.lit(_CHECK)) == _check(F.shiftrightunsigned(cell, _CHECK_BITS)))
 
 
+def _empty(sketch: Column) -> Column:
+    nothing = [F.forall(sketch[f"t{k}"], lambda c: c == 0) for k in range(3)]
+    return nothing[0] & nothing[1] & nothing[2]
+
+
 def _peeled(both: Column, attempt: int, size: int) -> Column:
-    """The cells that are left after peeling the sketch of two sets, and the number of entries recorded."""
+    """What is left of the sketch of two sets after peeling, with the number of entries recorded."""
     place = lambda e: _placed(e, attempt, size)
 
-    def step(cells: Column, turn: Column) -> Column:
-        own = F.filter(F.slice(cells, turn % 3 * size + 1, F.lit(size)), _pure)
-        return let(own, lambda f: F.when(F.size(f) == 0, cells).otherwise(_put(cells, F.transform(f, place), 3 * size, 1)))
+    def turn(sketch: Column, k: int) -> Column:
+        found = F.filter(sketch[f"t{k}"], _pure)
+        return let(found, lambda f: F.when(F.size(f) == 0, sketch).otherwise(_put(sketch, F.transform(f, place), 1)))
 
-    nothing = F.array_repeat(F.lit(0).cast("bigint"), 3 * size + 1)
-    turns = F.sequence(F.lit(0), F.lit(3 * (6 + 2 * attempt) - 1))
-    return F.aggregate(turns, _put(nothing, F.transform(both, place), 3 * size, 0), step)
+    def round_(sketch: Column, _: Column) -> Column:
+        return let(turn(sketch, 0), lambda a: let(turn(a, 1), lambda b: turn(b, 2)))
+
+    def rounds(sketch: Column, many: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(many)), sketch, round_)
+
+    cells = F.array_repeat(F.lit(0).cast("bigint"), size)
+    nothing = F.struct(*(cells.alias(f"t{k}") for k in range(3)), F.lit(0).alias("n"))
+    filled = let(nothing, lambda n: _put(n, F.transform(both, place), 0))
+    return let(rounds(filled, 3), lambda p: F.when(_empty(p), p).otherwise(rounds(p, 3 + 2 * attempt)))
 
 
 def differing(one: Column, two: Column) -> Column:
@@ -118,13 +133,8 @@ def _recovered(block: Column) -> Column:
 
 
 def _emptied(block: Column, attempt: int) -> Column:
-    size = SUB_TABLE << attempt
-
-    def result(peeled: Column) -> Column:
-        empty = F.forall(F.slice(peeled, 1, 3 * size), lambda c: c == 0)
-        return F.when(empty, F.element_at(peeled, -1))
-
-    return let(_peeled(block, attempt, size), result)
+    """The number of entries of a block, or NULL if the sketch can't be emptied."""
+    return let(_peeled(block, attempt, SUB_TABLE << attempt), lambda p: F.when(_empty(p), p.n.cast("bigint")))
 
 
 def likeness(one: Column, two: Column, differ: Column) -> Column:
@@ -167,12 +177,14 @@ def followers(keyed: DataFrame) -> DataFrame:
 
 def with_next(documents: DataFrame) -> DataFrame:
     """doc_id, text and next_text, the text of the document that follows by descending doc_id."""
-    text = F.coalesce("text", F.lit(""))
-    keyed = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), text.alias("text"))
-    keyed = keyed.select("*", F.coalesce("doc_id", F.lit(_NO_ID)).alias("k"), F.xxhash64("text").alias("h"))
-    once = keyed.withColumn("copy", F.row_number().over(Window.partitionBy("k", "h").orderBy("k"))).filter("copy = 1")
+    keys = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text")
+    keyed = documents.select(*keys).select("k", F.xxhash64("text").alias("h"), "text")
+    # the texts are dealt out once for both uses, so both take the same columns; of repeated rows the first is used
+    before = F.lag(F.lit(1)).over(Window.partitionBy("k", "h").orderBy("k"))
+    once = keyed.withColumn("before", before).filter("before is null")
     once = once.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("text").alias("next_text"))
-    return keyed.join(followers(keyed), ["k", "h"]).join(once, ["next_k", "next_h"]).select("doc_id", "text", "next_text")
+    joined = keyed.join(followers(keyed), ["k", "h"]).join(once, ["next_k", "next_h"])
+    return joined.select(F.nullif("k", F.lit(_NO_ID)).alias("doc_id"), "text", "next_text")
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
