@@ -33,7 +33,7 @@ PATTERN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-REMEMBERED = 250_000
+REMEMBERED = 60_000
 LONG = 64
 _BITS, _PLACE = 20, 32
 _IDS, _PLACES = (1 << _BITS) - 1, (1 << _PLACE) - 1
@@ -68,8 +68,9 @@ class BytePairs:
         self.strings |= {i: name.encode() for name, i in special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.ids = _Remembered(self._piece_ids)
-        self.spaced = _Remembered(lambda word: ",".join(map(self.ids.__getitem__, PATTERN.findall(" " + word))))
-        self.bytes = _Remembered(self._joined_bytes)
+        join = lambda word: ",".join(map(self.ids.__getitem__, PATTERN.findall(" " + word)))
+        self.spaced = _Remembered(join, 150_000)
+        self.bytes = _Remembered(self._joined_bytes, 100_000)
 
     def merge(self, piece: bytes) -> list[int]:
         """Token ids of one piece."""
@@ -145,16 +146,16 @@ class BytePairs:
 class _Remembered(dict):
     """Results by short keys. When there are too many, only those that are used again outlive the next filling."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int = REMEMBERED):
         super().__init__()
-        self.make, self.older = make, {}
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key: str):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= LONG:
-            if len(self) >= REMEMBERED:
+            if len(self) >= self.most:
                 self.older = dict(self)
                 self.clear()
             self[key] = value

@@ -54,7 +54,9 @@ def fitting_rule(rules: tuple[tuple[str, str], ...]) -> tuple[Column, Column]:
 
 def shape(segment: Column) -> Column:
     """A segment with numbers as wildcards."""
-    by_hex = F.regexp_replace(segment, r"(?i)[0-9a-f]{4,}[0-9a-f-]*[0-9][0-9a-f-]{7,}", "{h}")
+    # hexadecimal with a digit and a letter; looked for where such a run begins, so the time is linear
+    run = r"(?i)(?<![0-9a-f-])(?=[a-f-]*+[0-9])(?=[0-9-]*+[a-f])[0-9a-f-]{12,}+"
+    by_hex = F.regexp_replace(segment, run, "{h}")
     return F.regexp_replace(by_hex, r"[0-9]+", "{n}")
 
 
