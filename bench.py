@@ -80,14 +80,17 @@ def main() -> None:
     start = time.perf_counter()
     for name in INPUTS:
         getattr(fixtures, name)(spark, sf_dir)
+    registry._published(spark, sf_dir)  # the check runs that score changes look back at: a whole audit
     setup = time.perf_counter() - start
-    timings = {}
+    timings, first = {}, {}
     for name in names:
         best = float("inf")
         for _ in range(runs):
             start = time.perf_counter()
             registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-            best = min(best, time.perf_counter() - start)
+            took = time.perf_counter() - start
+            first.setdefault(name, round(took, 3))
+            best = min(best, took)
         timings[name] = round(best, 3)
         print(f"{name} {best:.3f}", file=sys.stderr, flush=True)
     result = {
@@ -95,6 +98,7 @@ def main() -> None:
         "value": round(sum(timings.values()), 3),
         "unit": "sec",
         "queries": timings,
+        "first_runs": first,
         "sf": Path(sf_dir).name.removeprefix("sf"),
         "setup": round(setup, 3),
         "cpus": int(cpus),
