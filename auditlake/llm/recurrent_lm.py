@@ -4,9 +4,10 @@ Words are counted over all training documents. The most frequent ones are the mo
 into classes, so a word's probability is that of its class times that of the word in its class, both a softmax of
 the state. One more class stands for the end, and one for each kind of ending of the other words; their probability
 within their class comes from their counts, plus one, as in the base score. The recurrent layer is trained with truncated
-backpropagation: first on a bounded number of training documents, then on those that a hash chooses (a fixed share, so
-it grows with the corpus), in shards of a bounded size whose weights are averaged. In training and scoring the state
-is carried from window to window to the document's end.
+backpropagation: first on a bounded number of training documents, then on every training document, dealt into rounds
+of shards of a bounded size. After a round the shards' weights are averaged, and the next round goes on from there;
+rounds grow as the logarithm of the corpus, shards in proportion to it. In training and scoring the state is carried
+from window to window to the document's end.
 
 Counts of the most frequent words are sent to the tasks (``SENT``); other words meet their counts in a join.
 
@@ -37,7 +38,7 @@ ENDINGS, ENDING_BYTES = 64, 3
 SENT = 200_000
 STATE, EMBEDDING, WINDOW = 32, 16, 16
 GROUP, STREAMS = 1024, 128
-TRAIN_ONE_IN, START_ROWS, SHARD_TOKENS = 24, 500, 1_000_000
+START_ROWS, SHARD_TOKENS = 500, 1_000_000
 FLUSH = 400_000
 _LEAST = 1e-30
 _BEGIN = OWN + ENDINGS
@@ -363,14 +364,18 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
 
 
 def trained(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray | None:
-    """Weights fitted to the chosen training documents (doc_id, text, held_out)."""
+    """Weights fitted to all training documents (doc_id, text, held_out)."""
     train = texts.filter("not held_out").select("doc_id", "text")
-    chosen = train.filter(F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(TRAIN_ONE_IN)) == 0)
     first = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_ROWS)
     start = train.join(F.broadcast(first), "doc_id", "left_semi").select("text")  # START_ROWS numbers
     flat = _averaged(start.repartition(1), vocabulary, None, RATE)
-    shards = int(vocabulary.train_tokens // TRAIN_ONE_IN // SHARD_TOKENS) + 2
-    return _averaged(chosen.select("text").repartition(shards), vocabulary, flat, LATER_RATE)
+    shards = int(vocabulary.train_tokens // SHARD_TOKENS) + 2
+    rounds = shards.bit_length()
+    turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
+    for k in range(rounds):
+        dealt = train.filter(turn == k).select("text").repartition(-(-shards // rounds))
+        flat = _averaged(dealt, vocabulary, flat, LATER_RATE / (1 + k) ** 0.5)
+    return flat
 
 
 _SCORED = (

@@ -96,6 +96,20 @@ def test_words_that_are_not_sent_meet_their_counts_in_a_join(spark, monkeypatch)
         assert abs(row.base_score - whole[row.doc_id].base_score) < 1e-6
 
 
+def test_the_network_learns_from_every_training_document(spark, monkeypatch):
+    """Each document has a word of its own; reading it changes that word's embedding."""
+    monkeypatch.setattr(lm, "START_ROWS", 1)
+    rows = [(k, f"level own{k}word level gauge") for k in range(80)]
+    texts = frames.documents(spark, rows).select("doc_id", "text", lm.held_out(lm.FOLDS, lm.HELD_OUT).alias("held_out"))
+    vocabulary = lm.vocabulary_of(lm.counted(texts))
+    model, before = lm.Model(vocabulary), lm.Model(vocabulary).weights["embedding"]
+    model.set_flat(lm.trained(texts, vocabulary))
+    for doc_id, _ in rows:
+        if zlib.crc32(str(doc_id).encode()) % 7 != 2:
+            place = vocabulary.rank[b"own%dword" % doc_id]
+            assert np.any(model.weights["embedding"][place] != before[place]), doc_id
+
+
 def test_without_training_documents(spark):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     (row,) = lm.scores(frames.documents(spark, [(held, "a b")])).collect()
