@@ -4,7 +4,7 @@ A page is cut into leaf blocks: runs of text between tags that begin or end a bl
 its tag path (names, classes, ids and roles of all open elements), the mean vector of its hashed words, and a few
 numbers. A bidirectional LSTM reads the blocks of the whole page and gives each a probability of being main
 text. It is trained here, in numpy, on a bounded sample of the table's own pages: as they are, labelled by
-their article or main element, and laid out anew, their texts dealt into the parts of random layouts (menus, headers,
+their article or main element, or, without one, by the density of text and links, and laid out anew, their texts dealt into the parts of random layouts (menus, headers,
 sidebars, notices, adverts, forms, comments, footers; in and around differently named content containers), so that the
 labeller does not depend on one layout.
 
@@ -12,7 +12,8 @@ Character references are decoded, white space becomes one space, blocks are join
 
 Cases: a NULL or empty html, and one without text, give an empty text. Unclosed elements end with the page,
 unclosed comments and scripts take the rest of it; stray end tags are ignored. A page of any length is read whole.
-Repeated rows are read each. Other columns are not looked at. Without a page to learn from nothing is main text.
+Repeated rows are read each. Other columns are not looked at. Pages with neither such an element nor enough text in one
+place teach nothing; without a page to learn from nothing is main text.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ LAYOUTS = 4000
 PATH_SPACE, WORD_SPACE = 2048, 4096
 PATH_SIZE, WORD_SIZE, NUMBERS, STATE = 16, 4, 5, 16
 MAIN = 0.5
+LONG, LEAST_TEXT, MOST_LINKS, HELD = 40, 140, 0.5, 0.7
 
 # Elements of the markup language.
 BLOCKS = frozenset(
@@ -298,6 +300,49 @@ def teacher(block: Block) -> float:
     return float(inside and not any(t in path for t in ("nav", "aside", "footer", "form", "header", ".ad", ".comments", ".comment")))
 
 
+# Names of parts around the main text, for pages that don't mark it.
+_NO_MAIN = frozenset(
+    "nav aside footer form header dialog .nav .menu .navbar .navigation .breadcrumb .breadcrumbs .pagination .toc .header"
+    " .masthead .banner .sidebar .widget .related .recommended .popular .trending .cookie .cookies .consent .gdpr .notice"
+    " .popup .modal .newsletter .subscribe .ad .ads .advert .advertisement .sponsored .promo .comments .comment .replies"
+    " .footer .copyright .legal .share .social".split()
+)
+
+
+def by_density(page: list[Block]) -> list[float] | None:
+    """Labels of a page without article and main: what lies in the innermost container of most of its running text.
+
+    Running text is long, has few links and is in no part around. NULL if there is too little of it.
+    """
+    candidates = [b for b in page if b[2] < MOST_LINKS and not _NO_MAIN.intersection(b[0])]
+    # the containers of the running texts: their paths without the last element
+    rows = [(b[0][: max((k for k, t in enumerate(b[0]) if t[0] != "."), default=0)], len(b[1])) for b in candidates if len(b[1]) >= LONG]
+    least = HELD * sum(size for _, size in rows)
+    if sum(size for _, size in rows) < LEAST_TEXT:
+        return None
+    inside: list[str] = []
+    while True:
+        sizes: dict[str, int] = {}
+        for path, size in rows:
+            if len(path) > len(inside):
+                sizes[path[len(inside)]] = sizes.get(path[len(inside)], 0) + size
+        token = max(sizes, key=sizes.get, default=None)
+        if token is None or sizes[token] < least:
+            break
+        rows = [(path, size) for path, size in rows if len(path) > len(inside) and path[len(inside)] == token]
+        inside.append(token)
+    own = tuple(inside)
+    return [float(b[2] < MOST_LINKS and not _NO_MAIN.intersection(b[0]) and b[0][: len(own)] == own) for b in page]
+
+
+def labels_of(page: list[Block]) -> list[float] | None:
+    """Labels of a page as it is, or None for one that teaches nothing."""
+    if any("article" in b[0] or "main" in b[0] for b in page):
+        labels = [teacher(b) for b in page]
+        return labels if any(labels) else None
+    return by_density(page)
+
+
 def layout(random: np.random.Generator, body: list[str], other: list[str], short: list[str]) -> tuple[list[Block], list[float]]:
     """A page of a random layout: ``body`` as its main text, ``other`` and ``short`` texts in the parts around."""
     pick = lambda options: options[random.integers(len(options))]
@@ -337,15 +382,17 @@ def layout(random: np.random.Generator, body: list[str], other: list[str], short
     return blocks, labels
 
 
-def fit(pages: list[list[Block]], layouts: int = LAYOUTS, seed: int = 3, rate: float = 0.01) -> Labeller:
-    """A labeller from some pages, as they are and laid out anew."""
+def fit(pages: list[list[Block]], layouts: int = LAYOUTS, seed: int = 3, rate: float = 0.01) -> Labeller | None:
+    """A labeller from some pages, as they are and laid out anew; None if none of them teaches anything."""
     random = np.random.default_rng(seed)
     model, memory = Labeller(), {}
-    examples = [(p, [teacher(b) for b in p]) for p in pages if p]
-    body = [t for t in ([b[1] for b in p if teacher(b)] for p in pages) if t]
+    examples = [(p, labels) for p in pages if (labels := labels_of(p))]
+    if not examples:
+        return None
+    body = [[b[1] for b, label in zip(p, labels, strict=True) if label] for p, labels in examples]
     other = [b[1] for p in pages for b in p if len(b[1]) > 40]
     short = [b[1] for p in pages for b in p if len(b[1]) <= 40] or other
-    if body and other:
+    if other:
         for _ in range(layouts):
             own = body[random.integers(len(body))]
             examples.append(layout(random, own, other, short))
@@ -360,8 +407,8 @@ def fit(pages: list[list[Block]], layouts: int = LAYOUTS, seed: int = 3, rate: f
 
 def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     pages = [leaf_blocks(t.as_py()) for batch in batches for t in words.text_column(batch, "html")]
-    if pages:
-        model = fit(pages)
+    model = fit(pages)
+    if model:
         names = list(model.weights)
         columns = {"name": names, "shape": [list(model.weights[n].shape) for n in names]}
         columns["numbers"] = [model.weights[n].ravel().tolist() for n in names]

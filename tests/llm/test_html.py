@@ -79,6 +79,29 @@ def test_learning_lowers_the_loss_as_the_slopes_say():
         assert abs((changed[0] - changed[1]) / 2e-2 - slope[place]) < 0.05 * abs(slope[place]) + 1e-4, name
 
 
+def div_page(n, content="post-text"):
+    return (
+        f"<html><body><div class=menu><a href=/>Home</a> <a href=/n>News</a></div><div class=page><div class='{content}'>"
+        f"<h1>Title {n}</h1><p>{A}</p><p>{B} Gauge {n}.</p><p>{A} <a href=q>more</a></p></div><div class=sidebar><p>{B}</p></div></div>"
+        f"<div class=footer>{A}</div></body></html>"
+    )
+
+
+def test_tables_without_article_or_main():
+    """Articles in div containers only: they are kept, and parts around are not."""
+    model = ht.fit([ht.leaf_blocks(div_page(k)) for k in range(60)], layouts=600)
+    for k in range(60):
+        assert extracted(model, div_page(k)) == [f"Title {k}", A, f"{B} Gauge {k}.", f"{A} more"]
+    assert ht.fit([ht.leaf_blocks("<p>short</p>"), []]) is None
+
+
+def test_pages_without_article_teach_by_density_and_others_by_their_elements():
+    blocks = ht.leaf_blocks(div_page(1))
+    assert ht.labels_of(blocks) == [0, 1, 1, 1, 1, 0, 0]
+    assert ht.labels_of(ht.leaf_blocks(PAGES[0])) == [ht.teacher(b) for b in ht.leaf_blocks(PAGES[0])]
+    assert ht.labels_of(ht.leaf_blocks("<article><nav>a</nav></article>")) is None and ht.labels_of([]) is None
+
+
 def test_awkward_rows(spark):
     rows = [(k, f"http://h/{k}", p) for k, p in enumerate(PAGES)]
     rows += [(None, None, None), (100, "u", ""), (101, "u", "<p>"), (0, "http://h/0", PAGES[0])]
