@@ -11,7 +11,8 @@ labeller does not depend on one layout.
 Character references are decoded, white space becomes one space, blocks are joined in page order by one line break.
 
 Cases: a NULL or empty html, and one without text, give an empty text. Unclosed elements end with the page,
-unclosed comments and scripts take the rest of it; stray end tags are ignored. A page of any length is read whole.
+unclosed comments, scripts, styles, titles and text areas take the rest of it, other unclosed or self-closed elements
+without text of their own (svg, iframe, select, noscript, template) only their tag; stray end tags are ignored. A page of any length is read whole.
 Repeated rows are read each. Other columns are not looked at. Pages with neither such an element nor enough text in one
 place teach nothing; without a page to learn from nothing is main text.
 """
@@ -47,11 +48,13 @@ BLOCKS = frozenset(
 EMPTY = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _MARKUP = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)"
-    r"|<(?P<whole>script|style|noscript|template|textarea|title|svg|iframe|select)\b[^>]*(?:/>|>.*?(?:</(?P=whole)\s*>|\Z))"
+    r"|<(?P<whole>script|style|noscript|template|textarea|title|svg|iframe|select)(?=[\s/>])[^>]*>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
     r"|</?[a-zA-Z][^>]*(?:>|\Z)|<[!?/][^>]*(?:>|\Z)",
     re.DOTALL | re.IGNORECASE,
 )
+# the texts of these are no markup: they have no short form, and take the rest of the page if unclosed
+_RAW = frozenset(("script", "style", "textarea", "title"))
 _NAMED = re.compile(r"(?:class|id|role|aria-label|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _PART = re.compile(r"[A-Za-z][a-z]*")
 
@@ -81,9 +84,19 @@ def leaf_blocks(page: str) -> list[Block]:
                 found.append((tuple(t for _, parts in open_ for t in parts), text, linked / max(total, 1)))
         texts, linked, total = [], 0, 0
 
-    for mark in _MARKUP.finditer(page):
+    unclosed: set[str] = set()
+    while mark := _MARKUP.search(page, at):
         add(page[at : mark.start()])
         at = mark.end()
+        whole = (mark["whole"] or "").lower()
+        if whole and (whole in _RAW or page[at - 2] != "/") and whole not in unclosed:
+            end = re.compile(rf"</{whole}\s*>", re.IGNORECASE).search(page, at)
+            if end:
+                at = end.end()
+            elif whole in _RAW:
+                at = len(page)
+            else:
+                unclosed.add(whole)
         name = (mark["name"] or "").lower()
         if not name:
             continue

@@ -36,6 +36,22 @@ def test_blocks_of_malformed_pages():
     assert block[0] == ("div", ".side", ".bar", ".main", ".x") and 0.4 < block[2] < 0.6
 
 
+@pytest.mark.parametrize(
+    "mark",
+    ["<svg class='i'/>", "<svg />", "<svg>", "<SVG><path d=x /></SVG >", "<svg-icon name=a>", "<select-box>", "<title-bar/>", "<iframe src=x>", "<script-x>"],
+)
+def test_skipped_elements_take_no_more_than_themselves(mark):
+    texts = [b[1] for b in ht.leaf_blocks(f"<p>{A}{mark}</p><p>{B}</p>" * 2)]
+    assert texts == [A, B, A, B]
+
+
+def test_unclosed_scripts_take_the_rest_and_many_unclosed_elements_stay_quick():
+    for name in ("script", "style", "textarea", "title"):
+        assert [b[1] for b in ht.leaf_blocks(f"<p>a<{name}>b<p>c</p>")] == ["a"]
+    assert [b[1] for b in ht.leaf_blocks("<p>a<script src=x/>b</script>c<svg><p>d</p></svg>e")] == ["ace"]
+    assert len(ht.leaf_blocks("<svg><p>a</p>" * 20_000)) == 20_000
+
+
 def test_articles_of_layouts_like_the_sample(model):
     assert extracted(model, PAGES[0]) == ["Title 0", A, f"{B} end"]
 
