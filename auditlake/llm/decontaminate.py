@@ -6,12 +6,14 @@ the item's own score, so a passage that holds all words of an item scores 1 for
 with the largest impact of each term in a block. A batch of passages is searched as block-max WAND does: terms'
 largest impacts rule out passages, blocks' largest impacts rule out blocks, and only what is left is scored
 item by item. All items at or above the threshold are retrieved, and then the five-word runs of the item's question
-and answer are looked for in the passage. The answer is an item's last sentence, or, of one sentence, its last words.
+and answer are looked for in the passage; of a part that has too few of them, the words are aligned with the passage,
+and its share is that of the words that need no edit. Numbers must all be there in their order, as an item with other
+numbers is another item. The answer is an item's last sentence, or, of one sentence, its last words.
 
 The index is built and searched in shards of a bounded size, each over all documents.
 
-Cases: NULL and empty texts hold nothing; items without words are in no document. Words are runs of letters in lower
-case, so signs and line breaks play no part. Question or answer shorter than five words must occur as one run. Equal
+Cases: NULL and empty texts hold nothing; items without words are in no document. Words are runs of letters and
+digits in lower case, so signs and line breaks play no part. Question or answer shorter than five words must occur as one run. Equal
 items are found each. Repeated documents are searched each. An empty index finds nothing. Rows of the benchmark
 with a NULL item_id are left out. Other columns are not looked at, and pass through the filter unchanged.
 """
@@ -39,10 +41,15 @@ ANSWER_WORDS = 8
 BLOCK = 16
 SHARD_CHARS = 4_000_000
 K1, B = 1.2, 0.75
+NOT_WORD = words.NOT_LETTER.copy()
+NOT_WORD[48:58] = False
 
 
 def _texts(column: pa.Array) -> Iterator[tuple[int, int, words.Texts]]:
-    return words.texts(pc.utf8_lower(column), words.NOT_LETTER)
+    return words.texts(pc.utf8_lower(column), NOT_WORD)
+
+
+_WORD = regex.compile(r"[a-z0-9\u0080-\U0010ffff]+")
 
 
 def runs(hashes: np.ndarray, size: int) -> np.ndarray:
@@ -58,15 +65,55 @@ def runs(hashes: np.ndarray, size: int) -> np.ndarray:
 
 def question_and_answer(text: str) -> tuple[str, str]:
     """An item's parts: its last sentence is the answer; of a single sentence, its last words are."""
-    sentences = [s for s in regex.split(r"(?<=[.!?])\s+|\n+", text) if regex.search(r"\p{L}", s)]
+    sentences = [s for s in regex.split(r"(?<=[.!?])\s+|\n+", text) if regex.search(r"[\p{L}\p{N}]", s)]
     if len(sentences) > 1:
         return " ".join(sentences[:-1]), sentences[-1]
     return text, " ".join(text.split()[-ANSWER_WORDS:])
 
 
+@dataclass
+class Part:
+    """The question or the answer of an item: its words, its runs of ``size`` words, and the words that are numbers."""
+
+    words: np.ndarray
+    size: int
+    runs: np.ndarray
+    numbers: np.ndarray
+
+    def share(self, passage: np.ndarray, enough: float) -> float:
+        """What a passage holds of it: the share of its runs, or, if that isn't ``enough``, of its words if more."""
+        if not len(self.words):
+            return 1.0
+        if not _in_order(self.numbers, passage):
+            return 0.0
+        held = float(np.isin(self.runs, runs(passage, self.size)).mean())
+        if held >= enough or len(self.words) < RUN:
+            return held
+        return max(held, 1 - edits(self.words, passage) / len(self.words))
+
+
+def _in_order(numbers: np.ndarray, passage: np.ndarray) -> bool:
+    """Whether a passage holds all of ``numbers`` in this order."""
+    if not len(numbers):
+        return True
+    left = iter(passage[np.isin(passage, numbers)].tolist())
+    return all(number in left for number in numbers.tolist())
+
+
+def edits(part: np.ndarray, passage: np.ndarray) -> int:
+    """The fewest words to change, leave out or put in that make ``part`` some run of the passage's words."""
+    place = np.arange(len(passage) + 1)
+    row = np.zeros(len(passage) + 1, dtype=np.int64)
+    for word in part:
+        after = row + 1
+        np.minimum(after[1:], row[:-1] + (passage != word), out=after[1:])
+        row = np.minimum.accumulate(after - place) + place
+    return int(row.min())
+
+
 @dataclass
 class Index:
-    """Postings of some items, by term and block; ``parts`` holds the runs of question and answer."""
+    """Postings of some items, by term and block; ``parts`` holds the question and the answer of each."""
 
     items: np.ndarray
     longest: int
@@ -78,7 +125,7 @@ class Index:
     posting_first: np.ndarray
     posting_item: np.ndarray
     posting_impact: np.ndarray
-    parts: list[tuple[np.ndarray, int, np.ndarray, int]]
+    parts: list[tuple[Part, Part]]
 
     @property
     def blocks(self) -> int:
@@ -116,9 +163,14 @@ def build(ids: list[int], texts: list[str], inverse: dict[int, float], average:
     block_largest = np.maximum.reduceat(impact, first) if len(first) else np.zeros(0)
     parts = []
     for text in texts:
-        pieces = _hashes(list(question_and_answer(text)))
-        sizes = [max(1, min(RUN, len(p))) for p in pieces]
-        parts.append((np.unique(runs(pieces[0], sizes[0])), sizes[0], np.unique(runs(pieces[1], sizes[1])), sizes[1]))
+        both = []
+        pieces = question_and_answer(text)
+        digits = [" ".join(w for w in _WORD.findall(p.lower()) if w.isdigit() and w.isascii()) for p in pieces]
+        found = _hashes([*pieces, *digits])
+        for own, numbers in zip(found[:2], found[2:], strict=True):
+            size = max(1, min(RUN, len(own)))
+            both.append(Part(own, size, np.unique(runs(own, size)), numbers))
+        parts.append(tuple(both))
     return Index(
         np.array(ids, dtype=np.int64),
         max(map(len, hashed), default=0),
@@ -181,12 +233,9 @@ def retrieve(index: Index, text: words.Texts, hashed: np.ndarray) -> tuple[np.nd
 
 
 def verified(index: Index, passage: np.ndarray, item: int) -> tuple[float, float]:
-    """Shares of the runs of an item's question and answer that a passage holds."""
-    question, question_size, answer, answer_size = index.parts[item]
-    shares = []
-    for part, size in ((question, question_size), (answer, answer_size)):
-        shares.append(float(np.isin(part, runs(passage, size)).mean()) if len(part) else 1.0)
-    return shares[0], shares[1]
+    """Shares of an item's question and answer that a passage holds."""
+    question, answer = index.parts[item]
+    return question.share(passage, QUESTION_SHARE), answer.share(passage, ANSWER_SHARE)
 
 
 def search(index: Index, column: pa.Array) -> Iterator[tuple[int, int, float, float, float]]:

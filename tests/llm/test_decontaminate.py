@@ -67,6 +67,50 @@ def test_whole_items_are_found_and_nothing_else(spark):
     assert clean.count() == sum(doc_id not in dirty for doc_id, _ in rows)
 
 
+def held(spark, items, rows):
+    found = dc.contaminated(frames.documents(spark, rows), frame(spark, items)).collect()
+    return {(r.doc_id, r.item_id) for r in found}
+
+
+def test_one_edited_word_hides_no_item(spark):
+    """One sentence of 18 words: each word in turn is another one, is missing, or has one more before it."""
+    own = "the northern gauge stood far below its usual mark when seven late barges reached that old stone weir".split()
+    around = "rain fell on the hills and nobody read it for many weeks"
+    rows = []
+    for k in range(len(own)):
+        for middle in ([*own[:k], "other", *own[k + 1 :]], own[:k] + own[k + 1 :], [*own[:k], "other", *own[k:]]):
+            rows.append((len(rows), f"{around} {' '.join(middle)} {around}"))
+    clean = [(900, around), (901, " ".join(own[:9])), (902, " ".join(reversed(own)))]
+    assert held(spark, [(7, " ".join(own) + "."), (8, around + " once more in a far country")], rows + clean) == {(k, 7) for k in range(len(rows))}
+
+
+def test_numbers_are_words(spark):
+    """Answers that are numbers are verified, and items that differ only in numbers are different ones."""
+    ask = "A boat carries {} stones up the river and {} stones down, so how many stones has it carried? {}"
+    items = [(1, ask.format(12, 30, 42)), (2, ask.format(15, 60, 75)), (3, "17 + 25 = 42"), (4, "!!!")]
+    rows = [(10, "Read on. " + items[0][1]), (11, "Read on. " + items[1][1]), (12, ask.format(12, 30, 99)), (13, "so 17 + 25 = 42, he said")]
+    assert held(spark, items, rows) == {(10, 1), (11, 2), (13, 3)}
+    assert dc.question_and_answer(items[0][1])[1] == "42"
+
+
+def test_edits_against_every_run():
+    """The edit distance to the nearest run of the passage, by the table of every run."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, before = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[j - 1] + 1, before[j - 1] + (x != y)))
+        return row[-1]
+
+    random_ = np.random.default_rng(8)
+    for _ in range(40):
+        part, passage = (random_.integers(0, 4, random_.integers(n, 9)).astype(np.uint64) for n in (1, 0))
+        every = [passage[a:b] for a in range(len(passage) + 1) for b in range(a, len(passage) + 1)]
+        assert dc.edits(part, passage) == min(distance(list(part), list(e)) for e in every)
+
+
 def test_shards_do_not_change_the_result(spark, monkeypatch):
     random_ = random.Random(5)
     items = benchmark(random_)
