@@ -367,7 +367,9 @@ def trained(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray | None:
     """Weights fitted to all training documents (doc_id, text, held_out)."""
     train = texts.filter("not held_out").select("doc_id", "text")
     first = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_ROWS)
-    start = train.join(F.broadcast(first), "doc_id", "left_semi").select("text")  # START_ROWS numbers
+    start = train.join(F.broadcast(first), "doc_id", "left_semi")  # START_ROWS numbers
+    # a doc_id may have any number of rows
+    start = start.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(START_ROWS).select("text")
     flat = _averaged(start.repartition(1), vocabulary, None, RATE)
     shards = int(vocabulary.train_tokens // SHARD_TOKENS) + 2
     rounds = shards.bit_length()

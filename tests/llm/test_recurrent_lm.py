@@ -110,6 +110,15 @@ def test_the_network_learns_from_every_training_document(spark, monkeypatch):
             assert np.any(model.weights["embedding"][place] != before[place]), doc_id
 
 
+def test_repeated_ids_do_not_widen_the_first_task(spark, monkeypatch):
+    read = []
+    monkeypatch.setattr(lm, "START_ROWS", 20)
+    monkeypatch.setattr(lm, "_averaged", lambda sample, *_: read.append(sample.count()))
+    texts = frames.documents(spark, [(1, f"level {k}") for k in range(300)]).selectExpr("doc_id", "text", "false AS held_out")
+    lm.trained(texts, lm.vocabulary_of(lm.counted(texts)))
+    assert read[0] == 20 and sum(read[1:]) == 300
+
+
 def test_without_training_documents(spark):
     held = next(k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2)
     (row,) = lm.scores(frames.documents(spark, [(held, "a b")])).collect()
