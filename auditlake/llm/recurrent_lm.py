@@ -376,7 +376,7 @@ def trained(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray | None:
     turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
     for k in range(rounds):
         dealt = train.filter(turn == k).select("text").repartition(-(-shards // rounds))
-        flat = _averaged(dealt, vocabulary, flat, LATER_RATE / (1 + k) ** 0.5)
+        flat = _averaged(dealt, vocabulary, flat, LATER_RATE)
     return flat
 
 
