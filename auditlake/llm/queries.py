@@ -7,8 +7,10 @@ from auditlake.llm.decontaminate import op10_decontamination
 from auditlake.llm.fingerprints import op6_fingerprints
 from auditlake.llm.html_text import op4_html_text
 from auditlake.llm.near_dedup import op9_near_duplicates
+from auditlake.llm.oracle import OP12
 from auditlake.llm.quality import op8_quality
 from auditlake.llm.recurrent_lm import op5_recurrent_lm
+from auditlake.llm.resampling import op12_resampling
 from auditlake.llm.token_counts import op2_token_counts
 from auditlake.llm.toxicity import op1_toxicity
 from auditlake.llm.url_filter import op7_url_filter
@@ -24,5 +26,6 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_decontamination": op10_decontamination,
+    "op12_resampling": op12_resampling,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op12_resampling": OP12}
