@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from auditlake.llm.bpe import op3_bpe
+from auditlake.llm.conversations import op11_conversations
 from auditlake.llm.decontaminate import op10_decontamination
 from auditlake.llm.fingerprints import op6_fingerprints
 from auditlake.llm.html_text import op4_html_text
 from auditlake.llm.near_dedup import op9_near_duplicates
-from auditlake.llm.oracle import OP12
+from auditlake.llm.oracle import OP11, OP12
 from auditlake.llm.quality import op8_quality
 from auditlake.llm.recurrent_lm import op5_recurrent_lm
 from auditlake.llm.resampling import op12_resampling
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_near_duplicates": op9_near_duplicates,
     "op10_decontamination": op10_decontamination,
+    "op11_conversations": op11_conversations,
     "op12_resampling": op12_resampling,
 }
-ORACLE_SQL: dict[str, str] = {"op12_resampling": OP12}
+ORACLE_SQL: dict[str, str] = {"op11_conversations": OP11, "op12_resampling": OP12}
