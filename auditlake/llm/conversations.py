@@ -339,12 +339,18 @@ def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kinds = kinds.append(pa.field("audit", pa.string())).append(pa.field("repaired_sha256", pa.string()))
     now: Joined | None = None
     for batch in batches:
+        out = []
         for row in batch.to_pylist():
-            if now is None or now.conv_id != row["conv_id"]:
-                if now is not None:
-                    yield pa.RecordBatch.from_pylist([now.result()], schema=kinds)
-                now = Joined(row["conv_id"])
+            if now is not None and now.conv_id != row["conv_id"]:
+                out.append(now.result())
+                now = None
+            if row["whole"]:
+                turns = [row["most_turn"], row["least_turn"], row["turns"]]
+                out.append(row | {"gaps": 0 if turns[0] is None else turns[0] - turns[1] + 1 - turns[2]})
+                continue
+            now = now or Joined(row["conv_id"])
             now.add(row)
+        yield pa.RecordBatch.from_pylist(out, schema=kinds)
     if now is not None:
         yield pa.RecordBatch.from_pylist([now.result()], schema=kinds)
 
@@ -377,14 +383,8 @@ def repaired(conversations: DataFrame, block: int = BLOCK) -> DataFrame:
     order = ["conv_id", "turn", "role", "text", "_place"]  # NULLs first
     ranged = with_faults(rows).repartitionByRange(*order).sortWithinPartitions(*order)
     parts = ranged.drop("_place").mapInArrow(functools.partial(_solved, rows=block), _PART)
-    whole = parts.filter("whole").selectExpr(
-        "conv_id",
-        "coalesce(most_turn - least_turn + 1 - turns, 0) AS gaps",
-        *("blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"),
-    )
-    blocks = parts.filter("NOT whole").drop("whole", "cost", "audit", "repaired_sha256")
-    dealt = blocks.repartition("conv_id").sortWithinPartitions("conv_id", "block")
-    return whole.unionByName(dealt.mapInArrow(_joined, _RESULT))
+    dealt = parts.repartition("conv_id").sortWithinPartitions("conv_id", "block")
+    return dealt.mapInArrow(_joined, _RESULT)
 
 
 def damaged(conversations: DataFrame) -> DataFrame:
