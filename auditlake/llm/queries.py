@@ -12,6 +12,7 @@ from auditlake.llm.oracle import OP11, OP12
 from auditlake.llm.quality import op8_quality
 from auditlake.llm.recurrent_lm import op5_recurrent_lm
 from auditlake.llm.resampling import op12_resampling
+from auditlake.llm.suffix_dedup import op13_repeats
 from auditlake.llm.token_counts import op2_token_counts
 from auditlake.llm.toxicity import op1_toxicity
 from auditlake.llm.url_filter import op7_url_filter
@@ -29,5 +30,6 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_conversations": op11_conversations,
     "op12_resampling": op12_resampling,
+    "op13_repeats": op13_repeats,
 }
 ORACLE_SQL: dict[str, str] = {"op11_conversations": OP11, "op12_resampling": OP12}
