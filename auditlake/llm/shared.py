@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,6 +25,14 @@ def cut(frame: DataFrame) -> DataFrame:
     return frame.checkpoint()
 
 
+def written(frame: DataFrame) -> DataFrame:
+    """The rows of ``frame``, written to the shared folder as Parquet: smaller than what ``cut`` keeps, for many or wide rows."""
+    spark = frame.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    frame.write.parquet(folder)
+    return spark.read.schema(frame.schema).parquet(folder)
+
+
 def remainder(doc_id: str, divisor: int) -> Column:
     """crc32 of the id as text, modulo ``divisor``; NULL for a NULL id."""
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % divisor

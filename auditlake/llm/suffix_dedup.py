@@ -37,10 +37,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import words
-from auditlake.llm.shared import cut, table
+from auditlake.llm.shared import table, written
 
 LENGTH = 200
-GRAM = 32
+GRAM = 64
 MOST_SEGMENTS = 2048
 RUN_BYTES = 500_000
 PIECE = 1 << 20
@@ -363,7 +363,7 @@ def deduplicated(
     found = texts.mapInArrow(functools.partial(_segments_of, length=length), _SEGMENT)
     met = found.groupBy("h").agg(F.count("*").alias("_n"), F.min("fp").alias("_a"), F.max("fp").alias("_b"))
     met = met.filter("_n > 1").selectExpr("h", "_a <> _b AS several")
-    shared = cut(found.join(met, "h"))  # only anchors that occur more than once
+    shared = written(found.join(met, "h"))  # only anchors that occur more than once
     own = F.struct("first", "id", "size", "anchor", "lead", "windows")
     classes = shared.groupBy("h", "fp").agg(
         F.count("*").alias("n"), F.min(own).alias("own"), F.bool_or("several").alias("several")
@@ -376,7 +376,7 @@ def deduplicated(
     one = F.struct("h", "fp", "n", "hot", "anchor", "lead", "windows")
     listed = wanted.groupBy(*keys).agg(F.collect_list(one).alias("wanted"))  # no more than a text has segments
     listing = texts.join(listed, keys).select(*keys, "first", "text", "wanted")
-    pieces = cut(listing.mapInArrow(functools.partial(_cut_out, length=length), _CUT))
+    pieces = written(listing.mapInArrow(functools.partial(_cut_out, length=length), _CUT))
 
     groups = pieces.filter("NOT hot").repartition("h").sortWithinPartitions("h", "fp")
     matched = groups.mapInArrow(functools.partial(_matched, length=length, keep_first=keep_first), _RANGE)
