@@ -360,17 +360,22 @@ def deduplicated(
     first = "coalesce(CAST(doc_id AS BIGINT), 9223372036854775807L)" if keep_first else "0L"
     texts = documents.selectExpr("CAST(doc_id AS BIGINT) AS doc_id", f"{first} AS first", "coalesce(text, '') AS text")
     texts = texts.selectExpr("*", "xxhash64(doc_id, text) AS id", "CAST(octet_length(text) AS INT) AS size")
-    found = texts.mapInArrow(functools.partial(_segments_of, length=length), _SEGMENT)
+    found = texts.filter(f"size >= {length}").mapInArrow(functools.partial(_segments_of, length=length), _SEGMENT)
     met = found.groupBy("h").agg(F.count("*").alias("_n"), F.min("fp").alias("_a"), F.max("fp").alias("_b"))
-    met = met.filter("_n > 1").selectExpr("h", "_a <> _b AS several")
+    # Written tables stand on both sides of each join below, so that Spark may split a key that many rows have.
+    met = written(met.filter("_n > 1").selectExpr("h", "_a <> _b AS several"))
     shared = written(found.join(met, "h"))  # only anchors that occur more than once
     own = F.struct("first", "id", "size", "anchor", "lead", "windows")
-    classes = shared.groupBy("h", "fp").agg(
-        F.count("*").alias("n"), F.min(own).alias("own"), F.bool_or("several").alias("several")
+    classes = written(
+        shared.groupBy("h", "fp").agg(
+            F.count("*").alias("n"), F.min(own).alias("own"), F.bool_or("several").alias("several")
+        )
     )
     several = classes.filter("several").withColumnRenamed("own", "_own")
-    crowded = several.groupBy("h").agg((F.count("*") > MOST_SEGMENTS).alias("hot"))
-    wanted = several.join(crowded, "h").select("h", "fp", "n", "hot", "_own.*")
+    crowded = several.groupBy("h").agg(F.count("*").alias("_n")).filter(F.col("_n") > MOST_SEGMENTS)
+    crowded = written(crowded.select("h", F.lit(True).alias("_hot")))
+    hot = F.coalesce(F.col("_hot"), F.lit(False)).alias("hot")
+    wanted = several.join(crowded, "h", "left").select("h", "fp", "n", hot, "_own.*")
 
     keys = ["id", "size"]
     one = F.struct("h", "fp", "n", "hot", "anchor", "lead", "windows")
@@ -385,7 +390,8 @@ def deduplicated(
         "h bigint, id bigint, size int, first bigint, lead int, code bigint, start int",
     )
     same, place = ["h", "lead", "code"], F.struct("first", "id", "size", "start")
-    counted = windows.groupBy(*same).agg(F.count("*").alias("_n"), F.min(place).alias("_first")).filter("_n > 1")
+    counted = windows.groupBy(*same).agg(F.count("*").alias("_n"), F.min(place).alias("_first"))
+    counted = written(counted.filter("_n > 1"))
     again = windows.join(counted, same)
     if keep_first:
         again = again.filter(place != F.col("_first"))
@@ -398,11 +404,11 @@ def deduplicated(
 
     ranges = matched.unionByName(counted_ranges).unionByName(copied).groupBy(*keys)
     ranges = ranges.agg(F.collect_list("start").alias("starts"), F.collect_list("stop").alias("stops"))
-    rows = texts.join(ranges, keys, "left").select("doc_id", "text", "starts", "stops")
+    short, long = texts.filter(f"size < {length}"), texts.filter(f"size >= {length}")
+    rows = long.join(ranges, keys, "left").select("doc_id", "text", "starts", "stops")
+    rows = rows.unionByName(short.select("doc_id", "text"), allowMissingColumns=True)
     kinds = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
-    return rows.mapInArrow(
-        functools.partial(_results, with_bytes=with_bytes), kinds + ", kept binary" * with_bytes
-    )
+    return rows.mapInArrow(functools.partial(_results, with_bytes=with_bytes), kinds + ", kept binary" * with_bytes)
 
 
 def op13_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
