@@ -1,8 +1,8 @@
 """Fleet-wide repository-quality audits on Spark DataFrames.
 
-    from auditlake import audit, check_runs, validate_policies
+    from auditlake import audit, check_runs, policy_table
 
-    report = audit(files, commits, validate_policies(raw_policies))
+    report = audit(files, commits, policy_table(raw_policies))
     check_runs(report).write.parquet(...)
 """
 
@@ -15,6 +15,7 @@ from auditlake.operators.fleet import (
 )
 from auditlake.operators.policies import (
     pick_policy,
+    policy_table,
     validate_policies,
 )
 from auditlake.operators.publishing import (
@@ -49,6 +50,7 @@ __all__ = [
     "file_evidence",
     "markdown_reports",
     "pick_policy",
+    "policy_table",
     "previous_scores",
     "public_repositories",
     "read_check_runs",

@@ -10,15 +10,12 @@ def with_document(rows: DataFrame, text: str, alias: str) -> DataFrame:
     JSON value.
 
     ``try_parse_json`` stops after the first value and ignores what follows, so
-    the text is parsed inside brackets and, to rule out a text that closes the
-    bracket itself, inside braces.  Repeated keys make a document unreadable.
+    the text is parsed once, as the first item of a list that ends with the text's own
+    digest. A text that holds several values, or closes the list itself, leaves something else in
+    the second place. Repeated keys make a document unreadable.
     """
-    staged = rows.selectExpr("*", f"{text} AS _text").selectExpr(
-        "*", "try_parse_json(concat('[', _text, ']')) AS _list"
-    )
-    whole = (
-        "try_variant_get(_list, '$[1]', 'variant') IS NULL"
-        """ AND try_parse_json(concat('{"v":', _text, '}')) IS NOT NULL"""
-    )
+    staged = rows.selectExpr("*", f"{text} AS _text").selectExpr("*", "sha2(_text, 256) AS _digest")
+    listed = staged.selectExpr("*", """try_parse_json(concat('[', _text, ',"', _digest, '"]')) AS _list""")
+    whole = "try_variant_get(_list, '$[1]', 'string') = _digest"
     value = f"IF({whole}, try_variant_get(_list, '$[0]', 'variant'), NULL) AS {alias}"
-    return staged.selectExpr(*rows.columns, value)
+    return listed.selectExpr(*rows.columns, value)

@@ -36,6 +36,12 @@ def is_ignored(path: str, ignore_paths: str) -> str:
     return f"coalesce(size({ignore_paths}) > 0 AND {hit}, false)"
 
 
+def own_prefixes(path: str) -> str:
+    """The path itself and every folder above it, as paths."""
+    parts = f"split({path}, '/', -1)"
+    return f"transform({parts}, (part, i) -> array_join(slice({parts}, 1, i + 1), '/'))"
+
+
 def needs_content(
     path: str,
     dialect: str = "py",

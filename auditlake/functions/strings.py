@@ -13,11 +13,16 @@ from auditlake.functions.literals import text
 # Bits of the phrase mask.
 NOT_EMPTY = "not empty"
 NOT_BLANK = "not blank"
-PHRASES = (
-    *catalog.REPRODUCTION_PHRASES,
-    *catalog.DICTIONARY_PHRASES,
-    *catalog.PROVENANCE_TERMS,
-    *catalog.ETHICS_TERMS,
+PHRASES = tuple(
+    dict.fromkeys(
+        (
+            *catalog.REPRODUCTION_PHRASES,
+            *catalog.DICTIONARY_PHRASES,
+            *catalog.PROVENANCE_TERMS,
+            *catalog.DEFAULT_PRIVACY_TERMS,
+            *catalog.ETHICS_TERMS,
+        )
+    )
 )
 _BITS = {name: 1 << bit for bit, name in enumerate((NOT_EMPTY, NOT_BLANK, *PHRASES))}
 
@@ -57,10 +62,35 @@ def positions(items: str, condition: str) -> str:
 
 
 def items_at(items: str, found: str) -> str:
-    """The list items at the positions, in list order."""
-    return f"filter({items}, (item, i) -> array_contains({found}, i))"
+    """The list items at the positions, which are sorted; one step for each position."""
+    return f"transform({found}, i -> element_at({items}, i + 1))"
 
 
-def items_not_at(items: str, found: str) -> str:
-    """The list items at other positions, in list order."""
-    return f"filter({items}, (item, i) -> NOT array_contains({found}, i))"
+# Lists up to this length are walked in the rows that meet them and answered by a few 64-bit masks; longer ones
+# take part in joins.
+MASKS, MASK_BITS = 4, 62
+SHORT_LIST = MASKS * MASK_BITS
+
+
+def is_short(items: str) -> str:
+    return f"size({items}) <= {SHORT_LIST}"
+
+
+def position_masks(place: str) -> list[str]:
+    """For each mask, the bit of a place (from 1 on) in a short list; 0 for a place of 0 or NULL."""
+    masks = []
+    for k in range(MASKS):
+        within = f"{place} - {k * MASK_BITS + 1}"
+        masks.append(f"IF({place} BETWEEN {k * MASK_BITS + 1} AND {(k + 1) * MASK_BITS}, shiftleft(1L, {within}), 0L)")
+    return masks
+
+
+def items_missing(items: str, masks: str, found: str) -> str:
+    """The list items that were not found, in list order: by the array of masks for short lists, else by the set of positions found.
+
+    Linear in the list: the positions that are left are a difference of hash sets.
+    """
+    bit = f"shiftleft(1L, i % {MASK_BITS})"
+    short = f"filter({items}, (item, i) -> (element_at({masks}, CAST(i div {MASK_BITS} AS INT) + 1) & {bit}) = 0)"
+    left = f"array_except(sequence(0, size({items}) - 1), {found})"
+    return f"IF({is_short(items)}, {short}, transform({left}, i -> element_at({items}, i + 1)))"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,13 +44,15 @@ def attach_content(
     Invalid UTF-8 is replaced; a selected file without content gets '', and so
     does one whose content is not base64, with ``content_error`` set.  Files
     that are not selected carry a NULL key into the join, which a salt of the
-    path spreads over all tasks, so the table is read once.
+    path spreads over all tasks, so the table is read once.  Blobs of paths that no file is selected by are dropped where
+    they are read, before anything of them is decoded.
     """
-    wanted = f"coalesce({paths.needs_content('path', dialect, policy_files)}, false)"
+    selected = paths.needs_content("path", dialect, policy_files)
+    wanted = f"coalesce({selected}, false)"
     columns = [*COMMIT, "seq", "path"]
     # Line breaks are part of the transport encoding.
     packed = r"regexp_replace(content_base64, '[\\r\\n]', '')"
-    texts_ = blobs.selectExpr(
+    texts_ = blobs.filter(selected).selectExpr(
         *COMMIT,
         "path",
         "content_base64 IS NOT NULL AS _loaded",
@@ -92,18 +96,73 @@ def policy_keys(policies: DataFrame) -> list[str]:
     return COMMIT if "sha" in policies.columns else ["repository"]
 
 
-def drop_ignored(files: DataFrame, policies: DataFrame) -> DataFrame:
-    """Files (with ``path_norm``) that no ignored path of the policy covers.
+@dataclass(frozen=True)
+class ListSizes:
+    """What the lists of a policy table need, asked of the table once, before a plan is made."""
+
+    ignoring: bool  # some policy ignores paths
+    long_ignore: bool  # some list of ignored paths is too long to be walked by every file
+    long_required: bool
+    own_terms: bool  # some policy has privacy terms of its own
+
+
+def list_sizes(policies: DataFrame) -> ListSizes:
+    """One aggregation of the policy table; four flags come to the driver."""
+    defaults = texts(catalog.DEFAULT_PRIVACY_TERMS)
+    conditions = {
+        "ignoring": "size(ignore_paths) > 0",
+        "long_ignore": f"NOT {strings.is_short('ignore_paths')}",
+        "long_required": f"NOT {strings.is_short('required_files')}",
+        "own_terms": f"privacy_terms <> {defaults}",
+    }
+    known = {name: c for name, c in conditions.items() if any(column in c for column in policies.columns)}
+    flags = [F.expr(f"coalesce(bool_or({c}), false) AS {name}") for name, c in known.items()]
+    return ListSizes(**{name: False for name in conditions} | policies.agg(*flags).first().asDict())
 
-    Only policies that ignore anything enter the join.
+
+def without_prefixes(rows: DataFrame, prefixes: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose ``path_norm`` neither is one of the prefixes (``keys, prefix``) nor lies below one.
+
+    A path has as many own prefixes as segments; these meet the table by hash, so the cost doesn't
+    depend on how many prefixes there are. Equal paths meet it once.
     """
-    keys = policy_keys(policies)
-    ignoring = policies.filter("size(ignore_paths) > 0").select(*keys, "ignore_paths")
-    return (
-        lookup(files, ignoring, keys, ["path_norm"])
-        .filter(f"NOT {paths.is_ignored('path_norm', 'ignore_paths')}")
-        .drop("ignore_paths")
+    own = rows.select(*keys, "path_norm").distinct()
+    own = own.selectExpr(*keys, "path_norm", f"explode({paths.own_prefixes('path_norm')}) AS prefix")
+    ignored = own.join(prefixes, [*keys, "prefix"], "left_semi").select(*keys, "path_norm").distinct()
+    return rows.join(ignored, [*keys, "path_norm"], "left_anti")
+
+
+def unignored(
+    rows: DataFrame, policies: DataFrame, sizes: ListSizes, carried: dict[str, str] | None = None
+) -> DataFrame:
+    """Rows (with ``path_norm``) that no ignored path of the policy covers, with further columns of the policy
+    (``carried``: name and expression; NULL where there is no policy).
+
+    One lookup brings all. Short lists are walked in the row; rows under longer ones take the way of ``without_prefixes``.
+    """
+    carried = carried or {}
+    if not sizes.ignoring and not carried:
+        return rows
+    keys, short, names = policy_keys(policies), strings.is_short("ignore_paths"), [*rows.columns, *carried]
+    wanted = policies if carried else policies.filter("size(ignore_paths) > 0")
+    table = wanted.selectExpr(
+        *keys,
+        *(f"{value} AS {name}" for name, value in carried.items()),
+        f"IF({short}, ignore_paths, NULL) AS _ignored",
+        f"NOT {short} AS _long",
     )
+    joined = lookup(rows, table, keys, ["path_norm"])
+    kept = joined.filter(f"NOT {paths.is_ignored('path_norm', '_ignored')}") if sizes.ignoring else joined
+    if not sizes.long_ignore:
+        return kept.select(names)
+    prefixes = policies.filter(f"NOT {short}").selectExpr(*keys, "explode(ignore_paths) AS prefix").distinct()
+    rest = without_prefixes(joined.filter("_long").select(names), prefixes, keys)
+    return kept.filter("NOT coalesce(_long, false)").select(names).unionByName(rest)
+
+
+def drop_ignored(files: DataFrame, policies: DataFrame) -> DataFrame:
+    """Files (with ``path_norm``) that no ignored path of the policy covers, with any number of ignored paths."""
+    return unignored(files, policies, list_sizes(policies))
 
 
 def named_files(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
@@ -115,14 +174,14 @@ def named_files(files: DataFrame, names: tuple[str, ...]) -> DataFrame:
     )
 
 
-def readme_aggregates(*values: str, path: str = "path_norm", first: bool = True) -> list[Column]:
-    """Aggregates that keep, for both root README names, the first position
-    (unless ``first`` is off) and the last of each value (``md_seq``,
-    ``md_<value>``, ``rst_seq``, ...)."""
+def readme_aggregates(*values: str, path: str = "path_norm", last: bool = False) -> list[Column]:
+    """Aggregates that keep, for both root README names, the first position and the last of each value
+    (``md_seq``, ``md_<value>``, ``rst_seq``, ...), with ``last`` also the last position (``md_last``, ``rst_last``)."""
     columns = []
     for short, name in (("md", catalog.README_MD), ("rst", catalog.README_RST)):
         seq = f"IF({path} = {text(name)}, seq, NULL)"
-        columns += [F.expr(f"min({seq}) AS {short}_seq")] if first else []
+        columns += [F.expr(f"min({seq}) AS {short}_seq")]
+        columns += [F.expr(f"max({seq}) AS {short}_last")] if last else []
         columns += [F.expr(f"max_by({value}, {seq}) AS {short}_{value}") for value in values]
     return columns
 
@@ -138,6 +197,13 @@ def pick_readme(value: str, dialect: str = "py") -> str:
     return f"IF(rst_seq IS NULL OR md_seq < rst_seq, md_{value}, rst_{value})"
 
 
+def pick_readme_seq(value: str, dialect: str = "py") -> str:
+    """Position of the row that ``pick_readme`` takes its value from."""
+    if catalog.require_dialect(dialect) == "js":
+        return f"IF(md_{value} IS NOT NULL, md_last, rst_last)"
+    return "IF(rst_seq IS NULL OR md_seq < rst_seq, md_last, rst_last)"
+
+
 def select_readme(files: DataFrame, dialect: str = "py") -> DataFrame:
     """Lowercased text of the chosen root README of each commit that has one.
 

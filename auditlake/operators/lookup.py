@@ -15,8 +15,9 @@ def lookup(
     keys: Sequence[str],
     spread_on: Sequence[str],
     salts: int = SALTS,
+    how: str = "left",
 ) -> DataFrame:
-    """Left join of ``facts`` with a table that holds each key at most once.
+    """Join (left, unless ``how`` says inner) of ``facts`` with a table that holds each key at most once.
 
     No broadcast hint: Catalyst and AQE broadcast ``table`` only when its size
     is known to be below ``spark.sql.autoBroadcastJoinThreshold`` (static
@@ -31,4 +32,4 @@ def lookup(
     salt = f"CAST(pmod(xxhash64({', '.join(spread_on)}), {salts}) AS INT) AS _salt"
     salted_facts = facts.selectExpr("*", salt)
     salted_table = table.selectExpr("*", f"explode(sequence(0, {salts - 1})) AS _salt")
-    return salted_facts.join(salted_table, [*keys, "_salt"], "left").drop("_salt")
+    return salted_facts.join(salted_table, [*keys, "_salt"], how).drop("_salt")

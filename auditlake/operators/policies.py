@@ -14,6 +14,7 @@ from auditlake.functions.paths import normalize_path
 from auditlake.functions.strings import strip
 from auditlake.operators.files import policy_keys
 from auditlake.operators.lookup import lookup
+from auditlake.session import kept
 
 # Kinds of policy documents.
 ABSENT, EMPTY, UNPARSABLE, NOT_OBJECT, OBJECT = (
@@ -241,6 +242,16 @@ def validate_policies(
     )
 
 
+def policy_table(
+    raw: DataFrame, dialect: str = "py", list_limit: int | None = None
+) -> DataFrame:
+    """Typed policies as a table: picked, parsed and validated once, and kept in the shared folder.
+
+    An audit meets its policies up to five times; each of these reads the columns it needs from here.
+    """
+    return kept(validate_policies(raw, dialect, list_limit))
+
+
 def with_policy(
     rows: DataFrame,
     policies: DataFrame | None,

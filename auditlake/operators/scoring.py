@@ -40,5 +40,5 @@ def score_results(results: DataFrame, dialect: str = "py") -> DataFrame:
 
 def missing_required_files(signals: DataFrame) -> DataFrame:
     """Required files of the policy that a commit lacks, in policy order."""
-    missing = strings.items_not_at("required_files", "required_found")
+    missing = strings.items_missing("required_files", "required_mask", "required_found")
     return signals.selectExpr(*COMMIT, f"{missing} AS missing_required_files")

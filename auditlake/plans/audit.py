@@ -2,20 +2,23 @@
 
 Shape of the plan, whatever the size of the fleet:
 
-1. every file row is reduced, where it is read, to a few booleans, 64-bit masks
-   and names; only these meet the policies.  README texts are scanned here.
-   Privacy terms come from policies, so they are looked for in a branch of root
-   READMEs (two rows per commit at most) that meets the policies on its own;
-2. one partial + final aggregation per commit combines them.  A commit that
+1. every file row is reduced, where it is read, to a few 64-bit masks; only these meet the policies.  README
+   texts are scanned here, for the fixed phrases and the default privacy terms at once;
+2. one partial + final hash aggregation per commit, of fixed width, combines them.  A commit that
    holds a third of all files contributes one row per map task;
-3. results, score, grade and verdict are projections of that row.
+3. what doesn't fit a mask comes from the few rows that have it, in a second, small aggregation per commit: positions
+   that READMEs have of a policy's own privacy terms, and positions found of long lists of required files.  Both
+   branches are planned only if the policy table has such policies (``list_sizes``);
+4. results, score, grade and verdict are projections of the joined row.
 
-The commits table is unioned into the same aggregation, so commits without any
+The commits table is unioned into the main aggregation, so commits without any
 file need no outer join.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,10 +27,16 @@ from auditlake.functions import paths, scoring, strings
 from auditlake.functions.literals import any_of, one_of, text
 from auditlake.operators.files import (
     COMMIT,
+    ListSizes,
+    list_sizes,
     normalised,
     pick_readme,
+    pick_readme_seq,
+    policy_keys,
     readme_aggregates,
+    unignored,
 )
+from auditlake.operators.lookup import lookup
 from auditlake.operators.policies import NO_TEXTS, default_policy, with_policy
 
 # Checks that a file name alone can pass.
@@ -65,24 +74,14 @@ def _named(files: DataFrame, dialect: str) -> DataFrame:
     return normalised(files, dialect).selectExpr("*", f"{paths.basename('path_norm')} AS base")
 
 
-def _unignored(
-    rows: DataFrame, policies: DataFrame | None, fields: tuple[str, ...] = ()
-) -> DataFrame:
-    """Rows with the policy columns ``fields``, without those the policy ignores."""
-    joined = with_policy(rows, policies, ["path_norm"], ("ignore_paths", *fields))
-    if policies is not None:
-        joined = joined.filter(f"NOT {paths.is_ignored('path_norm', 'ignore_paths')}")
-    return joined.drop("ignore_paths")
-
-
-def _privacy_found(terms: str) -> str:
-    """Positions of the terms that a README text has; NULL without a text."""
-    found = strings.positions(terms, "contains(readme, item)")
-    return f"IF(readme IS NULL, NULL, {found})"
+# The masks of the required files that a commit has.
+_REQUIRED = [f"required_{k}" for k in range(strings.MASKS)]
 
 
-def _file_signals(files: DataFrame, policies: DataFrame | None, dialect: str) -> DataFrame:
-    """Every file as a few narrow columns; no text goes through a join of all files.
+def _file_signals(
+    files: DataFrame, policies: DataFrame | None, sizes: ListSizes | None, dialect: str
+) -> DataFrame:
+    """Every file as a few numbers; no text goes through a join of all files.
 
     There is no filter on relevant files: Catalyst would push it below the
     projections and evaluate every rule twice, which costs more than handing
@@ -97,32 +96,49 @@ def _file_signals(files: DataFrame, policies: DataFrame | None, dialect: str) ->
         "seq",
         f"lower(IF({readme}, content, NULL)) AS readme",
     )
-    privacy = [f"{_privacy_found(default_policy()['privacy_terms'])} AS privacy_found"]
-    scanned = staged.selectExpr(
+    rows = staged.selectExpr(
         *COMMIT,
         "path_norm",
         "readme_name",
         "seq",
         f"{_hits(FILE_FLAGS)} AS hits",
         f"{strings.phrase_mask('readme', dialect)} AS phrases",
-        *(privacy if policies is None else []),
     )
+    columns = [*COMMIT, "readme_name", "seq", "hits", "phrases"]
     if policies is None:
-        return scanned.selectExpr("*", "CAST(NULL AS INT) AS required_at", "readme_name AS privacy_name")
-    required = "nullif(array_position(required_files, path_norm), 0) - 1"
-    rows = _unignored(scanned, policies, ("required_files",)).selectExpr(
-        *COMMIT, "readme_name", "seq", "hits", "phrases", f"CAST({required} AS INT) AS required_at"
-    )
-    readmes = normalised(files, dialect).filter(readme)
-    readmes = readmes.selectExpr(*COMMIT, "path_norm", "seq", "lower(content) AS readme")
-    terms = _unignored(readmes, policies, ("privacy_terms",)).selectExpr(
-        *COMMIT,
-        "path_norm AS privacy_name",
-        "seq",
-        "0L AS hits",
-        f"{_privacy_found('privacy_terms')} AS privacy_found",
-    )
-    return rows.unionByName(terms, allowMissingColumns=True)
+        return rows.selectExpr(columns)
+    asked = {"_asked": f"IF(size(required_files) > 0 AND {strings.is_short('required_files')}, required_files, NULL)"}
+    rows = unignored(rows, policies, sizes, asked)
+    placed = rows.selectExpr(*columns, "CAST(array_position(_asked, path_norm) AS INT) AS _place")
+    masks = zip(strings.position_masks("_place"), _REQUIRED, strict=True)
+    return placed.selectExpr(*columns, *(f"{mask} AS {name}" for mask, name in masks))
+
+
+def _facts(files: DataFrame, policies: DataFrame, sizes: ListSizes, dialect: str) -> DataFrame | None:
+    """What doesn't fit a mask, by commit: for each README the positions of the policy's own terms that
+    it has (``terms_found``), and the positions found of long lists of required files (``required_found``)."""
+    keys, parts = policy_keys(policies), []
+    if sizes.own_terms:
+        own = policies.filter(f"privacy_terms <> {default_policy()['privacy_terms']}")
+        readmes = normalised(files, dialect).filter(paths.is_root_readme("path_norm"))
+        readmes = readmes.selectExpr(*COMMIT, "path_norm", "seq", "lower(content) AS readme")
+        met = lookup(readmes.filter("readme IS NOT NULL"), own.select(*keys, "privacy_terms"), keys, ["path_norm"], how="inner")
+        found = strings.positions("privacy_terms", "contains(readme, item)")
+        parts.append(met.selectExpr(*COMMIT, f"struct(seq, {found} AS found) AS terms_found"))
+    if sizes.long_required:
+        long = policies.filter(f"NOT {strings.is_short('required_files')}")
+        wanted = long.selectExpr(*keys, "posexplode(required_files) AS (required_at, path_norm)")
+        if sizes.ignoring:
+            wanted = unignored(wanted, policies, sizes)
+        # only files under such policies go on to the join by path
+        present = lookup(normalised(files, dialect).select(*COMMIT, "path_norm"), long.select(*keys), keys, ["path_norm"], how="inner")
+        parts.append(present.join(wanted, [*keys, "path_norm"]).select(*COMMIT, "required_at"))
+    if not parts:
+        return None
+    rows = functools.reduce(lambda one, two: one.unionByName(two, allowMissingColumns=True), parts)
+    lists = [F.collect_list("terms_found").alias("terms_found")] * sizes.own_terms
+    lists += [F.collect_set("required_at").alias("required_found")] * sizes.long_required
+    return rows.groupBy(*COMMIT).agg(*lists)
 
 
 _NOWHERE = "CAST(array() AS ARRAY<INT>)"
@@ -137,34 +153,49 @@ def commit_signals(
     """One row per commit: its policy and everything the checks look at.
 
     Columns besides the policy: ``hits`` (mask of the file rules), ``phrases``
-    (mask of the chosen README's phrases), ``privacy_found`` (positions of the
-    privacy terms it has), ``required_found`` (positions of the required files
-    that exist).
+    (mask of the chosen README's phrases), ``privacy_found`` (positions of a policy's own
+    privacy terms it has), ``required_mask`` and ``required_found`` (the required files that exist: masks for short lists,
+    positions for long ones).
+
+    ``policies`` is read several times, so it should be a table (see ``policy_table``).
     """
     catalog.require_dialect(dialect)
+    sizes = list_sizes(policies) if policies is not None else None
     listed = commits.selectExpr(*COMMIT, f"{_LISTED}L AS hits")
+    facts = _facts(files, policies, sizes, dialect) if policies is not None else None
     combined = (
-        _file_signals(files, policies, dialect)
+        _file_signals(files, policies, sizes, dialect)
         .unionByName(listed, allowMissingColumns=True)
         .groupBy(*COMMIT)
         .agg(
             F.bit_or("hits").alias("hits"),
-            F.collect_set("required_at").alias("required_found"),
-            *readme_aggregates("phrases", path="readme_name"),
-            *readme_aggregates("privacy_found", path="privacy_name", first=False),
+            *(F.bit_or(name).alias(name) for name in _REQUIRED if policies is not None),
+            *readme_aggregates("phrases", path="readme_name", last=facts is not None and sizes.own_terms),
         )
         .filter(f"(hits & {_LISTED}L) <> 0")
-        .selectExpr(
-            *COMMIT,
-            "hits",
-            f"coalesce({pick_readme('phrases', dialect)}, 0L) AS phrases",
-            f"coalesce({pick_readme('privacy_found', dialect)}, {_NOWHERE}) AS privacy_found",
-            "required_found",
-        )
+    )
+    found = {"privacy_found": _NOWHERE, "required_found": _NOWHERE}
+    if facts is not None:
+        combined = combined.join(facts, COMMIT, "left")
+        if sizes.own_terms:
+            chosen = f"filter(terms_found, one -> one.seq = {pick_readme_seq('phrases', dialect)})"
+            found["privacy_found"] = f"coalesce(try_element_at({chosen}, 1).found, {_NOWHERE})"
+        if sizes.long_required:
+            found["required_found"] = f"coalesce(required_found, {_NOWHERE})"
+    masks = [f"coalesce({name}, 0L)" if policies is not None else "0L" for name in _REQUIRED]
+    combined = combined.selectExpr(
+        *COMMIT,
+        "hits",
+        f"coalesce({pick_readme('phrases', dialect)}, 0L) AS phrases",
+        f"array({', '.join(masks)}) AS required_mask",
+        *(f"{value} AS {name}" for name, value in found.items()),
     )
     return with_policy(combined, policies, ["sha"])
 
 
+# Whether the policy has the terms that are part of the mask.
+_DEFAULT_TERMS = f"(privacy_terms = {default_policy()['privacy_terms']})"
+
 # Whether a check passed, from the columns of a commit-signals row.
 _PASS_RULES = {
     **{key: _hit(key) for key in FILE_FLAGS},
@@ -176,7 +207,7 @@ _PASS_RULES = {
         [_hit("data_dictionary"), strings.any_in_mask("phrases", *catalog.DICTIONARY_PHRASES)]
     ),
     "provenance": strings.any_in_mask("phrases", *catalog.PROVENANCE_TERMS),
-    "privacy": "(size(privacy_found) > 0)",
+    "privacy": f"IF({_DEFAULT_TERMS}, {strings.any_in_mask('phrases', *catalog.DEFAULT_PRIVACY_TERMS)}, size(privacy_found) > 0)",
     "ethics": strings.any_in_mask("phrases", *catalog.ETHICS_TERMS),
 }
 
@@ -184,7 +215,10 @@ _PASS_RULES = {
 _TERM_EVIDENCE = {
     "readme": f"IF({strings.any_in_mask('phrases', strings.NOT_EMPTY)}, array('README'), {NO_TEXTS})",
     "provenance": strings.phrases_in_mask("phrases", catalog.PROVENANCE_TERMS),
-    "privacy": strings.items_at("privacy_terms", "privacy_found"),
+    "privacy": (
+        f"IF({_DEFAULT_TERMS}, {strings.phrases_in_mask('phrases', catalog.DEFAULT_PRIVACY_TERMS)},"
+        f" {strings.items_at('privacy_terms', 'privacy_found')})"
+    ),
     "ethics": strings.phrases_in_mask("phrases", catalog.ETHICS_TERMS),
 }
 
@@ -244,10 +278,11 @@ def file_evidence(
     checks.
     """
     found = ", ".join(f"IF({_hit(key)}, {text(key)}, NULL)" for key in keys)
-    hits = _named(files, dialect).selectExpr(*COMMIT, "path_norm", f"{_hits(keys)} AS hits")
+    hits = _named(files, dialect).selectExpr(*COMMIT, "path_norm", f"{_hits(keys)} AS hits").filter("hits <> 0")
+    if policies is not None:
+        hits = unignored(hits, policies, list_sizes(policies))
     return (
-        _unignored(hits.filter("hits <> 0"), policies)
-        .distinct()
+        hits.distinct()
         .selectExpr(*COMMIT, f"explode(array_compact(array({found}))) AS key", "path_norm AS path")
     )
 
@@ -285,7 +320,7 @@ def reports(
     possible = " + ".join(
         f"IF({enabled[check.key]}, {check.points}, 0)" for check in catalog.CHECKS
     )
-    missing = strings.items_not_at("required_files", "required_found")
+    missing = strings.items_missing("required_files", "required_mask", "required_found")
     structs = _check_structs(dialect, guidance_url, catalog.CHECK_KEYS)
     checks = f"filter({structs}, check -> NOT array_contains(disabled_checks, check.key))"
     verdict = scoring.verdict("score", "minimum_score", "missing_required_files", "policy_warnings")

@@ -43,20 +43,20 @@ def _joined(array: str, alias: str | None = None) -> str:
 
 
 def _typed_policies(spark: SparkSession, sf_dir: str, dialect: str = "py") -> DataFrame:
-    return policies.validate_policies(fx.raw_policies(spark, sf_dir), dialect)
+    return policies.policy_table(fx.raw_policies(spark, sf_dir), dialect)
 
 
-def _signals(spark: SparkSession, sf_dir: str, dialect: str = "py") -> DataFrame:
-    return plan.commit_signals(
-        fx.files(spark, sf_dir),
-        fx.commits(spark, sf_dir),
-        _typed_policies(spark, sf_dir, dialect),
-        dialect,
-    )
+def _signals(
+    spark: SparkSession, sf_dir: str, dialect: str = "py", typed: DataFrame | None = None
+) -> DataFrame:
+    typed = _typed_policies(spark, sf_dir, dialect) if typed is None else typed
+    return plan.commit_signals(fx.files(spark, sf_dir), fx.commits(spark, sf_dir), typed, dialect)
 
 
-def _reports(spark: SparkSession, sf_dir: str, dialect: str = "py") -> DataFrame:
-    return plan.reports(_signals(spark, sf_dir, dialect), dialect)
+def _reports(
+    spark: SparkSession, sf_dir: str, dialect: str = "py", typed: DataFrame | None = None
+) -> DataFrame:
+    return plan.reports(_signals(spark, sf_dir, dialect, typed), dialect)
 
 
 def _report_columns(report: DataFrame) -> DataFrame:
@@ -95,16 +95,15 @@ def audit_default_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_commit_policies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every commit is judged by the policy file it contains itself."""
     files = fx.files(spark, sf_dir).unionByName(fx.policy_files(spark, sf_dir))
-    raw = policies.pick_policy(files)
-    report = plan.audit(files, fx.commits(spark, sf_dir), policies.validate_policies(raw))
-    return _report_columns(report)
+    typed = policies.policy_table(policies.pick_policy(files))
+    return _report_columns(plan.audit(files, fx.commits(spark, sf_dir), typed))
 
 
 @_register("audit_documents")
 def audit_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole documents as README files, with configured privacy terms."""
     files = fx.long_readmes(spark, sf_dir)
-    typed = policies.validate_policies(fx.long_text_policies(spark, sf_dir))
+    typed = policies.policy_table(fx.long_text_policies(spark, sf_dir))
     return _report_columns(plan.audit(files, files.select(*COMMIT), typed))
 
 
@@ -166,8 +165,9 @@ def attach_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register("report_json")
 def report_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    evidence = plan.file_evidence(fx.files(spark, sf_dir), _typed_policies(spark, sf_dir))
-    documents = publishing.report_documents(_reports(spark, sf_dir), evidence)
+    typed = _typed_policies(spark, sf_dir)
+    evidence = plan.file_evidence(fx.files(spark, sf_dir), typed)
+    documents = publishing.report_documents(_reports(spark, sf_dir, typed=typed), evidence)
     return publishing.report_json(documents)
 
 
@@ -246,7 +246,7 @@ def ignore_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_register("ignore_paths_urls")
 def ignore_paths_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = fo.normalised(fx.url_paths(spark, sf_dir))
-    typed = policies.validate_policies(fx.url_policies(spark, sf_dir))
+    typed = policies.policy_table(fx.url_policies(spark, sf_dir))
     return fo.drop_ignored(files, typed).select("sha", "path_norm")
 
 
@@ -293,10 +293,10 @@ def terms_in_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _check_query(key: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        results = plan.check_results(_signals(spark, sf_dir), keys=(key,))
+        typed = _typed_policies(spark, sf_dir)
+        results = plan.check_results(_signals(spark, sf_dir, typed=typed), keys=(key,))
         if key in plan.FILE_FLAGS:
-            files, typed = fx.files(spark, sf_dir), _typed_policies(spark, sf_dir)
-            evidence = plan.file_evidence(files, typed, keys=(key,))
+            evidence = plan.file_evidence(fx.files(spark, sf_dir), typed, keys=(key,))
             results = plan.results_with_evidence(results, evidence)
         else:
             results = results.selectExpr("*", "size(term_evidence) AS evidence_count")
@@ -327,8 +327,9 @@ def file_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _enabled(spark: SparkSession, sf_dir: str, dialect: str) -> DataFrame:
-    results = plan.check_results(_signals(spark, sf_dir, dialect), dialect)
-    return scoring.enabled_checks(results, _typed_policies(spark, sf_dir, dialect))
+    typed = _typed_policies(spark, sf_dir, dialect)
+    results = plan.check_results(_signals(spark, sf_dir, dialect, typed), dialect)
+    return scoring.enabled_checks(results, typed)
 
 
 @_register("drop_disabled_checks")
@@ -462,7 +463,7 @@ def resolve_privacy_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _validate_query(dialect: str) -> Query:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        typed = _typed_policies(spark, sf_dir, dialect)
+        typed = policies.validate_policies(fx.raw_policies(spark, sf_dir), dialect)
         lists = (*policies.LIST_FIELDS, "policy_warnings")
         return typed.selectExpr("repository", "minimum_score", *[_joined(n) for n in lists])
 

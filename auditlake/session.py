@@ -6,7 +6,7 @@ import tempfile
 from pathlib import PurePosixPath
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the queries are written for; each can be overridden by the caller.
 SETTINGS = {
@@ -45,3 +45,12 @@ def shared_folder(spark: SparkSession) -> str:
     if "://" in base or base.startswith("file:"):
         return f"{base.rstrip('/')}/{uuid4().hex}"
     return str(PurePosixPath(base) / uuid4().hex)
+
+
+def kept(frame: DataFrame) -> DataFrame:
+    """The rows of ``frame``, computed now and kept in the shared folder, so that whatever reads them later
+    reads them from there, also after an executor was lost."""
+    spark = frame.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
+    return frame.checkpoint()

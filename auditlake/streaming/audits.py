@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -13,9 +12,11 @@ from auditlake.operators.publishing import check_runs, previous_scores
 from auditlake.plans.audit import audit
 from auditlake.sources.check_runs import (
     BATCH,
+    MERGE_BATCHES,
     SOURCE,
     TIME,
-    read_all_check_runs,
+    merge_check_runs,
+    read_check_runs_of,
     write_check_runs,
 )
 from auditlake.sources.inventory import restrict_to
@@ -56,45 +57,45 @@ def stream_audit(
     title: str = catalog.REPORT_TITLE,
     commits: DataFrame | None = None,
     available_now: bool = False,
+    source: str | None = None,
+    merge_batches: int = MERGE_BATCHES,
 ) -> StreamingQuery:
     """Starts a query that audits every accepted delivery of a stream.
 
     Routing is stateless; each micro-batch then runs the batch audit and writes
-    its own partition of the check-run table, under the id of the query, so a
+    its own partition of the check-run table, under the name ``source`` (the checkpoint's, if none is given), so a
     batch that is repeated after a failure replaces itself and a query with a new
     checkpoint replaces nothing.  With ``commits`` (and their parents) the js
     dialect compares each score with the parents' check runs of other batches;
-    only those runs are read into the comparison.
+    of what was published before, only the buckets of their repositories are read.
+    Every ``merge_batches`` batches the older ones are merged.
     """
     statuses = event_status(raw_events, secret, dialect)
+    source = source or checkpoint
 
-    def earlier(batch: DataFrame, source: str, batch_id: int) -> DataFrame | None:
+    def earlier(batch: DataFrame, batch_id: int) -> DataFrame | None:
         if dialect != "js" or commits is None:
             return None
-        try:
-            runs = read_all_check_runs(batch.sparkSession, folder)
-        except AnalysisException:  # nothing written yet
-            return None
         targets = batch.select("repository", F.col("head_sha").alias("sha"))
         audited = restrict_to(commits, targets)
         first = F.expr("try_element_at(parents, 1).sha").alias("head_sha")
         parents = audited.select("repository", first).distinct()
         own = (F.col(SOURCE) == source) & (F.col(BATCH) >= batch_id)
-        runs = runs.filter(~own).join(parents, ["repository", "head_sha"], "left_semi")
+        runs = read_check_runs_of(batch.sparkSession, folder, parents).filter(~own)
         order = F.struct(TIME, SOURCE, BATCH).alias("run_seq")
         runs = runs.select("repository", "head_sha", "name", "output.title", order)
         return previous_scores(audited, runs, title)
 
     def publish(batch: DataFrame, batch_id: int) -> None:
-        # the query's id, kept in its checkpoint
-        source = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
         batch = batch.persist()
         try:
-            previous = earlier(batch, source, batch_id)
+            previous = earlier(batch, batch_id)
             rows = audit_batch(batch, files, policies, dialect, title, previous)
             write_check_runs(rows, folder, source, batch_id)
         finally:
             batch.unpersist()
+        if batch_id % merge_batches == 0:
+            merge_check_runs(batch.sparkSession, folder, source, merge_batches)
 
     writer = statuses.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     if available_now:

@@ -1,8 +1,11 @@
 """The audit: one table of cases for the rules, then policies, dialects and sizes."""
 
+import random
+
 import pytest
 
-from auditlake import catalog
+from auditlake import catalog, schemas
+from auditlake.operators import files as fo
 from auditlake.operators import policies as po
 from auditlake.operators import publishing, scoring
 from auditlake.plans import audit as plan
@@ -241,3 +244,63 @@ def test_commit_policies_win_over_nothing_else(spark):
     rows = frames.by_key(plan.audit(files, frames.commits(spark, keys), typed), "sha")
     assert (rows[("1",)].minimum_score, rows[("1",)].passed) == (0, True)
     assert (rows[("2",)].minimum_score, rows[("2",)].passed) == (80, False)
+
+
+def test_long_lists_of_ignored_and_required_paths(spark):
+    """Lists too long to be walked by every file give what a plain loop over them gives."""
+    random_ = random.Random(4)
+    folders = [f"{a}{n}" for a in "abcdef" for n in range(40)]
+
+    def some_path():
+        return "/".join(random_.choice(folders) for _ in range(random_.randint(1, 4)))
+
+    ignored, required = [some_path() for _ in range(3000)], [some_path() for _ in range(2500)]
+    policies = {
+        "long": (sorted(set(ignored)), list(dict.fromkeys(required))),
+        "short": (ignored[:3], required[:5]),
+        "mixed": (sorted(set(ignored)), required[:5]),
+        "other": (ignored[:3], list(dict.fromkeys(required))),
+        "none": ([], []),
+    }
+    stored = {
+        (name, sha): list(dict.fromkeys(some_path() for _ in range(300)))
+        + list(dict.fromkeys(random_.sample(required, 200) + random_.sample(ignored, 50)))
+        + ["README.md", "license"]
+        for name in policies
+        for sha in ("1", "2")
+    }
+    files = frames.files(spark, {key: [(path, None) for path in found] for key, found in stored.items()})
+    rows = [(n, 80, [], r, i, ["confidential"], []) for n, (i, r) in policies.items()]
+    typed = spark.createDataFrame(rows, schemas.POLICIES)
+
+    def visible(key):
+        prefixes = policies[key[0]][0]
+        norm = [path.strip("/").lower() for path in stored[key]]
+        return [p for p in norm if not any(p == x or p.startswith(x + "/") for x in prefixes)]
+
+    kept = fo.drop_ignored(fo.normalised(files), typed).collect()
+    found = {}
+    for row in kept:
+        found.setdefault((row.repository, row.sha), []).append(row.path_norm)
+    assert {k: sorted(v) for k, v in found.items()} == {k: sorted(visible(k)) for k in stored}
+    report = frames.by_key(plan.audit(files, frames.commits(spark, stored), typed), "repository", "sha")
+    for key in stored:
+        present = set(visible(key))
+        expected = [path for path in policies[key[0]][1] if path not in present]
+        assert report[key].missing_required_files == expected
+        passed = {c.key: c.passed for c in report[key].checks}
+        assert passed["license"] is ("license" in present)
+
+
+def test_own_terms_follow_the_readme_that_counts(spark):
+    """Of two versions of one README the later counts, of two READMEs the first (py) or Markdown (js)."""
+    entries = [("README.rst", "has alpha"), ("readme.md", "has beta"), ("README.MD", "has gamma"), ("x", None)]
+    files = frames.files(spark, {("r", "1"): entries, ("r", "2"): entries[1:], ("r", "3"): [("readme.md", None), *entries[:1]]})
+    typed = spark.createDataFrame([("r", 80, [], [], [], ["beta", "alpha", "gamma", "alp"], [])], schemas.POLICIES)
+    commits = frames.commits(spark, [("r", "1"), ("r", "2"), ("r", "3"), ("r", "4")])
+    expected = {"py": [["alpha", "alp"], ["gamma"], [], []], "js": [["gamma"], ["gamma"], ["alpha", "alp"], []]}
+    for dialect, terms in expected.items():
+        report = frames.by_key(plan.audit(files, commits, typed, dialect), "sha")
+        found = [next(c for c in report[(sha,)].checks if c.key == "privacy") for sha in "1234"]
+        assert [c.term_evidence for c in found] == terms
+        assert [c.passed for c in found] == [bool(t) for t in terms]

@@ -4,6 +4,7 @@ import re
 
 from auditlake import fixtures as fx
 from auditlake.operators import events as ev
+from auditlake.operators import files as fo
 from auditlake.operators import policies as po
 from auditlake.operators.lookup import lookup
 from auditlake.plans import audit as plan
@@ -20,11 +21,56 @@ def audit(spark):
     return plan.audit(fx.files(spark, SF_DIR), fx.commits(spark, SF_DIR), typed)
 
 
-def test_audit_shuffles_once_and_hashes(spark):
-    text = physical(audit(spark))
+def nodes(frame):
+    """(name, text, names of the nodes above it) of every node of the first plan."""
+    found, todo = [], [(frame._jdf.queryExecution().executedPlan(), ())]
+    while todo:
+        node, above = todo.pop()
+        name = node.nodeName().split(" (")[0]
+        if name == "AdaptiveSparkPlan":
+            todo.append((node.initialPlan(), above))
+            continue
+        text = node.verboseStringWithOperatorId() if name == "Filter" else node.simpleString(1000)
+        found.append((name, text, above))
+        below = node.children()
+        todo += [(below.apply(k), (*above, (name, text))) for k in range(below.length())]
+    return found
+
+
+def aggregates_over_files(frame):
+    """For each scan of the files: the kinds of aggregates above it, and whether only rows that policies ask for reach them."""
+    found = []
+    for name, text, above in nodes(frame):
+        if name.startswith("Scan parquet") and re.search(r"\bpath#", text):
+            kinds = {n for n, _ in above if n.endswith("Aggregate")}
+            found.append((kinds, any(n.endswith("Join") and ", Inner" in t for n, t in above)))
+    return found
+
+
+def test_all_files_meet_in_one_hash_aggregation(spark):
+    files, commits = fx.files(spark, SF_DIR), fx.commits(spark, SF_DIR)
+    text = physical(plan.audit(files, commits))
     assert len(re.findall(r"Exchange hashpartitioning", text)) == 1
-    assert "SortAggregate" not in text
-    assert not re.search(r"SortMergeJoin|CartesianProduct|BroadcastNestedLoopJoin|Python", text)
+    assert not re.search(r"SortAggregate|ObjectHashAggregate|Join|Python", text)
+    repository = po.policy_table(fx.raw_policies(spark, SF_DIR))
+    own = po.policy_table(po.pick_policy(fx.policy_files(spark, SF_DIR)))
+    for typed in (repository, own):
+        frame = plan.audit(files, commits, typed)
+        scans = aggregates_over_files(frame)
+        assert sorted(only for _, only in scans) == [False, True]  # all files; READMEs under own terms
+        for kinds, asked_for in scans:
+            assert kinds == ({"ObjectHashAggregate"} if asked_for else {"HashAggregate"})
+        text = physical(frame)
+        assert len(re.findall(r"Exchange hashpartitioning", text)) == 2
+        assert not re.search(r"CartesianProduct|BroadcastNestedLoopJoin|Python|parse_json", text)
+
+
+def test_policies_are_picked_and_parsed_once(spark):
+    files, commits = fx.files(spark, SF_DIR), fx.commits(spark, SF_DIR)
+    typed = po.policy_table(po.pick_policy(fx.policy_files(spark, SF_DIR)))
+    text = physical(plan.reports(plan.commit_signals(files, commits, typed)))
+    assert "parse_json" not in text.lower() and "min_by" not in text
+    assert len([1 for name, _, _ in nodes(plan.audit(files, commits, typed)) if name.startswith("Scan ExistingRDD")]) >= 3
 
 
 def test_score_only_reads_no_more_than_it_needs(spark):
@@ -98,16 +144,32 @@ def test_no_shuffle_carries_the_text_of_files(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
         files, commits = fx.files(spark, SF_DIR), fx.commits(spark, SF_DIR)
-        repository = po.validate_policies(fx.raw_policies(spark, SF_DIR))
-        own = po.validate_policies(po.pick_policy(fx.policy_files(spark, SF_DIR)))
+        repository = po.policy_table(fx.raw_policies(spark, SF_DIR))
+        own = po.policy_table(po.pick_policy(fx.policy_files(spark, SF_DIR)))
         for typed in (repository, own):
             shuffles = exchanged(plan.audit(files, commits, typed))
-            # picking the policy files of a commit moves their own texts
-            of_files = [columns for columns in shuffles if "position" not in columns]
-            assert len(of_files) > 3
-            assert not any("content" in columns for columns in of_files if "min_by" not in str(columns))
+            assert len(shuffles) > 3
+            assert not any("content" in columns for columns in shuffles)
             # README texts meet the privacy terms in a branch of their own
-            wide = [columns for columns in of_files if "readme" in columns]
+            wide = [columns for columns in shuffles if "readme" in columns]
             assert len(wide) == 1 and not wide[0] & {"hits", "phrases", "base"}
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_long_lists_take_no_scan_of_a_list_by_row(spark):
+    long = spark.createDataFrame([("r", [f"d{k}" for k in range(300)])], "repository string, ignore_paths array<string>")
+    rows = spark.createDataFrame([("r", "s", "d7/x")], "repository string, sha string, path_norm string")
+    text = physical(fo.drop_ignored(rows, long))
+    assert re.search(r"LeftSemi", text) and re.search(r"LeftAnti", text)
+    short = long.selectExpr("repository", "slice(ignore_paths, 1, 5) AS ignore_paths")
+    assert not re.search(r"LeftSemi|LeftAnti", physical(fo.drop_ignored(rows, short)))
+
+
+def test_blobs_are_selected_before_they_are_decoded(spark):
+    found = nodes(fo.attach_content(fx.files(spark, SF_DIR), fx.blobs(spark, SF_DIR)))
+    scans = [above for name, text, above in found if name.startswith("Scan parquet") and "content_base64" in text]
+    assert len(scans) == 1
+    below_decoding = [k for k, (_, text) in enumerate(scans[0]) if "try_to_binary" in text.lower() or "unbase64" in text.lower()]
+    filters = [k for k, (name, text) in enumerate(scans[0]) if name == "Filter" and "readme.md" in text]
+    assert filters and below_decoding and min(filters) > max(below_decoding)  # the last is the nearest to the scan

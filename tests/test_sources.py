@@ -1,5 +1,7 @@
 import os
 
+import pytest
+
 from auditlake import schemas
 from auditlake.operators import publishing
 from auditlake.plans import audit as plan
@@ -114,6 +116,68 @@ def test_the_latest_run_is_decided_by_time(spark, tmp_path):
     assert [r.status for r in run_table.read_check_runs(spark, folder).collect()] == ["new"]
 
 
+def _shape(rows):
+    return sorted((r.head_sha, r.run_source, r.batch_id, r.status) for r in rows.collect())
+
+
+def test_merging_keeps_every_run_and_bounds_the_files_of_a_batch(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path / "runs")
+    runs = _runs(spark, list(FILES)).cache()
+    parents = spark.createDataFrame([("o/r", "a")], "repository string, head_sha string")
+    expected, opened = [], []
+    for batch in range(31):
+        run_table.write_check_runs(runs.withColumn("status", F.lit(str(batch))), folder, "job", batch)
+        if batch % 3 == 0:
+            run_table.write_check_runs(runs.limit(1), folder, "other", batch)
+        run_table.merge_check_runs(spark, folder, "job", batches=3, spans=2)
+        expected += [(r.head_sha, "job", batch, str(batch)) for r in runs.collect()]
+        if batch % 5 == 4:
+            wanted = run_table.read_check_runs_of(spark, folder, parents)
+            others = {f for f in wanted.inputFiles() if f"run_key={run_table.source_key('other')}" in f}
+            opened.append(len(set(wanted.inputFiles()) - others))
+            stored = run_table.read_all_check_runs(spark, folder).filter("run_source = 'job'")
+            assert _shape(stored) == sorted(expected)
+            assert _shape(wanted.filter("run_source = 'job'")) == [r for r in sorted(expected) if r[0] == "a"]
+    assert max(opened) < 31  # at most three batches and a span of each size, not one file for each batch
+    assert opened[-1] <= opened[1] + 4
+    found = run_table.layout(spark, folder, run_table.source_key("job"))
+    assert len(found.batches) <= 4 and len(found.spans) <= 4
+    plan_ = wanted._jdf.queryExecution().executedPlan().toString()
+    assert "run_bucket" in plan_.split("PartitionFilters: [")[1] + plan_.split("PartitionFilters: [")[-1]
+    with pytest.raises(ValueError, match="has been merged"):
+        run_table.write_check_runs(runs, folder, "job", 0)
+    latest = run_table.read_check_runs(spark, folder).filter("status <> 'completed'")
+    assert {r.status for r in latest.collect()} <= {"30"}
+
+
+def test_a_merge_that_stopped_half_way_changes_nothing(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    folder = str(tmp_path / "runs")
+    runs = _runs(spark, [("o/r", "a")]).cache()
+    for batch in range(4):
+        run_table.write_check_runs(runs, folder, "job", batch)
+    before = _shape(run_table.read_all_check_runs(spark, folder))
+    run_table.merge_check_runs(spark, folder, "job", batches=3)
+    key = run_table.source_key("job")
+    span = run_table._merged(folder, key, (0, 2))
+    assert run_table.layout(spark, folder, key).spans == [(0, 2)]
+    assert len(run_table.layout(spark, folder, key).covered) == 3  # still there, but not read
+    assert _shape(run_table.read_all_check_runs(spark, folder)) == before
+    os.remove(f"{span}/_SUCCESS")  # as if the job had ended before
+    assert run_table.layout(spark, folder, key).batches == [0, 1, 2, 3]
+    assert _shape(run_table.read_all_check_runs(spark, folder)) == before
+    # the newest batch is repeated, then the merge
+    run_table.write_check_runs(runs.withColumn("status", F.lit("again")), folder, "job", 3)
+    for _ in range(2):
+        run_table.merge_check_runs(spark, folder, "job", batches=3)
+        found = _shape(run_table.read_all_check_runs(spark, folder))
+        assert found == [*before[:3], ("a", "job", 3, "again")]
+    assert run_table.layout(spark, folder, key).covered == []
+
+
 def test_a_new_checkpoint_keeps_earlier_runs(spark, tmp_path):
     target = {"repository": {"full_name": "o/r"}, "installation": {"id": 1}}
     out, files = str(tmp_path / "out"), frames.files(spark, FILES)
