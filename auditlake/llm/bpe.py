@@ -4,7 +4,7 @@ A text is cut into pieces by the vocabulary's pattern. Within a piece the symbol
 priority queue holds the rank and place of every adjacent pair that may merge. The least entry is taken; it is
 skipped if it is stale, that is, if its pair is no longer there. Decoding concatenates the vocabulary's strings and
 reads the bytes as UTF-8, with the replacement character for what is none. Pieces repeat, so each task keeps
-the ids of the pieces that it has met, up to a fixed number.
+the ids of the pieces that it has met, up to a fixed number of bytes.
 
 Cases: NULL and empty texts have no tokens. A special token's string in a text is that token. A piece may be of any
 length; the time grows with n log n. Repeated rows are encoded each. Other columns are not looked at. An id that
@@ -33,10 +33,11 @@ PATTERN = regex.compile(
     r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+"
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
-REMEMBERED = 60_000
+#: Bytes that a worker may keep of pieces and of what lies between spaces; what an entry takes beside its texts.
+PIECE_BYTES, SPACED_BYTES, ENTRY_BYTES = 10_000_000, 80_000_000, 150
 LONG = 64
 _BITS, _PLACE = 20, 32
-_IDS, _PLACES = (1 << _BITS) - 1, (1 << _PLACE) - 1
+_PLACES = (1 << _PLACE) - 1
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,55 +59,62 @@ class BytePairs:
         self.first = [0] * 256
         for letter, byte in letters.items():
             self.first[byte] = vocabulary[letter]
-        # pair -> rank and merged symbol, both packed, as tuples cost more than the merging itself
-        self.merges = {
-            vocabulary[left] << _BITS | vocabulary[right]: rank << _BITS | vocabulary[left + right]
-            for rank, (left, right) in enumerate(content["model"]["merges"])
-        }
+        # pair, packed, as tuples cost more than the merging itself -> rank; and what each rank makes of its pair
+        merges = content["model"]["merges"]
+        self.merges = {vocabulary[left] << _BITS | vocabulary[right]: rank for rank, (left, right) in enumerate(merges)}
+        self.merged = [vocabulary[left + right] for left, right in merges]
         special = {t["content"]: t["id"] for t in content.get("added_tokens", ())}
         self.special = special
         self.strings |= {i: name.encode() for name, i in special.items()}
         self.cut = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.ids = _Remembered(self._piece_ids)
-        join = lambda word: ",".join(map(self.ids.__getitem__, PATTERN.findall(" " + word)))
-        self.spaced = _Remembered(join, 150_000)
-        self.bytes = _Remembered(self._joined_bytes, 100_000)
+        # the rank of two bytes beside each other, -1 for none
+        self.pairs = [self.merges.get(a << _BITS | b, -1) for a in self.first for b in self.first]
+        self.names = {i: str(i) for i in self.strings}
+        self.by_name = {name: self.strings[i] for i, name in self.names.items()}
+        self.ids = _Remembered(self._piece_ids, PIECE_BYTES)
+        self.spaced = _Remembered(self._spaced_ids, SPACED_BYTES)
 
     def merge(self, piece: bytes) -> list[int]:
         """Token ids of one piece."""
+        pairs = self.pairs
+        ranks = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]  # of each symbol with the next
+        # entries: rank, then place, packed in one number
+        queue = [rank << _PLACE | k for k, rank in enumerate(ranks) if rank >= 0]
         symbols = [self.first[b] for b in piece]
-        n = len(symbols)
-        merges = self.merges.get
+        if not queue:
+            return symbols
+        n, merged, get, pop, push = len(symbols), self.merged, self.merges.get, heapq.heappop, heapq.heappush
+        ranks.append(-1)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        # entries: rank, then place, packed in one number
-        queue = [(f >> _BITS) << _PLACE | k for k in range(n - 1) if (f := merges(symbols[k] << _BITS | symbols[k + 1]))]
         heapq.heapify(queue)
         while queue:
-            entry = heapq.heappop(queue)
-            k = entry & _PLACES
+            entry = pop(queue)
+            k, rank = entry & _PLACES, entry >> _PLACE
+            if ranks[k] != rank:
+                continue  # stale: one of the two has grown, or was merged into another
             right = after[k]
-            if symbols[k] < 0 or right >= n:
-                continue  # stale: merged into the symbol before, or without a neighbour
-            found = merges(symbols[k] << _BITS | symbols[right])
-            if not found or found >> _BITS != entry >> _PLACE:
-                continue  # stale: one of the two has grown
-            symbols[k] = merged = found & _IDS
-            symbols[right] = -1
+            symbols[k] = symbol = merged[rank]
+            symbols[right] = ranks[right] = -1
             after[k] = right = after[right]
             if right < n:
                 before[right] = k
-                if found := merges(merged << _BITS | symbols[right]):
-                    heapq.heappush(queue, (found >> _BITS) << _PLACE | k)
+                ranks[k] = rank = get(symbol << _BITS | symbols[right], -1)
+                if rank >= 0:
+                    push(queue, rank << _PLACE | k)
+            else:
+                ranks[k] = -1
             left = before[k]
-            if left >= 0 and (found := merges(symbols[left] << _BITS | merged)):
-                heapq.heappush(queue, (found >> _BITS) << _PLACE | left)
+            if left >= 0:
+                ranks[left] = rank = get(symbols[left] << _BITS | symbol, -1)
+                if rank >= 0:
+                    push(queue, rank << _PLACE | left)
         return [s for s in symbols if s >= 0]
 
     def _piece_ids(self, piece: str) -> str:
-        return ",".join(map(str, self.merge(piece.encode("utf-8", "surrogatepass"))))
+        return ",".join(map(self.names.__getitem__, self.merge(piece.encode("utf-8", "surrogatepass"))))
 
-    def _joined_bytes(self, ids: str) -> bytes:
-        return b"".join(self.strings[int(i)] for i in ids.split(","))
+    def _spaced_ids(self, word: str) -> str:
+        return ",".join(map(self.ids.__getitem__, PATTERN.findall(" " + word)))
 
     def _segment(self, text: str) -> list[str]:
         """Ids of a text without special tokens, by pieces or by several at once.
@@ -130,9 +138,9 @@ class BytePairs:
             at = special.end()
         return found + self._segment(text[at:])
 
-    def decode_pieces(self, pieces: Iterable[str]) -> str:
+    def decode_joined(self, ids: str) -> str:
         """The text of decimal ids joined by commas."""
-        return b"".join(map(self.bytes.__getitem__, pieces)).decode("utf-8", "replace")
+        return b"".join(map(self.by_name.__getitem__, ids.split(",") if ids else ())).decode("utf-8", "replace")
 
     def encode(self, text: str) -> list[int]:
         """Token ids of a text."""
@@ -144,20 +152,22 @@ class BytePairs:
 
 
 class _Remembered(dict):
-    """Results by short keys. When there are too many, only those that are used again outlive the next filling."""
+    """Results by short keys, up to ``most`` bytes. When there are too many, only those that are used again outlive the next filling."""
 
-    def __init__(self, make, most: int = REMEMBERED):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most, self.older = make, most, {}
+        self.make, self.most, self.older, self.size = make, most // 2, {}, 0
 
     def __missing__(self, key: str):
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
         if len(key) <= LONG:
-            if len(self) >= self.most:
+            if self.size >= self.most:
                 self.older = dict(self)
                 self.clear()
+                self.size = 0
+            self.size += len(key) + len(value) + ENTRY_BYTES
             self[key] = value
         return value
 
@@ -205,7 +215,7 @@ def round_trip(documents: DataFrame, path: str) -> DataFrame:
                 joined = ",".join(pieces)
                 sizes.append(joined.count(",") + 1 if joined else 0)
                 ids.append(hashlib.sha256(joined.encode()).hexdigest())
-                texts.append(hashlib.sha256(coder.decode_pieces(pieces).encode()).hexdigest())
+                texts.append(hashlib.sha256(coder.decode_joined(joined).encode()).hexdigest())
             columns = {"n_tokens": sizes, "ids_sha256": ids, "decoded_sha256": texts}
             yield pa.RecordBatch.from_pydict({"doc_id": batch.column(0), **columns})
 
