@@ -125,21 +125,41 @@ def _examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Rows:
-    """Sparse rows of features, each with a value for all of them."""
+    """Sparse rows of features, each with a value for all of them.
+
+    Held twice, by row and by feature, in 32 bits, so that both sums run over neighbours. ``names`` are the features
+    that have columns; others are left out.
+    """
 
     def __init__(self, rows: list[np.ndarray], names: np.ndarray):
-        sizes = [len(r) for r in rows]
-        flat = np.concatenate([*rows, np.zeros(0, dtype=np.int32)]).astype(np.int64)
-        owner = np.repeat(np.arange(len(rows)), sizes)
-        place = np.minimum(np.searchsorted(names, flat), max(0, len(names) - 1))
-        known = names[place] == flat if len(names) else np.zeros(len(flat), dtype=bool)
-        self.place, self.owner, self.n, self.width = place[known], owner[known], len(rows), len(names)
+        self.n, self.width = len(rows), len(names)
+        place_of = np.full(SPACE * len(LEVELS), -1, dtype=np.int32)
+        place_of[names] = np.arange(len(names), dtype=np.int32)
+        kept = [place[place >= 0] for place in (place_of[r] for r in rows)]
+        sizes = np.array([len(k) for k in kept], dtype=np.int64)
+        self.place = np.concatenate([*kept, np.zeros(0, dtype=np.int32)])
+        del kept
+        self.heaviest = int(sizes.max(initial=1))
+        self.rows = np.flatnonzero(sizes)  # those that have any
+        self.row_starts = np.concatenate(([0], np.cumsum(sizes[self.rows])))[:-1]
+        order = np.argsort(self.place, kind="stable").astype(np.int32)
+        owner = np.repeat(np.arange(self.n, dtype=np.int32), sizes)
+        self.owner = owner[order]
+        ordered = self.place[order]
+        self.starts = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else order
+        self.used = ordered[self.starts]
 
     def times(self, weights: np.ndarray) -> np.ndarray:
-        return np.bincount(self.owner, weights=weights[self.place], minlength=self.n)
+        total = np.zeros(self.n)
+        if len(self.rows):
+            total[self.rows] = np.add.reduceat(weights[self.place], self.row_starts)
+        return total
 
     def back(self, values: np.ndarray) -> np.ndarray:
-        return np.bincount(self.place, weights=values[self.owner], minlength=self.width)
+        total = np.zeros(self.width)
+        if len(self.starts):
+            total[self.used] = np.add.reduceat(values[self.owner], self.starts)
+        return total
 
 
 def fit(
@@ -157,12 +177,15 @@ def fit(
     ``strength`` weighs the squared change of the score. ``shrink`` times the root of the number of rows is the
     L1 penalty.
     """
-    names, texts = np.unique(np.concatenate([*rows, np.zeros(0, dtype=np.int32)]), return_counts=True)
-    names = names[texts >= LEAST_TEXTS].astype(np.int64)
+    texts = np.zeros(SPACE * len(LEVELS), dtype=np.int32)
+    for row in rows:  # a row holds a feature once
+        texts[row] += 1
+    names = np.flatnonzero(texts >= LEAST_TEXTS)
     weights, bias = np.zeros(len(names)), 0.0
     for penalty in (shrink * len(labels) ** 0.5, REFIT):
         x, won, lost = Rows(rows, names), Rows(plus, names), Rows(minus, names)
         weights, bias = _descend(x, labels, won, lost, strength, penalty, steps, weights, bias)
+        del x, won, lost
         used = np.abs(weights) > 1e-6
         names, weights = names[used], weights[used]
     return names, weights, bias
@@ -170,7 +193,6 @@ def fit(
 
 def _descend(x, y, won, lost, strength, penalty, steps, weights, bias) -> tuple[np.ndarray, float]:
     """Accelerated proximal gradient steps; the step size comes from a bound of the curvature of each row."""
-    heavy = np.bincount(x.owner, minlength=x.n).max(initial=1)
     weights, ahead, pace = weights.copy(), weights.copy(), 1.0
     bias_ahead = bias
 
@@ -178,7 +200,7 @@ def _descend(x, y, won, lost, strength, penalty, steps, weights, bias) -> tuple[
         z = x.times(w) + b
         return float(np.logaddexp(0, z).sum() - (y * z).sum() + strength / 2 * ((won.times(w) - lost.times(w)) ** 2).sum())
 
-    step = 16.0 / (x.n * heavy**0.5)
+    step = 16.0 / (x.n * x.heaviest**0.5)
     for _ in range(steps):
         z = x.times(ahead) + bias_ahead
         off = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y

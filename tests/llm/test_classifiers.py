@@ -40,6 +40,61 @@ def test_the_counterfactual_penalty_mends_scores_of_neutral_mentions():
     assert scores[5.0][0] < toxicity.THRESHOLD < scores[5.0][2]
 
 
+def test_sparse_rows_sum_like_dense_ones():
+    random_ = np.random.default_rng(3)
+    names = np.sort(random_.choice(5000, 300, replace=False))
+    rows = [np.sort(random_.choice(5000, n, replace=False)).astype(np.int32) for n in (0, 7, 900, 0, 4000, 1, 0)]
+    dense = np.array([[float(name in row) for name in names] for row in map(set, rows)])
+    own = toxicity.Rows(rows, names)
+    weights, values = random_.normal(size=300), random_.normal(size=len(rows))
+    assert np.allclose(own.times(weights), dense @ weights) and np.allclose(own.back(values), values @ dense)
+    assert own.heaviest == dense.sum(axis=1).max()
+    none = toxicity.Rows([], names)
+    assert none.times(weights).shape == (0,) and (none.back(np.zeros(0)) == 0).all()
+
+
+def test_the_fit_ends_where_no_weight_lowers_the_loss():
+    random_ = np.random.default_rng(4)
+    rows = [np.sort(random_.choice(60, 12, replace=False)).astype(np.int32) for _ in range(200)]
+    labels = np.array([float(3 in r or 5 in r) for r in rows])
+    plus, minus = [np.array([3], dtype=np.int32)] * 4, [np.array([7], dtype=np.int32)] * 4
+    names, weights, bias = toxicity.fit(labels, rows, plus, minus, strength=0.5, shrink=0.02, steps=600)
+
+    def loss(w, b):
+        by_name = dict(zip(names.tolist(), w, strict=True))
+        z = np.array([sum(by_name.get(f, 0.0) for f in r.tolist()) for r in rows]) + b
+        change = [sum(by_name.get(f, 0.0) for f in p) - sum(by_name.get(f, 0.0) for f in m) for p, m in zip(plus, minus, strict=True)]
+        return np.logaddexp(0, z).sum() - (labels * z).sum() + 0.25 * np.square(change).sum() + toxicity.REFIT * np.abs(w).sum()
+
+    least = loss(weights, bias)
+    for k in range(len(names)):
+        for step in (-0.05, 0.05):
+            moved = weights.copy()
+            moved[k] += step
+            assert loss(moved, bias) >= least - 1e-3
+    assert min(loss(weights, bias + 0.05), loss(weights, bias - 0.05)) >= least - 1e-3
+
+
+def test_scores_are_those_of_plain_counts(spark):
+    """Word by word: whole words and beginnings, once for each level that their count reaches."""
+    random_ = np.random.default_rng(5)
+    texts = ["You vile vile VILE vileword", "", "a b é vile", "vileword " * 5]
+    model = {int(f): float(w) for f, w in zip(random_.choice(3 * toxicity.SPACE, 900_000, replace=False), random_.normal(size=900_000), strict=True)}
+    score = toxicity.scorer(spark, model | {-1: 0.25})(pa.array(texts))
+    for text, found in zip(texts, score, strict=True):
+        counts = {}
+        for word in text.lower().split():
+            parts = [(word, 0)] + [(word.encode()[:n], n) for n in toxicity.BEGINNINGS if len(word.encode()) >= n]
+            for part, salt in parts:
+                own = next(words.texts(pa.array([part if isinstance(part, str) else part.decode("utf-8", "ignore")]), words.NOT_LETTER))[2]
+                feature = int(words.salted(own.words(), salt)[0] & np.uint64(toxicity.SPACE - 1))
+                counts[feature] = counts.get(feature, 0) + 1
+        total = 0.25 + sum(
+            np.float32(model.get(f + k * toxicity.SPACE, 0.0)) for f, n in counts.items() for k, least in enumerate(toxicity.LEVELS) if n >= least
+        )
+        assert abs(found - 1 / (1 + np.exp(-total))) < 1e-5
+
+
 def test_swaps_change_names_of_groups_only():
     assert toxicity.swaps("nothing here. old men talk.\nthe end") == [("old men talk", "young girls talk")]
     assert toxicity.swaps("manic") == []
