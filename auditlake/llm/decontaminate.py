@@ -3,9 +3,11 @@
 Every item is a document of the index, every passage of the corpus a query. Passages are windows of twice the
 words of the longest item, half overlapping, so that any item lies whole in one. Impacts are BM25 weights divided by
 the item's own score, so a passage that holds all words of an item scores 1 for it. Postings lie in blocks of items,
-with the largest impact of each term in a block. A batch of passages is searched as block-max WAND does: terms'
-largest impacts rule out passages, blocks' largest impacts rule out blocks, and only what is left is scored
-item by item. All items at or above the threshold are retrieved, and then the five-word runs of the item's question
+with the largest impact of each term in a block. Passages are searched as block-max WAND does, many at a time: a passage's terms
+are ordered by their largest impacts, and the pivot is the first with which the sum reaches the threshold, so an item that
+counts has a term from there on. Only those terms' postings are walked, block by block; the cursors of the others
+skip to the blocks that can still reach the threshold, and only what the blocks' largest impacts leave is scored
+item by item. Passages are taken in runs of a bounded number of postings. All items at or above the threshold are retrieved, and then the five-word runs of the item's question
 and answer are looked for in the passage; of a part that has too few of them, the words are aligned with the passage,
 and its share is that of the words that need no edit. Numbers must all be there in their order, as an item with other
 numbers is another item. The answer is an item's last sentence, or, of one sentence, its last words.
@@ -40,6 +42,7 @@ RUN = 5
 ANSWER_WORDS = 8
 BLOCK = 16
 SHARD_CHARS = 4_000_000
+RUN_ENTRIES = 400_000
 K1, B = 1.2, 0.75
 NOT_WORD = words.NOT_LETTER.copy()
 NOT_WORD[48:58] = False
@@ -120,6 +123,7 @@ class Index:
     terms: np.ndarray
     largest: np.ndarray
     block_first: np.ndarray
+    pairs: np.ndarray
     block_of: np.ndarray
     block_largest: np.ndarray
     posting_first: np.ndarray
@@ -129,7 +133,7 @@ class Index:
 
     @property
     def blocks(self) -> int:
-        return -(-len(self.items) // BLOCK)
+        return max(1, -(-len(self.items) // BLOCK))
 
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
@@ -177,6 +181,7 @@ def build(ids: list[int], texts: list[str], inverse: dict[int, float], average:
         terms,
         largest,
         np.searchsorted(pair // blocks, np.arange(len(terms) + 1)),
+        pair,
         pair % blocks,
         block_largest,
         np.append(first, len(item)),
@@ -210,26 +215,78 @@ def retrieve(index: Index, text: words.Texts, hashed: np.ndarray) -> tuple[np.nd
     keys = np.unique(np.concatenate((own * n_terms + place[known], (own[before] - 1) * n_terms + place[known][before])))
     window, term = keys // n_terms, keys % n_terms
     slack = THRESHOLD - 1e-9
-    # terms' largest impacts: passages that can't reach the threshold
+    # passages whose terms can't reach the threshold together
     possible = np.bincount(window, weights=index.largest[term], minlength=windows[-1]) >= slack
     keep = possible[window]
     window, term = window[keep], term[keep]
-    left, window = np.unique(window, return_inverse=True)
-    # blocks' largest impacts: blocks that can't
-    row, entry = _spread(index.block_first[term], index.block_first[term + 1])
-    cell = window[row] * index.blocks + index.block_of[entry]
-    bound = np.bincount(cell, weights=index.block_largest[entry], minlength=len(left) * index.blocks)
-    keep = bound[cell] >= slack
-    row, entry = row[keep], entry[keep]
-    # what is left, item by item
-    pair, posting = _spread(index.posting_first[entry], index.posting_first[entry + 1])
-    cell = window[row][pair] * len(index.items) + index.posting_item[posting]
-    cells, inverse = np.unique(cell, return_inverse=True)
-    score = np.bincount(inverse, weights=index.posting_impact[posting], minlength=len(cells))
-    keep = score >= slack
-    window = left[cells[keep] // len(index.items)]
+    if not len(window):
+        return none
+    order = np.lexsort((index.largest[term], window))
+    window, term = window[order], term[order]
+    first = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1])))
+    sums = np.cumsum(index.largest[term])
+    before = np.repeat(np.append(0, sums[first[1:] - 1]), np.diff(np.append(first, len(term))))
+    pivotal = sums - before >= slack
+    entries = np.where(pivotal, index.block_first[term + 1] - index.block_first[term], 1)
+    found = []
+    for low, high in _in_runs(np.add.reduceat(entries, first)):
+        a, b = first[low], first[high] if high < len(first) else len(term)
+        found += _searched(index, window[a:b], term[a:b], pivotal[a:b], slack)
+    if not found:
+        return none
+    window, item, score = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.lexsort((item, window))
+    window = window[order]
     doc = np.searchsorted(windows, window, side="right") - 1
-    return doc, window - windows[doc], cells[keep] % len(index.items), score[keep]
+    return doc, window - windows[doc], item[order], score[order]
+
+
+def _in_runs(cost: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Neighbours whose cost is ``RUN_ENTRIES`` together, or one that costs more."""
+    total, low = np.cumsum(cost), 0
+    while low < len(cost):
+        done = total[low - 1] if low else 0
+        high = max(low + 1, int(np.searchsorted(total, done + RUN_ENTRIES, side="right")))
+        yield low, high
+        low = high
+
+
+def _searched(
+    index: Index, window: np.ndarray, term: np.ndarray, pivotal: np.ndarray, slack: float
+) -> Iterator[tuple[np.ndarray, ...]]:
+    """(window, item, score) at or above the threshold of some windows, whose terms are in the order of their largest impacts."""
+    names, own = np.unique(window, return_inverse=True)
+    row, entry = _spread(index.block_first[term[pivotal]], index.block_first[term[pivotal] + 1])
+    cells, of = np.unique(own[pivotal][row] * index.blocks + index.block_of[entry], return_inverse=True)
+    bound = np.bincount(of, weights=index.block_largest[entry])
+    # what the terms before the pivot add at most
+    others, size = term[~pivotal], np.bincount(own[~pivotal], minlength=len(names))
+    begin = np.cumsum(size) - size
+    rest = np.bincount(own[~pivotal], weights=index.largest[others], minlength=len(names))
+    alive = np.flatnonzero(bound + rest[cells // index.blocks] >= slack)
+    for low, high in _in_runs(size[cells[alive] // index.blocks] + 1):
+        some = alive[low:high]
+        at = cells[some] // index.blocks
+        cell, place = _spread(begin[at], begin[at] + size[at])
+        # the cursors of the other terms skip to these blocks
+        wanted = others[place] * index.blocks + cells[some][cell] % index.blocks
+        met = np.minimum(np.searchsorted(index.pairs, wanted), len(index.pairs) - 1)
+        hit = index.pairs[met] == wanted
+        cell, met = cell[hit], met[hit]
+        total = bound[some] + np.bincount(cell, weights=index.block_largest[met], minlength=len(some))
+        kept = total >= slack
+        chosen = np.full(len(cells), -1)
+        chosen[some[kept]] = np.flatnonzero(kept)
+        walked = chosen[of] >= 0
+        use = kept[cell]
+        cell, met = np.concatenate((chosen[of][walked], cell[use])), np.concatenate((entry[walked], met[use]))
+        # what is left, item by item
+        pair, posting = _spread(index.posting_first[met], index.posting_first[met + 1])
+        both, of_item = np.unique(cell[pair] * len(index.items) + index.posting_item[posting], return_inverse=True)
+        score = np.bincount(of_item, weights=index.posting_impact[posting], minlength=len(both))
+        reached = score >= slack
+        both = both[reached]
+        yield names[at[both // len(index.items)]], both % len(index.items), score[reached]
 
 
 def verified(index: Index, passage: np.ndarray, item: int) -> tuple[float, float]:

@@ -163,3 +163,42 @@ def test_retrieval_equals_scoring_every_item():
                         want[doc, window, item] = score
         assert got.keys() == want.keys()
         assert all(abs(got[key] - want[key]) < 1e-9 for key in want)
+
+
+def index_of(items):
+    hashed = dc._hashes([t for _, t in items])
+    terms, counts = np.unique(np.concatenate([np.unique(h) for h in hashed]).view(np.int64), return_counts=True)
+    inverse = np.log(1 + (len(items) - counts + 0.5) / (counts + 0.5))
+    by_term = dict(zip(terms.tolist(), inverse.tolist(), strict=True))
+    return dc.build([k for k, _ in items], [t for _, t in items], by_term, float(np.mean([len(h) for h in hashed])))
+
+
+def test_runs_of_any_size_retrieve_the_same(monkeypatch):
+    random_ = random.Random(9)
+    items = [(k, frames.text(random_, random_.randint(3, 20))) for k in range(300)]
+    index = index_of(items)
+    texts = [frames.text(random_, 200) + " " + items[k][1] for k in range(40)] + ["", "one", items[0][1]]
+    found = []
+    for most in (1, 50, 400_000):
+        monkeypatch.setattr(dc, "RUN_ENTRIES", most)
+        for _, _, text in dc._texts(pa.array(texts)):
+            found.append(dc.retrieve(index, text, text.words()))
+    for other in found[1:]:
+        assert all((a == b).all() for a, b in zip(found[0][:3], other[:3], strict=True))
+        assert np.allclose(found[0][3], other[3])
+    assert len(found[0][0]) >= 41
+
+
+def test_a_long_text_and_many_short_items_take_bounded_memory():
+    import tracemalloc
+
+    random_ = random.Random(10)
+    items = [(k, frames.text(random_, 10)) for k in range(8000)]
+    index = index_of(items)
+    text = frames.text(random_, 40_000) + " " + items[77][1]
+    tracemalloc.start()
+    ((row, item, score, *_),) = {f for f in dc.search(index, pa.array([text])) if f[1] == 77}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert (row, item) == (0, 77) and score > 0.99
+    assert peak < 250e6
