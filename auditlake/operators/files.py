@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake.functions import paths, strings
+from auditlake.functions.automaton import with_places
 from auditlake.functions.literals import one_of, text, texts
 from auditlake.operators.lookup import lookup
 
@@ -104,6 +105,7 @@ class ListSizes:
     long_ignore: bool  # some list of ignored paths is too long to be walked by every file
     long_required: bool
     own_terms: bool  # some policy has privacy terms of its own
+    long_terms: bool
 
 
 def list_sizes(policies: DataFrame) -> ListSizes:
@@ -114,6 +116,7 @@ def list_sizes(policies: DataFrame) -> ListSizes:
         "long_ignore": f"NOT {strings.is_short('ignore_paths')}",
         "long_required": f"NOT {strings.is_short('required_files')}",
         "own_terms": f"privacy_terms <> {defaults}",
+        "long_terms": f"NOT {strings.is_short('privacy_terms')}",
     }
     known = {name: c for name, c in conditions.items() if any(column in c for column in policies.columns)}
     flags = [F.expr(f"coalesce(bool_or({c}), false) AS {name}") for name, c in known.items()]
@@ -222,7 +225,12 @@ def select_readme(files: DataFrame, dialect: str = "py") -> DataFrame:
 def readme_terms(readmes: DataFrame, terms: str | tuple[str, ...]) -> DataFrame:
     """Adds ``matched``: the terms found in the README text, in term order.
 
-    ``terms`` is the name of an array column or a fixed tuple of terms.
+    ``terms`` is the name of an array column or a fixed tuple of terms. A fixed tuple of many terms is looked for in one
+    pass over each text.
     """
+    if not isinstance(terms, str) and len(terms) > strings.SHORT_LIST:
+        staged = readmes.selectExpr("*", "readme AS _text", f"{texts(terms)} AS _terms")
+        placed = with_places(staged, "_text", "_terms", "_found")
+        return placed.selectExpr(*readmes.columns, f"{strings.items_at(texts(terms), '_found')} AS matched")
     terms = terms if isinstance(terms, str) else texts(terms)
     return readmes.selectExpr("*", f"{strings.matched_terms('readme', terms)} AS matched")

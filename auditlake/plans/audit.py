@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from auditlake import catalog
 from auditlake.functions import paths, scoring, strings
+from auditlake.functions.automaton import with_places
 from auditlake.functions.literals import any_of, one_of, text
 from auditlake.operators.files import (
     COMMIT,
@@ -124,7 +125,12 @@ def _facts(files: DataFrame, policies: DataFrame, sizes: ListSizes, dialect: str
         readmes = readmes.selectExpr(*COMMIT, "path_norm", "seq", "lower(content) AS readme")
         met = lookup(readmes.filter("readme IS NOT NULL"), own.select(*keys, "privacy_terms"), keys, ["path_norm"], how="inner")
         found = strings.positions("privacy_terms", "contains(readme, item)")
-        parts.append(met.selectExpr(*COMMIT, f"struct(seq, {found} AS found) AS terms_found"))
+        short = met.filter(strings.is_short("privacy_terms")) if sizes.long_terms else met
+        parts.append(short.selectExpr(*COMMIT, f"struct(seq, {found} AS found) AS terms_found"))
+        if sizes.long_terms:  # one pass over each text, whatever the number of terms
+            long = met.filter(f"NOT {strings.is_short('privacy_terms')}").select(*COMMIT, "seq", "readme", "privacy_terms")
+            placed = with_places(long, "readme", "privacy_terms", "found")
+            parts.append(placed.selectExpr(*COMMIT, "struct(seq, found) AS terms_found"))
     if sizes.long_required:
         long = policies.filter(f"NOT {strings.is_short('required_files')}")
         wanted = long.selectExpr(*keys, "posexplode(required_files) AS (required_at, path_norm)")

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from auditlake import catalog, schemas
+from auditlake.functions import strings
 from auditlake.operators import files as fo
 from auditlake.operators import policies as po
 from auditlake.operators import publishing, scoring
@@ -304,3 +305,24 @@ def test_own_terms_follow_the_readme_that_counts(spark):
         found = [next(c for c in report[(sha,)].checks if c.key == "privacy") for sha in "1234"]
         assert [c.term_evidence for c in found] == terms
         assert [c.passed for c in found] == [bool(t) for t in terms]
+
+
+def test_long_lists_of_privacy_terms(spark):
+    """One pass over the text finds what looking for each term finds, overlapping and nested terms included."""
+    random_ = random.Random(6)
+    terms = list(dict.fromkeys("".join(random_.choice("abé ") for _ in range(random_.randint(1, 6))).strip() for _ in range(900)))
+    terms = [t for t in terms if t]
+    assert len(terms) > strings.SHORT_LIST
+    texts = ["".join(random_.choice("abcé \n") for _ in range(random_.randint(0, 80))) for _ in range(40)] + [None, ""]
+    files = frames.files(spark, {("r", str(k)): [("README.md", text)] for k, text in enumerate(texts)} | {("s", "0"): [("README.md", "ab")]})
+    rows = [("r", 80, [], [], [], terms, []), ("s", 80, [], [], [], ["zz", "b"], [])]
+    typed = spark.createDataFrame(rows, schemas.POLICIES)
+    commits = frames.commits(spark, [("r", str(k)) for k in range(len(texts))] + [("s", "0")])
+    report = frames.by_key(plan.audit(files, commits, typed), "repository", "sha")
+    for k, text in enumerate(texts):
+        check = next(c for c in report["r", str(k)].checks if c.key == "privacy")
+        assert check.term_evidence == [t for t in terms if t in (text or "").lower()]
+    assert next(c for c in report["s", "0"].checks if c.key == "privacy").term_evidence == ["b"]
+    readmes = fo.select_readme(files.filter("repository = 'r'"))
+    matched = {r.sha: r.matched for r in fo.readme_terms(readmes, tuple(terms)).collect()}
+    assert matched == {str(k): [t for t in terms if t in (text or "").lower()] for k, text in enumerate(texts)}
