@@ -55,6 +55,28 @@ def test_scan_checkouts(spark, tmp_path):
     assert sorted(map(tuple, again.collect())) == sorted(map(tuple, rows))
 
 
+def test_checkouts_as_a_data_source(spark, tmp_path):
+    tree = {f"r{k}/{'/'.join('abc'[:depth])}/f{depth}.py".replace("//", "/"): b"x" for k in range(9) for depth in range(4)}
+    write(tmp_path, tree | {"r1/README.md": b"one", "r1/z/README.md": b"two"})
+    scanned = checkouts.scan_checkouts(spark, str(tmp_path), maxPartitions=5)
+    rows = sorted(map(tuple, scanned.collect()))
+    assert len(rows) == 9 * 4 + 2
+    by_seq = sorted((r for r in rows if r[0] == "r1"), key=lambda r: r[2])
+    assert by_seq[0][3] == "README.md"  # files of the checkout itself come first
+    text = scanned._jdf.queryExecution().executedPlan().toString()
+    assert text.count("Exchange hashpartitioning") + text.count("REPARTITION_BY_NUM") >= 2
+    checkouts.register(spark)
+    source = spark.read.format("checkouts").option("maxPartitions", "4").load(str(tmp_path))
+    assert sorted(map(tuple, source.collect())) == rows
+    chosen = source.filter("repository IN ('r1', 'r2') AND path LIKE '%.py'")
+    assert sorted(map(tuple, chosen.collect())) == [r for r in rows if r[0] in ("r1", "r2") and r[3].endswith(".py")]
+    assert source.filter("repository = 'r5'").count() == 4
+    reader = checkouts.CheckoutReader(str(tmp_path), False, 1, frozenset())
+    kept = list(reader.pushFilters([checkouts.In(("repository",), ("r1", "r2")), checkouts.EqualTo(("repository",), "r2")]))
+    assert len(kept) == 2 and reader.repositories == {"r2"}
+    assert {r for b in reader.read(checkouts.Share(0, 1)) for r in b.column(0).to_pylist()} == {"r2"}
+
+
 def test_checkouts_can_be_audited(spark, tmp_path):
     write(tmp_path, {"r/README.md": b"Data source", "r/LICENSE": b"", "r/tests/t.py": b""})
     files = checkouts.scan_checkouts(spark, str(tmp_path))
