@@ -2,14 +2,16 @@
 
 A text is cut into paragraphs, at line breaks and after sentence ends, and each distinct paragraph has a digest of 40
 bits and a check of 24 bits, packed in one number: its entry. A cell of a sketch holds the exclusive or of entries,
-and each entry has one cell in each of three sub-tables. Subtracting the sketch of one text from another's is again an
-exclusive or and leaves the paragraphs that only one of them has; a cell whose check is that of its digest holds just
-one entry, which is recorded and taken out of its other cells, until nothing is left. A sketch that can't be emptied
-so is made again with twice the cells and other places, up to ``ATTEMPTS`` times.
+and each entry has one cell in each of three sub-tables. Entries are dealt by bits of the digest into blocks of a few entries,
+each with sub-tables of its own, so that the work grows with the length of the text; their number is a power of two by the
+number of entries.
 
-Entries are dealt by a hash into blocks of about a dozen, each a sketch of its own, so that the work grows with the
-length of the text. The likeness is that of the sets of entries: common ones by all. The fingerprint is the table of
-one small sketch, with the exclusive or of the entries and their count in each cell.
+The fingerprint is the sketch of the whole text. Two of them with as many blocks subtract cell by cell, which is again an
+exclusive or and leaves the paragraphs that only one text has; a cell whose check is that of its digest holds just
+one entry, which is recorded and taken out of its other cells, until nothing is left. If one text has fewer blocks,
+its sketch is made again with as many as the other's. A block that can't be emptied
+so is sketched again for both texts with twice the cells and other places, up to ``ATTEMPTS`` times; after that its
+entries themselves are compared. The likeness is that of the sets of entries: common ones by all.
 
 Cases: NULL texts are empty; texts without paragraphs are alike (1). Rows that repeat doc_id and text have the same
 result each and count as one in the order; rows without doc_id come last in it, rows of one doc_id by a hash of
@@ -24,12 +26,13 @@ from pyspark.sql import functions as F
 from auditlake.llm.shared import cut, table
 
 PARAGRAPH_END = r"\n+|(?<=[.!?])\s+"
-PER_BLOCK = 12
+PER_BLOCK = 6
 SUB_TABLE = 8
 ATTEMPTS = 7
 _CHECK_BITS = 24
 _CHECK = (1 << _CHECK_BITS) - 1
-_NO_ID = -(1 << 63)
+#: Bits of the digest that deal entries into blocks: the lower half of a block's number, then the upper half.
+_LOW_BITS, _HIGH_BITS, _BLOCK_AT = 9, 9, _CHECK_BITS + 21
 
 
 def let(value: Column, body) -> Column:
@@ -88,8 +91,8 @@ def _empty(sketch: Column) -> Column:
     return nothing[0] & nothing[1] & nothing[2]
 
 
-def _peeled(both: Column, attempt: int, size: int) -> Column:
-    """What is left of the sketch of two sets after peeling, with the number of entries recorded."""
+def _peeled(filled: Column, attempt: int, size: int) -> Column:
+    """What is left of a sketch after peeling, with the number of entries recorded."""
     place = lambda e: _placed(e, attempt, size)
 
     def turn(sketch: Column, k: int) -> Column:
@@ -102,39 +105,95 @@ def _peeled(both: Column, attempt: int, size: int) -> Column:
     def rounds(sketch: Column, many: int) -> Column:
         return F.aggregate(F.sequence(F.lit(1), F.lit(many)), sketch, round_)
 
+    return let(rounds(filled, 3), lambda p: F.when(_empty(p), p).otherwise(rounds(p, 3 + 2 * attempt)))
+
+
+def level(one: Column) -> Column:
+    """How often one block is halved for a set of entries: the blocks number two to this."""
+    halvings = F.round(F.log2(F.greatest(F.size(one), F.lit(1)) / F.lit(float(PER_BLOCK))))
+    return F.least(F.greatest(halvings, F.lit(0.0)), F.lit(float(_LOW_BITS + _HIGH_BITS))).cast("int")
+
+
+def dealt(own: Column, halvings: Column) -> Column:
+    """The entries of each block; dealt out in two steps, as one step would take the square of the length."""
+
+    def step(rows: Column, at: int, bits: Column) -> Column:
+        many = F.call_function("shiftleft", F.lit(1), bits)
+
+        def number(e: Column) -> Column:
+            return F.shiftrightunsigned(e, at).cast("int").bitwiseAND(many - 1)
+
+        return F.transform(F.sequence(F.lit(0), many - 1), lambda b: F.filter(rows, lambda e: number(e) == b))
+
+    low = F.least(halvings, F.lit(_LOW_BITS))
+    blocks = F.transform(step(own, _BLOCK_AT, low), lambda rows: step(rows, _BLOCK_AT + _LOW_BITS, halvings - low))
+    return F.when(halvings == 0, F.array(own)).otherwise(F.flatten(blocks))
+
+
+def sketched(block: Column, attempt: int = 0) -> Column:
+    """The sketch of the entries of a block."""
+    size = SUB_TABLE << attempt
     cells = F.array_repeat(F.lit(0).cast("bigint"), size)
     nothing = F.struct(*(cells.alias(f"t{k}") for k in range(3)), F.lit(0).alias("n"))
-    filled = let(nothing, lambda n: _put(n, F.transform(both, place), 0))
-    return let(rounds(filled, 3), lambda p: F.when(_empty(p), p).otherwise(rounds(p, 3 + 2 * attempt)))
+    return let(nothing, lambda n: _put(n, F.transform(block, lambda e: _placed(e, attempt, size)), 0))
+
+
+def subtracted(one: Column, two: Column) -> Column:
+    """The difference of two sketches of the same size, cell by cell."""
 
+    def cells(a: Column, b: Column) -> Column:
+        tables = (F.zip_with(a[f"t{k}"], b[f"t{k}"], lambda x, y: x.bitwiseXOR(y)).alias(f"t{k}") for k in range(3))
+        return F.struct(*tables, F.lit(0).alias("n"))
 
-def differing(one: Column, two: Column) -> Column:
-    """How many entries only one of two sets of entries has, found by peeling the difference of their sketches."""
-    root = lambda b: F.greatest(F.ceil(F.sqrt(F.size(b) / PER_BLOCK)).cast("int"), F.lit(1))
-    return let(F.concat(one, two), lambda b: let(root(b), lambda n: _blocks(b, n)))
+    return let(one, lambda a: let(two, lambda b: cells(a, b)))
 
 
-def _blocks(both: Column, root: Column) -> Column:
-    """Sum over root times root blocks; dealt out in two steps, as one step would take the square of the length."""
+def recovered(difference: Column, attempt: int = 0) -> Column:
+    """The number of entries in the difference of two sketches, or NULL if it can't be emptied."""
+    found = lambda d: let(_peeled(d, attempt, SUB_TABLE << attempt), lambda p: F.when(_empty(p), p.n.cast("bigint")))
+    return let(difference, lambda d: F.when(_empty(d), F.lit(0).cast("bigint")).otherwise(found(d)))
 
-    def dealt(rows: Column, where) -> Column:
-        return F.transform(F.sequence(F.lit(0), root - 1), lambda b: F.filter(rows, lambda e: where(e) == b))
 
-    first = lambda e: F.pmod(F.shiftrightunsigned(e, _CHECK_BITS + 21), root)
-    second = lambda e: F.pmod(F.xxhash64(e), root)
-    blocks = F.flatten(F.transform(dealt(both, first), lambda rows: dealt(rows, second)))
-    return F.aggregate(blocks, F.lit(0).cast("bigint"), lambda a, block: a + _recovered(block))
+def _block_difference(sketches: tuple[Column, Column], blocks: tuple[Column, Column], attempts: int) -> Column:
+    """How many entries only one of two blocks has, with larger sketches as long as peeling fails, and by themselves at last."""
+    tries = [recovered(subtracted(*sketches))]
+    for attempt in range(1, attempts):
+        tries.append(recovered(subtracted(*(sketched(b, attempt) for b in blocks)), attempt))
+    one, two = blocks
+    whole = F.size(F.array_except(one, two)) + F.size(F.array_except(two, one))
+    return F.coalesce(*tries, whole.cast("bigint"))
 
 
-def _recovered(block: Column) -> Column:
-    """What peeling finds in a block, with larger sketches as long as it fails."""
-    tries = [_emptied(block, attempt) for attempt in range(ATTEMPTS)]
-    return F.when(F.size(block) == 0, F.lit(0).cast("bigint")).otherwise(F.coalesce(*tries))
+def prepared(own: Column) -> Column:
+    """A set of entries with its blocks and their sketches."""
+    with_blocks = lambda n: let(dealt(own, n), lambda b: _prepared(own, n, b))
+    return let(level(own), with_blocks)
 
 
-def _emptied(block: Column, attempt: int) -> Column:
-    """The number of entries of a block, or NULL if the sketch can't be emptied."""
-    return let(_peeled(block, attempt, SUB_TABLE << attempt), lambda p: F.when(_empty(p), p.n.cast("bigint")))
+def _prepared(own: Column, halvings: Column, blocks: Column) -> Column:
+    sketches = F.transform(blocks, lambda b: sketched(b))
+    return F.struct(own.alias("own"), halvings.alias("level"), blocks.alias("blocks"), sketches.alias("sketches"))
+
+
+def _at_level(side: Column, halvings: Column) -> Column:
+    """The blocks and sketches of a prepared set, made again if they number less."""
+    again = lambda: let(dealt(side.own, halvings), lambda b: F.struct(b.alias("blocks"), F.transform(b, lambda c: sketched(c)).alias("sketches")))
+    kept = F.struct(side.blocks.alias("blocks"), side.sketches.alias("sketches"))
+    return F.when(side.level == halvings, kept).otherwise(again())
+
+
+def differing(one: Column, two: Column, attempts: int = ATTEMPTS) -> Column:
+    """How many entries only one of two prepared sets has, found by peeling the difference of their sketches."""
+
+    def total(a: Column, b: Column) -> Column:
+        def add(sum_: Column, k: Column) -> Column:
+            sketches = a.sketches[k], b.sketches[k]
+            return sum_ + _block_difference(sketches, (a.blocks[k], b.blocks[k]), attempts)
+
+        return F.aggregate(F.sequence(F.lit(0), F.size(a.blocks) - 1), F.lit(0).cast("bigint"), add)
+
+    most = F.greatest(one.level, two.level)
+    return let(most, lambda m: let(_at_level(one, m), lambda a: let(_at_level(two, m), lambda b: total(a, b))))
 
 
 def likeness(one: Column, two: Column, differ: Column) -> Column:
@@ -143,18 +202,36 @@ def likeness(one: Column, two: Column, differ: Column) -> Column:
     return F.when(both == 0, F.lit(1.0)).otherwise((both - differ) / (both + differ))
 
 
-def fingerprint(own: Column, cells: int = 4) -> Column:
-    """The number of entries, and of each cell of a small sketch the count and the exclusive or, in hexadecimal."""
+def fingerprint(side: Column) -> Column:
+    """The number of entries, and all cells of each block, in hexadecimal."""
+    cells = lambda s: F.array_join(F.transform(F.concat(s.t0, s.t1, s.t2), F.hex), ".")
+    return F.concat_ws("-", F.hex(F.size(side.own)), F.array_join(F.transform(side.sketches, cells), "-"))
 
-    def sub_table(k: int) -> Column:
-        def cell(i: Column) -> Column:
-            here = F.filter(own, lambda e: F.shiftright(e, _CHECK_BITS + 2 * k).bitwiseAND(F.lit(cells - 1)) == i)
-            mixed = lambda h: F.aggregate(h, F.lit(0).cast("bigint"), lambda a, e: a.bitwiseXOR(e))
-            return let(here, lambda h: F.concat(F.hex(F.size(h)), F.lit("."), F.hex(mixed(h))))
 
-        return F.transform(F.sequence(F.lit(0), F.lit(cells - 1)), cell)
+def sketches_of(printed: Column) -> Column:
+    """The sketches that a fingerprint holds."""
+    number = lambda c: F.conv(c, 16, -10).cast("bigint")
+
+    def sketch(text: Column) -> Column:
+        def parts(cells: Column) -> Column:
+            tables = (F.slice(cells, 1 + k * SUB_TABLE, SUB_TABLE).alias(f"t{k}") for k in range(3))
+            return F.struct(*tables, F.lit(0).alias("n"))
+
+        return let(F.transform(F.split(text, "[.]"), number), parts)
+
+    return F.transform(F.slice(F.split(printed, "-"), F.lit(2), F.size(F.split(printed, "-")) - 1), sketch)
+
+
+def printed_difference(one: Column, two: Column) -> Column:
+    """How many paragraphs only one of two texts has, from their fingerprints alone; NULL if these have different numbers of
+    blocks or don't hold enough cells to be peeled."""
+
+    def total(a: Column, b: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.size(a) - 1), lambda k: recovered(subtracted(a[k], b[k])))
+        added = lambda f: F.aggregate(f, F.lit(0).cast("bigint"), lambda x, y: x + y)
+        return F.when(F.size(a) == F.size(b), let(found, added))
 
-    return F.concat_ws("-", F.array(F.hex(F.size(own))), *map(sub_table, range(3)))
+    return let(sketches_of(one), lambda a: let(sketches_of(two), lambda b: total(a, b)))
 
 
 def followers(keyed: DataFrame) -> DataFrame:
@@ -177,14 +254,16 @@ def followers(keyed: DataFrame) -> DataFrame:
 
 def with_next(documents: DataFrame) -> DataFrame:
     """doc_id, text and next_text, the text of the document that follows by descending doc_id."""
-    keys = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(_NO_ID)).alias("k"), F.coalesce("text", F.lit("")).alias("text")
-    keyed = documents.select(*keys).select("k", F.xxhash64("text").alias("h"), "text")
+    # a NULL id comes last, whatever the least id is
+    key = F.struct(F.col("doc_id").isNotNull().alias("known"), F.coalesce(F.col("doc_id").cast("bigint"), F.lit(0)).alias("id"))
+    keyed = documents.select(key.alias("k"), F.coalesce("text", F.lit("")).alias("text"))
+    keyed = keyed.select("k", F.xxhash64("text").alias("h"), "text")
     # the texts are dealt out once for both uses, so both take the same columns; of repeated rows the first is used
     before = F.lag(F.lit(1)).over(Window.partitionBy("k", "h").orderBy("k"))
     once = keyed.withColumn("before", before).filter("before is null")
     once = once.select(F.col("k").alias("next_k"), F.col("h").alias("next_h"), F.col("text").alias("next_text"))
     joined = keyed.join(followers(keyed), ["k", "h"]).join(once, ["next_k", "next_h"])
-    return joined.select(F.nullif("k", F.lit(_NO_ID)).alias("doc_id"), "text", "next_text")
+    return joined.select(F.when(F.col("k.known"), F.col("k.id")).alias("doc_id"), "text", "next_text")
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -206,15 +285,17 @@ def fingerprints(documents: DataFrame) -> DataFrame:
         entries(F.col("edited")).alias("changed"),
         entries(F.col("next_text")).alias("other"),
     )
-    own, changed, other = F.col("own"), F.col("changed"), F.col("other")
-    return sets.select(
+    sides = ("own", "changed", "other")
+    made = sets.select("doc_id", "n_chars", "edited_sha256", *(prepared(F.col(side)).alias(side) for side in sides))
+    own, changed, other = map(F.col, sides)
+    return made.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
         fingerprint(own).alias("fingerprint"),
         fingerprint(changed).alias("edited_fingerprint"),
-        likeness(own, changed, differing(own, changed)).alias("near_edited"),
-        likeness(own, other, differing(own, other)).alias("near_next"),
+        likeness(own.own, changed.own, differing(own, changed)).alias("near_edited"),
+        likeness(own.own, other.own, differing(own, other)).alias("near_next"),
     )
 
 

@@ -66,15 +66,48 @@ def test_awkward_rows(spark):
 
 
 def test_small_sketches_fail_and_larger_ones_recover(spark):
-    """Blocks far above their size need several tries and still give every difference."""
-    sizes = spark.createDataFrame([(n,) for n in (0, 1, 12, 30, 60, 120)], "n int")
-    entries = fp.entries(F.expr(r"array_join(transform(sequence(1, greatest(n, 1)), i -> concat('p', n, i)), '\n')"))
-    rows = sizes.filter("n > 0").select("n", entries.alias("own"))
-    first = rows.select("n", fp._emptied(F.col("own"), 0).alias("first"), fp._recovered(F.col("own")).alias("all"))
-    found = {r.n: (r.first, r["all"]) for r in first.collect()}
-    assert found[1] == (1, 1)
-    assert found[120][0] is None
-    assert {n: all_ for n, (_, all_) in found.items()} == {1: 1, 12: 12, 30: 30, 60: 60, 120: 120}
+    """Blocks far above their size need several tries and still give every difference; without tries the entries themselves do."""
+    sizes = spark.createDataFrame([(n,) for n in (1, 12, 30, 60, 120)], "n int")
+    entries = fp.entries(F.expr(r"array_join(transform(sequence(1, n), i -> concat('p', n, i)), '\n')"))
+    rows = sizes.select("n", entries.alias("own"), F.expr("CAST(array() AS array<bigint>)").alias("none"))
+    sketches = fp.sketched(F.col("own")), fp.sketched(F.col("none"))
+    blocks = F.col("own"), F.col("none")
+    found = rows.select(
+        "n",
+        fp.recovered(fp.subtracted(*sketches)).alias("first"),
+        fp._block_difference(sketches, blocks, fp.ATTEMPTS).alias("all"),
+        fp._block_difference(sketches, blocks, 1).alias("plain"),
+    )
+    found = {r.n: (r.first_, r["all"], r.plain) for r in found.withColumnRenamed("first", "first_").collect()}
+    assert found[1][0] == 1 and found[120][0] is None
+    assert {n: (a, p) for n, (_, a, p) in found.items()} == {n: (n, n) for n in found}
+
+
+def test_returned_fingerprints_subtract(spark):
+    """Two printed fingerprints, subtracted and peeled, tell how many paragraphs differ, without the texts."""
+    random_ = random.Random(12)
+    lines = [frames.text(random_, 4) for _ in range(400)]
+    rows = []
+    for k in range(60):
+        begin, size = random_.randint(0, 200), random_.choice((3, 40, 200))
+        rows.append((k, "\n".join(lines[begin : begin + size])))
+    printed = fp.fingerprints(frames.documents(spark, rows)).select("doc_id", "fingerprint").cache()
+    pairs = printed.alias("a").join(printed.alias("b"), F.expr("a.doc_id < b.doc_id"))
+    sets = {k: set(text.split("\n")) for k, text in rows}
+    found = pairs.selectExpr("a.doc_id AS one", "b.doc_id AS two", "a.fingerprint AS x", "b.fingerprint AS y")
+    found = found.select("one", "two", fp.printed_difference(F.col("x"), F.col("y")).alias("differ")).collect()
+    peeled = [r for r in found if r.differ is not None]
+    assert all(r.differ == len(sets[r.one] ^ sets[r.two]) for r in peeled)
+    assert len(peeled) > 0.15 * len(found) and any(r.differ > 50 for r in peeled)
+    same = {k for k, text in rows if text == rows[0][1]}
+    assert {r.doc_id for r in printed.collect() if r.fingerprint == printed.filter("doc_id = 0").first().fingerprint} == same
+
+
+def test_the_least_id_is_an_id(spark):
+    least = -(1 << 63)
+    found = fp.fingerprints(frames.documents(spark, [(least, "a. b"), (None, "c"), (3, "a. b")])).collect()
+    assert {r.doc_id for r in found} == {least, None, 3}
+    assert {r.doc_id: r.near_next for r in found} == {3: 1.0, least: 0.0, None: 0.0}
 
 
 def test_no_python_runs(spark):
