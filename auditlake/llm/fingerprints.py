@@ -28,7 +28,7 @@ from auditlake.llm.shared import cut, table
 PARAGRAPH_END = r"\n+|(?<=[.!?])\s+"
 PER_BLOCK = 6
 SUB_TABLE = 8
-ATTEMPTS = 7
+ATTEMPTS = 4
 _CHECK_BITS = 24
 _CHECK = (1 << _CHECK_BITS) - 1
 #: Bits of the digest that deal entries into blocks: the lower half of a block's number, then the upper half.
