@@ -117,13 +117,42 @@ def evidence_json(evidence: DataFrame) -> DataFrame:
     return evidence.selectExpr(*COMMIT, "to_json(struct(repository, sha, key, path)) AS line")
 
 
+# A root README's raw path as a number: which name, and which of its letters are capitals.
+_README_NAMES = (catalog.README_MD, catalog.README_RST)
+_CASE_BITS = max(map(len, _README_NAMES))
+_README_BITS = _CASE_BITS + 1
+
+
+def _readme_number() -> str:
+    """Position and spelling of a root README in one number, NULL for other paths; the least is the first."""
+    capitals = " + ".join(
+        f"IF(substring(path, {k + 1}, 1) BETWEEN 'A' AND 'Z', {1 << k}L, 0L)" for k in range(_CASE_BITS)
+    )
+    which = f"IF(lower(path) = {text(_README_NAMES[1])}, {1 << _CASE_BITS}L, 0L)"
+    spelled = f"shiftleft(CAST(seq AS BIGINT), {_README_BITS}) + {which} + {capitals}"
+    return f"IF({paths.is_root_readme('lower(path)')}, {spelled}, NULL)"
+
+
+def _readme_path(number: str) -> str:
+    """The raw path that such a number stands for."""
+    name = f"IF(({number} & {1 << _CASE_BITS}L) <> 0, {text(_README_NAMES[1])}, {text(_README_NAMES[0])})"
+    letter = f"substring({name}, k + 1, 1)"
+    spelled = f"IF(({number} & shiftleft(1L, k)) <> 0, upper({letter}), {letter})"
+    return f"array_join(transform(sequence(0, length({name}) - 1), k -> {spelled}), '')"
+
+
 def readme_paths(files: DataFrame) -> DataFrame:
     """The raw path annotations point to: first root README, else first file.
 
-    ``files`` are raw tree rows; neither normalised nor policy-filtered.
+    ``files`` are raw tree rows; neither normalised nor policy-filtered. Only numbers are aggregated: a README's path is
+    spelled from its number, and of commits without one the path is fetched by the position of the first file.
     """
-    position = f"struct(NOT {paths.is_root_readme('lower(path)')}, seq)"
-    return files.groupBy(*COMMIT).agg(F.expr(f"min_by(path, {position}) AS annotation_path"))
+    first = files.groupBy(*COMMIT).agg(F.expr(f"min({_readme_number()}) AS _readme"), F.min("seq").alias("seq"))
+    named = first.filter("_readme IS NOT NULL AND seq IS NOT NULL")
+    named = named.selectExpr(*COMMIT, f"{_readme_path('_readme')} AS annotation_path")
+    others = first.filter("_readme IS NULL AND seq IS NOT NULL").select(*COMMIT, "seq")
+    fetched = files.selectExpr(*COMMIT, "seq", "path AS annotation_path").join(others, [*COMMIT, "seq"], "left_semi")
+    return named.unionByName(fetched.drop("seq"))
 
 
 def annotations(reports: DataFrame, files: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 import json
 
+from pyspark.sql import functions as F
+
 from auditlake.operators import files as fo
 from auditlake.operators import fleet, publishing
 from auditlake.operators import policies as po
@@ -201,3 +203,23 @@ def test_files_without_path_and_broken_contents_stay(spark):
         ("README.md", "", "content is not base64"),
         ("README.rst", "a", None),
     }
+
+
+def test_annotations_point_to_the_first_readme_as_it_is_spelled(spark):
+    trees = {
+        ("r", "1"): ["a.py", "ReadMe.RST", "README.md"],
+        ("r", "2"): ["docs/README.md", "b.py", "rEADME.mD"],
+        ("r", "3"): ["z/first.py", "a.py", "readme.md.bak"],
+        ("r", "4"): ["README.rst"],
+        ("r", "5"): ["", "x"],
+        ("s", "3"): ["é.py", "readme.MD"],
+    }
+    files = frames.files(spark, {key: [(path, None) for path in found] for key, found in trees.items()})
+    files = files.orderBy(F.desc("seq"))
+    found = {(r.repository, r.sha): r.annotation_path for r in publishing.readme_paths(files).collect()}
+    assert found == {
+        ("r", "1"): "ReadMe.RST", ("r", "2"): "rEADME.mD", ("r", "3"): "z/first.py", ("r", "4"): "README.rst",
+        ("r", "5"): "", ("s", "3"): "readme.MD",
+    }
+    plan_ = publishing.readme_paths(files)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan_ and "ObjectHashAggregate" not in plan_
