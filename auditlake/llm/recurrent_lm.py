@@ -340,6 +340,18 @@ def counted(texts: DataFrame) -> DataFrame:
     return partial.groupBy("word").agg(F.sum("train").alias("train"), F.sum("total").alias("total"))
 
 
+def _least_total(known: DataFrame) -> int:
+    """The count above which there are ``SENT`` words at most; found by how many words have each count."""
+    totals = known.groupBy("total").agg(F.count("*").alias("n"))
+    # the SENT greatest counts are enough, as each has one word at least
+    above = 0
+    for row in totals.orderBy(F.desc("total")).limit(SENT).toLocalIterator():
+        above += row.n
+        if above > SENT:
+            return row.total
+    return 0
+
+
 def vocabulary_of(counts: DataFrame) -> Vocabulary:
     """The part of the counts that goes to the tasks."""
     sums = counts.agg(
@@ -348,7 +360,7 @@ def vocabulary_of(counts: DataFrame) -> Vocabulary:
         F.coalesce(F.sum(F.when(F.col("word").isNull(), F.col("train"))), F.lit(0)).alias("ends"),
     ).first()
     known = counts.filter("word is not null")
-    sent = known.orderBy(F.desc("total"), "word").limit(SENT).select("word", "train").toArrow()
+    sent = known.filter(F.col("total") > _least_total(known)).select("word", "train").toArrow()  # SENT words at most
     most = known.filter("train > 0").orderBy(F.desc("train"), "word").limit(OWN).select("word", "train").toArrow()
     rank = {w: k for k, w in enumerate(most["word"].to_pylist())}
     ending = (F.crc32(F.expr(f"substring(word, -least({ENDING_BYTES}, length(word)))")) % ENDINGS).alias("ending")
@@ -369,14 +381,15 @@ def trained(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray | None:
     first = train.select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_ROWS)
     start = train.join(F.broadcast(first), "doc_id", "left_semi")  # START_ROWS numbers
     # a doc_id may have any number of rows
-    start = start.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(START_ROWS).select("text")
-    flat = _averaged(start.repartition(1), vocabulary, None, RATE)
+    order = [F.xxhash64("doc_id", "text"), "doc_id", "text"]  # whatever order the rows arrive in
+    start = start.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(START_ROWS)
+    flat = _averaged(start.repartition(1).sortWithinPartitions(*order).select("text"), vocabulary, None, RATE)
     shards = int(vocabulary.train_tokens // SHARD_TOKENS) + 2
     rounds = shards.bit_length()
     turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
     for k in range(rounds):
-        dealt = train.filter(turn == k).select("text").repartition(-(-shards // rounds))
-        flat = _averaged(dealt, vocabulary, flat, LATER_RATE)
+        dealt = train.filter(turn == k).repartition(-(-shards // rounds), "doc_id", "text").sortWithinPartitions(*order)
+        flat = _averaged(dealt.select("text"), vocabulary, flat, LATER_RATE)
     return flat
 
 
