@@ -130,3 +130,35 @@ SELECT doc_id, n_features, weight, score,
   CASE WHEN n_words >= 20 AND place <= 25 * able // 100 THEN place::BIGINT END AS rank
 FROM ranked
 """
+
+OP13 = """
+WITH texts AS (
+  SELECT row_number() OVER () AS row_no, doc_id, hex(encode(coalesce(text, ''))) AS h,
+    strlen(coalesce(text, ''))::BIGINT AS n_bytes
+  FROM documents
+), pieces AS (
+  SELECT row_no, 1000 * p AS at_byte, substr(h, 2000 * p + 1, 2 * 1199) AS part, least(1000, n_bytes - 199 - 1000 * p) AS many
+  FROM (SELECT row_no, h, n_bytes, unnest(range(0, (n_bytes - 199 + 999) // 1000)) AS p FROM texts WHERE n_bytes >= 200)
+), windows AS (
+  SELECT row_no, at_byte + j AS i, md5_number(substr(part, 2 * j + 1, 400)) AS code
+  FROM (SELECT row_no, at_byte, part, unnest(range(0, many)) AS j FROM pieces)
+), repeated AS (
+  SELECT row_no, i FROM windows JOIN (SELECT code FROM windows GROUP BY code HAVING count(*) > 1) USING (code)
+), marked AS (
+  SELECT row_no, i, coalesce(i - lag(i) OVER (PARTITION BY row_no ORDER BY i) > 200, true) AS new FROM repeated
+), numbered AS (
+  SELECT row_no, i, sum(new::INT) OVER (PARTITION BY row_no ORDER BY i) AS span FROM marked
+), spans AS (
+  SELECT row_no, span, min(i) AS low, max(i) + 200 AS high FROM numbered GROUP BY row_no, span
+), removed AS (
+  SELECT row_no, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans,
+    list(low ORDER BY low) AS lows, list(high ORDER BY low) AS highs
+  FROM spans GROUP BY row_no
+)
+SELECT doc_id, n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN lows IS NULL THEN h ELSE
+    array_to_string(list_transform(range(0, len(lows) + 1), lambda k:
+      substr(h, 2 * (CASE WHEN k = 0 THEN 0 ELSE highs[k] END) + 1,
+        2 * ((CASE WHEN k = len(lows) THEN n_bytes ELSE lows[k + 1] END) - (CASE WHEN k = 0 THEN 0 ELSE highs[k] END)))), '') END)) AS kept_sha256
+FROM texts LEFT JOIN removed USING (row_no)
+"""

@@ -8,7 +8,7 @@ from auditlake.llm.decontaminate import op10_decontamination
 from auditlake.llm.fingerprints import op6_fingerprints
 from auditlake.llm.html_text import op4_html_text
 from auditlake.llm.near_dedup import op9_near_duplicates
-from auditlake.llm.oracle import OP11, OP12
+from auditlake.llm.oracle import OP11, OP12, OP13
 from auditlake.llm.quality import op8_quality
 from auditlake.llm.recurrent_lm import op5_recurrent_lm
 from auditlake.llm.resampling import op12_resampling
@@ -32,4 +32,4 @@ QUERIES = {
     "op12_resampling": op12_resampling,
     "op13_repeats": op13_repeats,
 }
-ORACLE_SQL: dict[str, str] = {"op11_conversations": OP11, "op12_resampling": OP12}
+ORACLE_SQL: dict[str, str] = {"op11_conversations": OP11, "op12_resampling": OP12, "op13_repeats": OP13}
