@@ -5,15 +5,16 @@ from __future__ import annotations
 import functools
 from collections.abc import Iterator
 
-import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
 @functools.lru_cache(maxsize=64)
-def automaton(terms: tuple[str, ...]) -> ahocorasick.Automaton:
+def automaton(terms: tuple[str, ...]):
     """The trie of the terms with its links; built once for each list that a worker meets in a row."""
+    import ahocorasick  # only where there are such lists
+
     places: dict[str, list[int]] = {}
     for place, term in enumerate(terms):
         places.setdefault(term, []).append(place)
