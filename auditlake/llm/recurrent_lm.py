@@ -388,7 +388,7 @@ def trained(texts: DataFrame, vocabulary: Vocabulary) -> np.ndarray | None:
     rounds = shards.bit_length()
     turn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(rounds))
     for k in range(rounds):
-        dealt = train.filter(turn == k).repartition(-(-shards // rounds), "doc_id", "text").sortWithinPartitions(*order)
+        dealt = train.filter(turn == k).repartition(-(-shards // rounds)).sortWithinPartitions(*order)
         flat = _averaged(dealt.select("text"), vocabulary, flat, LATER_RATE)
     return flat
 
