@@ -173,3 +173,54 @@ def test_blobs_are_selected_before_they_are_decoded(spark):
     below_decoding = [k for k, (_, text) in enumerate(scans[0]) if "try_to_binary" in text.lower() or "unbase64" in text.lower()]
     filters = [k for k, (name, text) in enumerate(scans[0]) if name == "Filter" and "readme.md" in text]
     assert filters and below_decoding and min(filters) > max(below_decoding)  # the last is the nearest to the scan
+
+
+def wide_policies(spark, repositories):
+    """Policies that are estimated at few bytes, as a list counts as one entry, and take many."""
+    text = "concat('{\"required_files\":[', array_join(transform(sequence(1, 100), k -> concat('\"need/file', k, '.txt\"')), ','), ']}')"
+    raw = spark.range(repositories).selectExpr("concat('org/repo', id) AS repository", f"{text} AS policy_text")
+    return po.policy_table(raw)
+
+
+def test_what_is_broadcast_is_measured_not_estimated(spark):
+    from auditlake.operators.lookup import BROADCAST_BYTES, measured
+
+    policies = wide_policies(spark, 30_000)
+    count, size = measured(policies.select("repository", "required_files"))
+    assert count == 30_000 and size > BROADCAST_BYTES
+    files = fx.files(spark, SF_DIR)
+    # the table as a whole isn't sent to executors, with whatever estimate; hashes of its keys are
+    text = physical(plan.audit(files, fx.commits(spark, SF_DIR), policies))
+    sent = re.findall(r"BroadcastHashJoin \[([^\]]*)\]", text)
+    assert sent and all("xxhash64" in keys for keys in sent)
+    assert re.search(r"SortMergeJoin \[repository#\d+, _salt#\d+\]", text)
+
+
+def test_shuffled_lookups_find_what_broadcast_ones_find(spark, monkeypatch):
+    from auditlake.operators import lookup as module
+
+    files = spark.createDataFrame(
+        [("a", "s1", 1), ("a", "s2", 2), ("b", "s1", 3), ("c", None, 4), (None, "s1", 5), ("a", "s1", 1)],
+        "repository string, sha string, seq int",
+    )
+    table = spark.createDataFrame([("a", ["x", None]), ("c", None), (None, ["y"]), ("d", [])], "repository string, names array<string>")
+    for how in ("left", "inner"):
+        for scanned in (False, True):
+            found = []
+            for limit in (1 << 20, 200, 0):  # sent whole, by the hashes of its keys, not at all
+                monkeypatch.setattr(module, "BROADCAST_BYTES", limit)
+                joined = module.lookup(files, table, ["repository"], ["seq"], how=how, scanned=scanned)
+                assert joined.columns == ["repository", "sha", "seq", "names"]
+                found.append(sorted(map(str, joined.collect())))
+            assert found[0] == found[1] == found[2]
+            assert len(found[0]) == (6 if how == "left" else 4)
+
+
+def test_policies_of_single_commits_are_not_copied(spark, monkeypatch):
+    from auditlake.operators import lookup as module
+
+    monkeypatch.setattr(module, "BROADCAST_BYTES", 0)
+    rows = spark.createDataFrame([("r", "s", 1)], "repository string, sha string, score int")
+    table = spark.createDataFrame([("r", "s", 2)], "repository string, sha string, least int")
+    joined = lookup(rows, table, ["repository", "sha"], ["sha"])
+    assert "explode" not in physical(joined) and joined.collect()[0].least == 2
