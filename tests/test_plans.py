@@ -224,3 +224,21 @@ def test_policies_of_single_commits_are_not_copied(spark, monkeypatch):
     table = spark.createDataFrame([("r", "s", 2)], "repository string, sha string, least int")
     joined = lookup(rows, table, ["repository", "sha"], ["sha"])
     assert "explode" not in physical(joined) and joined.collect()[0].least == 2
+
+
+def test_inputs_are_dealt_out_before_they_are_made(spark):
+    """What is shuffled for an input are columns of the test table, not the longer rows that come of them."""
+    for build, kept in (
+        (fx.files.build, {"l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"}),
+        (fx.trees.build, {"l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_extendedprice"}),
+        (fx.policy_files.build, {"o_orderkey"}),
+        (fx.raw_policies.build, {"c_custkey"}),
+    ):
+        shuffles = exchanged(build(spark, SF_DIR))
+        assert shuffles == [kept]
+
+
+def test_inputs_are_dealt_out_to_as_many_tasks_as_their_rows_need(spark, monkeypatch):
+    assert fx.raw_policies.build(spark, SF_DIR).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(fx, "ROWS_PER_TASK", 10)
+    assert fx.raw_policies.build(spark, SF_DIR).rdd.getNumPartitions() >= 16
