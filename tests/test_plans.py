@@ -242,3 +242,11 @@ def test_inputs_are_dealt_out_to_as_many_tasks_as_their_rows_need(spark, monkeyp
     assert fx.raw_policies.build(spark, SF_DIR).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
     monkeypatch.setattr(fx, "ROWS_PER_TASK", 10)
     assert fx.raw_policies.build(spark, SF_DIR).rdd.getNumPartitions() >= 16
+
+
+def test_texts_are_sorted_by_sha_first(spark):
+    """All repositories of an owner begin alike, and sorts compare first bytes first."""
+    text = physical(fo.dedupe_paths(fx.files(spark, SF_DIR)))
+    assert re.search(r"Sort \[sha#", text) and not re.search(r"Sort \[repository#", text)
+    text = physical(po.pick_policy(fx.policy_files(spark, SF_DIR)))
+    assert re.search(r"Sort \[sha#", text) and not re.search(r"Sort \[repository#", text)
