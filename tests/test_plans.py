@@ -6,6 +6,7 @@ from auditlake import fixtures as fx
 from auditlake.operators import events as ev
 from auditlake.operators import files as fo
 from auditlake.operators import policies as po
+from auditlake.operators import publishing as pb
 from auditlake.operators.lookup import lookup
 from auditlake.plans import audit as plan
 
@@ -250,3 +251,13 @@ def test_texts_are_sorted_by_sha_first(spark):
     assert re.search(r"Sort \[sha#", text) and not re.search(r"Sort \[repository#", text)
     text = physical(po.pick_policy(fx.policy_files(spark, SF_DIR)))
     assert re.search(r"Sort \[sha#", text) and not re.search(r"Sort \[repository#", text)
+
+
+def test_joins_of_commits_with_commits_are_not_broadcast(spark):
+    files, commits = fx.files(spark, SF_DIR), fx.commits(spark, SF_DIR)
+    runs = commits.selectExpr("repository", "sha AS head_sha", "'n' AS name", "'Quality score: 1/100 (F)' AS title", "1 AS run_seq")
+    previous = pb.previous_scores(commits, runs, "n")
+    report = plan.audit(files, commits)
+    found = nodes(pb.check_runs(report, "js", files=files, previous=previous))
+    left = [name for name, text, _ in found if name.endswith("Join") and "LeftOuter" in text]
+    assert left == ["SortMergeJoin"] * 3
