@@ -101,6 +101,19 @@ def _ending(word: bytes) -> int:
     return zlib.crc32(word[-ENDING_BYTES:]) % ENDINGS
 
 
+def _softmax(scores: np.ndarray, chosen: np.ndarray, columns: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Logarithm of the chosen row's share in each column, and the slopes of the loss if ``learn``; ``scores`` are overwritten."""
+    scores -= scores.max(axis=0)
+    np.exp(scores, out=scores)
+    total = scores.sum(axis=0)
+    result = np.log(np.maximum(scores[chosen, columns] / total, _LEAST))
+    if not learn:
+        return result, None
+    scores /= total
+    scores[chosen, columns] -= 1
+    return result, scores
+
+
 class Model:
     """Weights and their training. Inputs are ranks, endings of other words, or the beginning."""
 
@@ -139,47 +152,48 @@ class Model:
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """Gates and the next state, from projected inputs and a state."""
         a = h @ self.weights["across"]
-        gates = 1 / (1 + np.exp(-(x[:, : 2 * STATE] + a[:, : 2 * STATE])))
-        new = np.tanh(x[:, 2 * STATE :] + gates[:, STATE:] * a[:, 2 * STATE :])
+        gates = x[:, : 2 * STATE] + a[:, : 2 * STATE]
+        np.negative(gates, out=gates)
+        np.exp(gates, out=gates)
+        gates += 1
+        np.reciprocal(gates, out=gates)
+        new = gates[:, STATE:] * a[:, 2 * STATE :]
+        new += x[:, 2 * STATE :]
+        np.tanh(new, out=new)
         return gates, a[:, 2 * STATE :], new, new + gates[:, :STATE] * (h - new)
 
     def output(self, h: np.ndarray, target: np.ndarray, learn: bool) -> tuple[np.ndarray, np.ndarray | None, dict]:
         """Log-probability of each target given its state; slopes of the loss if ``learn``."""
         w = self.weights
         kind = np.where(target < OWN, target // PER_CLASS, target - OWN + CLASSES)
-        scores = h @ w["class"] + w["class_bias"]
-        scores -= scores.max(axis=1, keepdims=True)
-        np.exp(scores, out=scores)
         rows = np.arange(len(kind))
-        total = scores.sum(axis=1)
-        result = np.log(np.maximum(scores[rows, kind] / total, _LEAST))
+        # one column for each target, so that what runs over classes runs over whole rows of memory
+        scores = w["class"].T @ h.T
+        scores += w["class_bias"][:, None]
+        result, off = _softmax(scores, kind, rows, learn)
         slope, slopes = None, {}
         if learn:
-            off = scores / total[:, None]
-            off[rows, kind] -= 1
-            slope = off @ w["class"].T
-            slopes = {"class": h.T @ off, "class_bias": off.sum(axis=0)}
+            slope = w["class"] @ off
+            slopes = {"class": (off @ h).T, "class_bias": off.sum(axis=1)}
             slopes |= {"word": np.zeros_like(w["word"]), "word_bias": np.zeros_like(w["word_bias"])}
-        order = np.argsort(kind, kind="stable")
+        order = np.argsort(kind.astype(np.int16), kind="stable")  # few values are sorted by counting
         cuts = np.searchsorted(kind[order], np.arange(CLASSES + 1))
-        for c in range(CLASSES):
-            if cuts[c] == cuts[c + 1]:
-                continue
-            at = order[cuts[c] : cuts[c + 1]]
-            state, slot = h[at], target[at] - c * PER_CLASS
-            scores = state @ w["word"][c] + w["word_bias"][c]
-            scores -= scores.max(axis=1, keepdims=True)
-            np.exp(scores, out=scores)
-            total = scores.sum(axis=1)
-            rows = np.arange(len(at))
-            result[at] += np.log(np.maximum(scores[rows, slot] / total, _LEAST))
-            if learn:
-                off = scores / total[:, None]
-                off[rows, slot] -= 1
-                slope[at] += off @ w["word"][c].T
-                slopes["word"][c] = state.T @ off
-                slopes["word_bias"][c] = off.sum(axis=0)
-        return result, slope, slopes
+        own = order[: cuts[-1]]
+        parts = [(c, cuts[c], cuts[c + 1]) for c in range(CLASSES) if cuts[c] < cuts[c + 1]]
+        state, scores = np.ascontiguousarray(h[own].T), np.empty((PER_CLASS, len(own)), dtype=np.float32)
+        for c, begin, end in parts:
+            scores[:, begin:end] = w["word"][c].T @ state[:, begin:end]
+        scores += w["word_bias"].T[:, kind[own]]
+        found, off = _softmax(scores, target[own] % PER_CLASS, rows[: len(own)], learn)
+        result[own] += found
+        if learn:
+            back = np.empty_like(state)
+            for c, begin, end in parts:
+                back[:, begin:end] = w["word"][c] @ off[:, begin:end]
+                slopes["word"][c] = state[:, begin:end] @ off[:, begin:end].T
+                slopes["word_bias"][c] = off[:, begin:end].sum(axis=1)
+            slope[:, own] += back
+        return result, None if slope is None else slope.T, slopes
 
     def read(self, ids: list[np.ndarray]) -> np.ndarray:
         """Natural log-probability of each document, given as targets (ranks, OWN for the end, OWN + 1 + ending).
@@ -192,21 +206,19 @@ class Model:
         for begin in range(0, len(ids), GROUP):
             group = order[begin : begin + GROUP]
             lengths = np.array([len(ids[k]) for k in group])
+            starts = np.cumsum([0, *lengths[:-1]])
+            flat = np.concatenate([ids[k] for k in group])
             state = np.zeros((len(group), STATE), dtype=np.float32)
             previous = np.full(len(group), _BEGIN, dtype=np.int32)
             for window in range(0, lengths[0], WINDOW):
                 n = int(np.searchsorted(-lengths, -window, side="left"))
-                block = np.zeros((WINDOW, n), dtype=np.int32)
-                for row in range(n):
-                    part = ids[group[row]][window : window + WINDOW]
-                    block[: len(part), row] = part
                 state, previous = state[:n], previous[:n]
                 targets, states, owners = [], [], []
-                for t in range(min(WINDOW, lengths[0] - window)):
-                    active = int(np.searchsorted(-lengths, -(window + t), side="left"))
+                for t in range(window, min(window + WINDOW, lengths[0])):
+                    active = int(np.searchsorted(-lengths, -t, side="left"))
                     after = self.step(projected[previous[:active]], state[:active])[-1]
                     state[:active] = after
-                    target = block[t, :active]
+                    target = flat[starts[:active] + t]
                     previous[:active] = target - (target >= OWN)
                     states.append(after)
                     targets.append(target)
@@ -229,62 +241,94 @@ class Model:
         place = np.minimum(np.arange(STREAMS) * steps + np.arange(steps)[:, None], total - 1)
         block, fresh = flat[place], starts[place]
         before = np.where(fresh, _BEGIN, np.where(flat[place - 1] >= OWN, flat[place - 1] - 1, flat[place - 1]))
-        state = np.zeros((STREAMS, STATE), dtype=np.float32)
+        carried = (~fresh).astype(np.float32)[:, None, :]
+        state = np.zeros((STATE, STREAMS), dtype=np.float32)
         for window in range(0, steps, WINDOW):
-            kept, states = [], []
-            for t in range(window, min(window + WINDOW, steps)):
-                carried = (~fresh[t]).astype(np.float32)[:, None]
-                state = state * carried
-                x = self.weights["embedding"][before[t]] @ self.weights["inward"] + self.weights["inward_bias"]
-                gates, inner, new, after = self.step(x, state)
-                kept.append((before[t], carried, state, gates, inner, new))
-                state = after
-                states.append(after)
-            target = block[window : window + WINDOW].ravel()
-            _, slope, slopes = self.output(np.concatenate(states), target, True)
-            rows, vectors = self._back(kept, slope, slopes)
-            self._adapt(slopes, rows, vectors, rate / len(target) ** 0.5, memory)
-
-    def _back(self, kept: list, slope: np.ndarray, slopes: dict) -> tuple[np.ndarray, np.ndarray]:
+            used = slice(window, window + WINDOW)
+            kept = self._forward(self.weights["embedding"][before[used]], carried[used], state)
+            state = kept[-1][-1]
+            target = block[used].ravel()
+            _, slope, slopes = self.output(_as_rows(kept[-1]), target, True)
+            vectors = self._back(kept, carried[used], slope, slopes)
+            self._adapt(slopes, before[used].ravel(), vectors, rate / len(target) ** 0.5, memory)
+
+    def _forward(self, inputs: np.ndarray, carried: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The steps of one window, as ``step`` makes them, with a column for each stream: what ``_back`` needs, and the states after."""
+        x = self.weights["inward"].T @ inputs.transpose(0, 2, 1) + self.weights["inward_bias"][:, None]
+        across = np.ascontiguousarray(self.weights["across"].T)
+        gates, inner, new, given, after = (np.empty((len(x), n * STATE, STREAMS), dtype=np.float32) for n in (2, 1, 1, 1, 1))
+        for k in range(len(x)):
+            np.multiply(state, carried[k], out=given[k])
+            a = across @ given[k]
+            gate = np.add(x[k, : 2 * STATE], a[: 2 * STATE], out=gates[k])
+            np.negative(gate, out=gate)
+            np.exp(gate, out=gate)
+            gate += 1
+            np.reciprocal(gate, out=gate)
+            inner[k] = a[2 * STATE :]
+            fresh = np.multiply(gate[STATE:], inner[k], out=new[k])
+            fresh += x[k, 2 * STATE :]
+            np.tanh(fresh, out=fresh)
+            state = np.subtract(given[k], fresh, out=after[k])
+            state *= gate[:STATE]
+            state += fresh
+        return inputs, gates, inner, new, given, after
+
+    def _back(self, kept: tuple[np.ndarray, ...], carried: np.ndarray, slope: np.ndarray, slopes: dict) -> np.ndarray:
         """Backpropagation through the steps of one window; fills ``slopes``, returns those of the inputs."""
         w = self.weights
-        later = np.zeros((STREAMS, STATE), dtype=np.float32)
-        inputs, changes, outer = [], [], []
-        for k in range(len(kept) - 1, -1, -1):
-            before, carried, state, gates, inner, new = kept[k]
-            d = slope[k * STREAMS : (k + 1) * STREAMS] + later
-            z, r = gates[:, :STATE], gates[:, STATE:]
-            d_new = d * (1 - z) * (1 - new**2)
-            d_z = d * (state - new) * z * (1 - z)
-            d_r = d_new * inner * r * (1 - r)
-            changes.append(np.concatenate((d_z, d_r, d_new), axis=1))
-            outer.append(np.concatenate((d_z, d_r, d_new * r), axis=1))
-            later = (d * z + outer[-1] @ w["across"].T) * carried
-            inputs.append(before)
-        rows, change = np.concatenate(inputs), np.concatenate(changes)
-        states = np.concatenate([kept[k][2] for k in range(len(kept) - 1, -1, -1)])
-        slopes["across"] = states.T @ np.concatenate(outer)
-        slopes["inward"] = w["embedding"][rows].T @ change
-        slopes["inward_bias"] = change.sum(axis=0)
-        return rows, change @ w["inward"].T
+        inputs, gates, inner, new, given, _ = kept
+        n = len(inputs)
+        slope = np.ascontiguousarray(slope.reshape(n, STREAMS, STATE).transpose(0, 2, 1))
+        z, r = gates[:, :STATE], gates[:, STATE:]
+        # what a slope of the state after a step is multiplied with, for each gate and for the new state
+        to_new = (1 - z) * (1 - new**2)
+        factors = np.stack(((given - new) * z * (1 - z), to_new * inner * r * (1 - r), to_new * r), axis=1)
+        outer = np.empty_like(factors)
+        flat = outer.reshape(n, 3 * STATE, STREAMS)
+        later = np.zeros((STATE, STREAMS), dtype=np.float32)
+        for k in range(n - 1, -1, -1):
+            d = slope[k]
+            d += later
+            np.multiply(factors[k], d, out=outer[k])
+            later = w["across"] @ flat[k]
+            later += d * z[k]
+            later *= carried[k]
+        slopes["across"] = (given @ flat.transpose(0, 2, 1)).sum(axis=0)
+        outer[:, 2] = slope * to_new  # from here on the slopes of the projected inputs
+        slopes["inward"] = (flat @ inputs).sum(axis=0).T
+        slopes["inward_bias"] = flat.sum(axis=(0, 2))
+        return _as_rows(w["inward"] @ flat)
 
     def _adapt(self, slopes: dict, rows: np.ndarray, vectors: np.ndarray, rate: float, memory: dict) -> None:
         """Steps by the slopes, each divided by the root of the sum of its squares so far."""
         for name, slope in slopes.items():
-            sums = memory.setdefault(name, np.full(slope.shape, 1e-2, dtype=np.float32))
+            sums = _sums(memory, name, slope)
             sums += slope * slope
             change = np.sqrt(sums)
             np.divide(slope, change, out=change)
             change *= np.float32(rate)
             self.weights[name] -= change
-        used, place = np.unique(rows, return_inverse=True)
-        slope = np.zeros((len(used), EMBEDDING), dtype=np.float32)
-        np.add.at(slope, place, vectors)
-        sums = memory.setdefault("embedding", np.full(self.weights["embedding"].shape, 1e-2, dtype=np.float32))
+        order = np.argsort(rows.astype(np.int16), kind="stable")
+        used, begins = np.unique(rows[order], return_index=True)
+        slope = np.add.reduceat(vectors[order], begins, axis=0)
+        sums = _sums(memory, "embedding", self.weights["embedding"])
         sums[used] += slope * slope
         self.weights["embedding"][used] -= rate * slope / np.sqrt(sums[used])
 
 
+def _as_rows(columns: np.ndarray) -> np.ndarray:
+    """Columns of each step as rows, step after step."""
+    return np.ascontiguousarray(columns.transpose(0, 2, 1)).reshape(-1, columns.shape[1])
+
+
+def _sums(memory: dict, name: str, like: np.ndarray) -> np.ndarray:
+    """The sums of squares so far, from a small start."""
+    if name not in memory:
+        memory[name] = np.full(like.shape, 1e-2, dtype=np.float32)
+    return memory[name]
+
+
 RATE, LATER_RATE = 3.0, 1.5
 
 

@@ -24,6 +24,26 @@ def test_probabilities_sum_to_one():
     assert np.allclose(total, 1, atol=1e-4)
 
 
+def test_the_words_of_all_classes_share_one_softmax(monkeypatch):
+    """As few passes over a window's targets as classes and words need, with the values of each target alone."""
+    random_ = np.random.default_rng(6)
+    model = lm.Model(vocabulary([9] * 300))
+    for name in ("class", "word"):
+        model.weights[name] = random_.normal(size=model.weights[name].shape).astype(np.float32)
+    states = random_.normal(size=(500, lm.STATE)).astype(np.float32)
+    targets = random_.integers(0, 300, 500)
+    targets[::5] = lm.OWN + targets[::5] % (lm.ENDINGS + 1)
+    alone = [model.output(states[[k]], targets[[k]], True) for k in range(500)]
+    passes, exp = [], np.exp
+    monkeypatch.setattr(np, "exp", lambda *args, **kwargs: passes.append(1) or exp(*args, **kwargs))
+    found, slope, slopes = model.output(states, targets, True)
+    assert len(passes) == 2
+    assert np.allclose(found, [a[0][0] for a in alone], atol=1e-4)
+    assert np.allclose(slope, np.concatenate([a[1] for a in alone]), atol=1e-4)
+    for name in ("class", "class_bias", "word", "word_bias"):
+        assert np.allclose(slopes[name], sum(a[2][name] for a in alone), atol=1e-2), name
+
+
 def test_reading_side_by_side_equals_reading_alone():
     """The state is carried over windows, and batches and padding don't matter."""
     random_ = np.random.default_rng(2)
