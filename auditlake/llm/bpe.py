@@ -34,7 +34,7 @@ PATTERN = regex.compile(
     r"|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 )
 #: Bytes that a worker may keep of pieces and of what lies between spaces; what an entry takes beside its texts.
-PIECE_BYTES, SPACED_BYTES, ENTRY_BYTES = 10_000_000, 80_000_000, 150
+PIECE_BYTES, SPACED_BYTES, ENTRY_BYTES = 60_000_000, 50_000_000, 150
 LONG = 64
 _BITS, _PLACE = 20, 32
 _PLACES = (1 << _PLACE) - 1
@@ -80,34 +80,40 @@ class BytePairs:
         ranks = [pairs[a << 8 | b] for a, b in zip(piece, piece[1:], strict=False)]  # of each symbol with the next
         # entries: rank, then place, packed in one number
         queue = [rank << _PLACE | k for k, rank in enumerate(ranks) if rank >= 0]
-        symbols = [self.first[b] for b in piece]
+        symbols = [*map(self.first.__getitem__, piece)]
         if not queue:
             return symbols
-        n, merged, get, pop, push = len(symbols), self.merged, self.merges.get, heapq.heappop, heapq.heappush
+        n, merged, get, push, exchange = len(symbols), self.merged, self.merges.get, heapq.heappush, heapq.heappushpop
         ranks.append(-1)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
         heapq.heapify(queue)
         while queue:
-            entry = pop(queue)
+            entry = heapq.heappop(queue)
             k, rank = entry & _PLACES, entry >> _PLACE
-            if ranks[k] != rank:
-                continue  # stale: one of the two has grown, or was merged into another
-            right = after[k]
-            symbols[k] = symbol = merged[rank]
-            symbols[right] = ranks[right] = -1
-            after[k] = right = after[right]
-            if right < n:
-                before[right] = k
-                ranks[k] = rank = get(symbol << _BITS | symbols[right], -1)
-                if rank >= 0:
-                    push(queue, rank << _PLACE | k)
-            else:
-                ranks[k] = -1
-            left = before[k]
-            if left >= 0:
-                ranks[left] = rank = get(symbols[left] << _BITS | symbol, -1)
-                if rank >= 0:
-                    push(queue, rank << _PLACE | left)
+            while ranks[k] == rank:  # else stale: one of the two has grown, or was merged into another
+                right = after[k]
+                symbols[k] = symbol = merged[rank]
+                symbols[right] = ranks[right] = -1
+                after[k] = right = after[right]
+                entry = -1
+                if right < n:
+                    before[right] = k
+                    ranks[k] = rank = get(symbol << _BITS | symbols[right], -1)
+                    if rank >= 0:
+                        entry = rank << _PLACE | k
+                else:
+                    ranks[k] = -1
+                left = before[k]
+                if left >= 0:
+                    ranks[left] = rank = get(symbols[left] << _BITS | symbol, -1)
+                    if rank >= 0:
+                        if entry >= 0:
+                            push(queue, entry)
+                        entry = rank << _PLACE | left
+                if entry < 0:
+                    break
+                entry = exchange(queue, entry)  # in and out at once
+                k, rank = entry & _PLACES, entry >> _PLACE
         return [s for s in symbols if s >= 0]
 
     def _piece_ids(self, piece: str) -> str:

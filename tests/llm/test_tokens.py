@@ -40,6 +40,16 @@ def test_parts_of_characters_decode_to_the_replacement_character(coder, library)
         coder.decode([999_999])
 
 
+def test_the_pieces_of_a_large_vocabulary_are_merged_once(monkeypatch):
+    """As many different pieces as a task may meet, with other signs behind them each time."""
+    coder, merged = bpe.BytePairs(bpe.vocabulary("byte_bpe_50k.json")), []
+    monkeypatch.setattr(coder, "merge", lambda piece: merged.append(piece) or [0])
+    names = ["".join(chr(97 + k // 26**d % 26) for d in range(4)) for k in range(100_000)]
+    for sign in ".!":
+        coder.encode_pieces(" ".join(f"{name}{sign}" for name in names))
+    assert len(merged) <= 100_000 + 3
+
+
 def test_round_trip_of_awkward_rows(spark, library):
     path = bpe.vocabulary("byte_bpe_50k.json")
     found = bpe.round_trip(frames.documents(spark, frames.AWKWARD), path).collect()
