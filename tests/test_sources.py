@@ -2,7 +2,7 @@ import os
 
 import pytest
 
-from auditlake import schemas
+from auditlake import registry, schemas
 from auditlake.operators import publishing
 from auditlake.plans import audit as plan
 from auditlake.sources import check_runs as run_table
@@ -266,3 +266,26 @@ def test_js_stream_compares_with_earlier_batches(spark, tmp_path):
     assert rows["b"].summary.endswith("**not available**")
     assert rows["a"].summary.endswith("**+20** (10 → 30)")
     assert {note.path for note in rows["a"].annotations} == {"README.md"}
+
+
+def test_working_copies_lie_there_a_share_at_a_time(spark, tmp_path, monkeypatch):
+    texts = [(k, f"text {k}", "en" if k % 2 else "de", f"s{k}") for k in range(40)]
+    spark.createDataFrame([*texts, texts[3]], "doc_id long, text string, lang string, source string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    folders, scan = [], checkouts.scan_checkouts
+    there = lambda: sum(len(os.listdir(folder)) for folder in folders)
+    most = []
+
+    def counted(session, folder, **options):
+        folders.append(folder)
+        most.append(there())
+        return scan(session, folder, **options)
+
+    monkeypatch.setattr(registry.checkouts, "scan_checkouts", counted)
+    monkeypatch.setattr(registry, "CHECKOUT_BYTES", 10 * registry.CHECKOUT_ENTRIES * registry.BLOCK_BYTES, raising=False)
+    rows = registry.QUERIES["scan_checkouts"](spark, str(tmp_path)).collect()
+    assert max(most) < 40 and sum(most) == 40 and there() == 0
+    expected = {(f"doc{k}", "README.md", text) for k, text, _, _ in texts} | {(f"doc{k}", "docs/CodeBook.md", lang) for k, _, lang, _ in texts}
+    expected |= {(f"doc{k}", path, None) for k in range(40) for path in ("src/main.py", ".github/workflows/ci.yml")}
+    assert len(rows) == 160 and {(r.repository, r.path, r.content) for r in rows} == expected
