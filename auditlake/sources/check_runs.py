@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from auditlake import schemas
+from auditlake.session import freed
 from auditlake.sources.inventory import bucket
 
 SOURCE, BATCH, TIME = "run_source", "batch_id", "published_at"
@@ -148,9 +149,11 @@ def write_check_runs(
         .withColumn(BATCH, F.lit(batch_id).cast("long"))
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
+        .option("compression", "zstd")
         .partitionBy(KEY, BATCH)
         .parquet(f"{folder}/recent")
     )
+    freed(spark)
 
 
 def _read(spark: SparkSession, folder: str, layer: str, schema: T.StructType, paths: list[str]) -> DataFrame:
@@ -204,6 +207,7 @@ def _merge(rows: DataFrame, folder: str, key: str, span: tuple[int, int]) -> Non
         .withColumn(BUCKET, bucket("repository", BUCKETS))
         .repartition(F.col(BUCKET), spread)
         .write.mode("overwrite")
+        .option("compression", "zstd")
         .partitionBy(BUCKET)
         .parquet(_merged(folder, key, span))
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.operators.lookup import sifted
+
 BUCKET = "repo_bucket"
 BUCKETS = 1024
 
@@ -40,11 +42,14 @@ def restrict_to(rows: DataFrame, targets: DataFrame, buckets: int = BUCKETS) ->
     """Rows of the target commits (``repository, sha``).
 
     If the table has the bucket column it joins the key, and Spark prunes the
-    partitions without targets when the query runs.
+    partitions without targets when the query runs. Other rows are sifted where they are read, so that few but those of the
+    target commits are shuffled.
     """
     keys = ["repository", "sha"]
     wanted = targets.select(*keys).distinct()
     if BUCKET in rows.columns:
         wanted = wanted.withColumn(BUCKET, bucket("repository", buckets))
         keys = [BUCKET, *keys]
+    else:
+        rows = sifted(rows, wanted, keys)
     return rows.join(wanted, keys, "left_semi")
