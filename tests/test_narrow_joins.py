@@ -29,3 +29,14 @@ def test_rows_are_sifted_before_a_semi_join(spark):
     nulls = facts.selectExpr("IF(seq % 2 = 0, NULL, repository) AS repository", "sha", "seq")
     assert inventory.restrict_to(nulls, nulls.select("repository", "sha")).count() == 10_000
     assert inventory.restrict_to(facts, targets.limit(0)).count() == 0
+
+
+def test_check_runs_meet_their_commits_before_reports_are_made(spark):
+    files, commits, typed = _small_fleet(spark)
+    previous = commits.selectExpr("repository", "sha", "IF(sha < 'c', 40, NULL) AS previous_score")
+    report = plan.reports(plan.commit_signals(files, commits, typed, "js"), "js")
+    plain = publishing.check_runs(report, "js", files=files, previous=previous)
+    signals = plan.commit_signals(files, commits, typed, "js", beside=[previous, publishing.readme_paths(files)])
+    runs = publishing.check_runs(plan.reports(signals, "js"), "js", files=files, previous=previous)
+    assert sorted(runs.collect(), key=str) == sorted(plain.collect(), key=str)
+    assert runs.count() == 5 and _plan(runs).count("Join") == _plan(signals).count("Join")
