@@ -40,3 +40,15 @@ def test_check_runs_meet_their_commits_before_reports_are_made(spark):
     runs = publishing.check_runs(plan.reports(signals, "js"), "js", files=files, previous=previous)
     assert sorted(runs.collect(), key=str) == sorted(plain.collect(), key=str)
     assert runs.count() == 5 and _plan(runs).count("Join") == _plan(signals).count("Join")
+
+
+def test_evidence_is_counted_before_reports_are_made(spark):
+    files, commits, typed = _small_fleet(spark)
+    evidence = plan.file_evidence(files, typed)
+    plain = publishing.report_documents(plan.reports(plan.commit_signals(files, commits, typed)), evidence)
+    signals = plan.commit_signals(files, commits, typed, beside=[publishing.evidence_counts(evidence)])
+    documents = publishing.report_documents(plan.reports(signals), evidence)
+    assert sorted(publishing.report_json(documents).collect()) == sorted(publishing.report_json(plain).collect())
+    assert _plan(documents).count("Join") == _plan(signals).count("Join")
+    counts = {(r.sha, c.key): c.evidence_count for r in documents.collect() for c in r.checks}
+    assert (counts["a", "license"], counts["d", "tests"], counts["e", "tests"]) == (1, 1, 0)
