@@ -52,3 +52,14 @@ def test_evidence_is_counted_before_reports_are_made(spark):
     assert _plan(documents).count("Join") == _plan(signals).count("Join")
     counts = {(r.sha, c.key): c.evidence_count for r in documents.collect() for c in r.checks}
     assert (counts["a", "license"], counts["d", "tests"], counts["e", "tests"]) == (1, 1, 0)
+
+
+def test_defaults_of_policies_are_not_sent(spark, monkeypatch):
+    raw = frames.raw_policies(spark, {"o/r": "{}", "o/s": '{"minimum_score":60,"privacy_terms":["x"]}'})
+    sent, join = [], policies.lookup
+    monkeypatch.setattr(policies, "lookup", lambda rows, table, *a, **b: join(rows, sent.append(table) or table, *a, **b))
+    rows = spark.createDataFrame([("o/r", "a"), ("o/s", "b"), ("o/t", "c")], "repository string, sha string")
+    found = {r.sha: r for r in policies.with_policy(rows, policies.validate_policies(raw), ["sha"]).collect()}
+    assert {r.repository: (r.minimum_score, r.privacy_terms) for r in sent[0].collect()} == {"o/r": (None, None), "o/s": (60, ["x"])}
+    assert (found["a"].minimum_score, found["b"].minimum_score) == (80, 60)
+    assert found["a"].privacy_terms == found["c"].privacy_terms and found["b"].privacy_terms == ["x"]
