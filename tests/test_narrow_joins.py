@@ -63,3 +63,10 @@ def test_defaults_of_policies_are_not_sent(spark, monkeypatch):
     assert {r.repository: (r.minimum_score, r.privacy_terms) for r in sent[0].collect()} == {"o/r": (None, None), "o/s": (60, ["x"])}
     assert (found["a"].minimum_score, found["b"].minimum_score) == (80, 60)
     assert found["a"].privacy_terms == found["c"].privacy_terms and found["b"].privacy_terms == ["x"]
+
+
+def test_signals_that_are_kept_are_not_computed_again(spark):
+    files, commits, typed = _small_fleet(spark)
+    kept = plan.commit_signals(files, commits, typed, keep=True)
+    assert sorted(kept.collect(), key=str) == sorted(plan.commit_signals(files, commits, typed).collect(), key=str)
+    assert "Aggregate" not in _plan(kept)
